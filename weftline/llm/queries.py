@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import neardup
+from weftline.llm import confusables, neardup, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +30,26 @@ def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_counts(*_near_duplicates(spark, sf_dir)).withColumnRenamed("id", "message_id")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.answer_pairs(table(spark, sf_dir, "chat_messages"), table(spark, sf_dir, "chat_completions"), table(spark, sf_dir, "chat_requests"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = confusables.look_alike_pairs(table(spark, sf_dir, "chat_messages"), "message_id", "content")
+    return found.select(F.col("id_a").alias("message_id_a"), F.col("id_b").alias("message_id_b"))
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn in its one consistent form."""
+    return confusables.canonical_forms(table(spark, sf_dir, "chat_messages"), "message_id", "content").select(F.col("id").alias("message_id"), "form").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_links": p1_links}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
