@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import confusables, neardup, pairs
+from weftline.llm import confusables, contamination, neardup, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,16 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.canonical_forms(table(spark, sf_dir, "chat_messages"), "message_id", "content").select(F.col("id").alias("message_id"), "form").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "question")
+
+
+def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leak_report(p5_found(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p5_found, p5_items)}
 
 
 def oracle_sql() -> dict[str, str]:
