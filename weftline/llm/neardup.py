@@ -9,8 +9,8 @@ Jaccard similarity of at least the threshold are found, none lost:
 2. In each cell a signature tree is built: leaves hold rows of similar size, every node the OR of the token
    bitmaps below it and the ranges of their sizes.  A dual traversal of the tree with itself drops a pair of
    nodes when the largest overlap its bitmaps, sizes and remaining positions allow is below the smallest
-   overlap the threshold needs.  Pairs of rows that survive are counted exactly, and given out in the cell of
-   their first common run only, so that no pair comes twice.
+   overlap the threshold needs.  A cell of at most one leaf is a tree of one leaf; those of a batch are traversed
+   together.  Pairs that survive are made distinct and counted exactly on the whole sets.
 3. A cell with more rows than ``block`` is cut into blocks by size band and salt; the roots of all blocks are
    compared in the same way and only pairs of blocks that can hold a pair of rows are traversed, each as its own
    group.  No group is larger than about two blocks, however hot a run is.
@@ -34,6 +34,8 @@ WORDS = 4
 #: Rows of a leaf and children of an inner node.
 LEAF, FANOUT = 16, 8
 EPS = 1e-9
+#: Rows up to which the list of hot runs is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def need(na, nb, t: float):
@@ -63,33 +65,6 @@ def _signatures(min_words: int, k: int):
     return run
 
 
-def _cells(t: float):
-    """Rows of the cells of each class: its shared runs in rarity order, the position of the cell's run, the bitmap from there on."""
-    schema = pa.schema([("run", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("rem", pa.int32()), ("surplus", pa.int32()), ("bits", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            lists = b.column(2)
-            starts, values = lists.offsets.to_numpy(), lists.values.field("run").to_numpy(zero_copy_only=False)
-            for r, (cid, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                shared = values[starts[r] : starts[r + 1]]
-                m = len(shared)
-                prefix = n - int(np.ceil(t * n - EPS)) + 1 - (n - m)
-                if prefix <= 0:
-                    continue
-                u = shared.view(np.uint64)
-                word, bit = (u >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (u & np.uint64(63))
-                for p in range(min(prefix, m)):
-                    bits = np.zeros(WORDS, np.uint64)
-                    np.bitwise_or.at(bits, word[p:].astype(np.int64), bit[p:])
-                    for c, v in zip(cols, (shared[p], cid, n, p, m - p, m - p - int(np.bitwise_count(bits).sum()), bits.view(np.int64), shared)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    return run
-
-
 def _max_overlap(bits_a, bits_b, sur_a, sur_b, rem_a, rem_b):
     shared = np.bitwise_count(bits_a & bits_b).sum(axis=1).astype(np.int64)
     return np.minimum(shared + np.minimum(sur_a, sur_b), np.minimum(rem_a, rem_b))
@@ -143,57 +118,55 @@ def traverse(a: Tree, b: Tree, t: float, same: bool) -> tuple[np.ndarray, np.nda
         x, y = _product(fa, ca, fb, cb)
 
 
-def _run_pairs(cols: dict[str, np.ndarray | list], lo: int, hi: int, t: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """Links of one group, rows ``lo`` to ``hi`` of a batch."""
-    side = cols["side"][lo:hi]
-    order = np.lexsort((cols["cid"][lo:hi], cols["n"][lo:hi]))
-    left, right = order[side[order] <= 1] + lo, order[side[order] == 2] + lo
+def _leaf_pairs(c: dict[str, np.ndarray], group: np.ndarray, small: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the groups that are one leaf, all groups at once, by distance in the batch."""
+    rows = np.flatnonzero(small)
+    for d in range(1, LEAF):
+        rows = rows[rows + d < len(group)]
+        rows = rows[group[rows] == group[rows + d]]
+        if not len(rows):
+            return
+        x, y = rows, rows + d
+        keep = (c["n"][x] >= np.ceil(t * c["n"][y] - EPS)) & (c["n"][y] >= np.ceil(t * c["n"][x] - EPS))
+        x, y = x[keep], y[keep]
+        keep = _max_overlap(c["bits"][x], c["bits"][y], c["surplus"][x], c["surplus"][y], c["rem"][x], c["rem"][y]) >= need(c["n"][x], c["n"][y], t)
+        yield x[keep], y[keep]
+
+
+def _tree_pairs(c: dict[str, np.ndarray], lo: int, hi: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, rows ``lo`` to ``hi``: within side 1, or between sides 1 and 2."""
+    side = c["side"][lo:hi]
+    order = np.lexsort((c["b0"][lo:hi], c["n"][lo:hi]))
+    left, right = order[side[order] == 1] + lo, order[side[order] == 2] + lo
+    if not len(left):
+        return left, left
     same = not len(right)
-    if same:
-        right = left
-    if not len(left) or len(left) < 2 and same:
-        return
-    tree = lambda at: Tree(cols["bits"][at], cols["n"][at], cols["rem"][at], cols["surplus"][at])
+    tree = lambda at: Tree(c["bits"][at], c["n"][at], c["rem"][at], c["surplus"][at])
     ta = tree(left)
-    xs, ys = traverse(ta, ta if same else tree(right), t, same)
-    for x, y in zip(left[xs].tolist(), right[ys].tolist()):
-        a, b = cols["cid"][x], cols["cid"][y]
-        sx, sy = cols["shared"][x], cols["shared"][y]
-        px, py = cols["pos"][x], cols["pos"][y]
-        if px and py and not set(sx[:px].tolist()).isdisjoint(sy[:py].tolist()):
-            continue  # an earlier cell gives this pair out
-        overlap = len(set(sx[px:].tolist()).intersection(sy[py:].tolist()))
-        if overlap >= need(cols["n"][x], cols["n"][y], t):
-            yield int(min(a, b)), int(max(a, b)), overlap, int(cols["n"][x]), int(cols["n"][y])
+    x, y = traverse(ta, ta if same else tree(right), t, same)
+    return left[x], (left if same else right)[y]
 
 
 def _join(t: float):
-    schema = pa.schema([("cid_a", pa.int64()), ("cid_b", pa.int64()), ("similarity", pa.float64())])
-
-    def numpy_columns(b: pa.RecordBatch) -> dict:
-        cols = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("run", "blk_a", "blk_b", "side", "cid", "n", "pos", "rem", "surplus")}
-        bits = b.column(b.schema.get_field_index("bits"))
-        cols["bits"] = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-        shared = b.column(b.schema.get_field_index("shared"))
-        off, flat = shared.offsets.to_numpy(), shared.values.to_numpy(zero_copy_only=False)
-        cols["shared"] = [flat[s:e] for s, e in zip(off[:-1], off[1:])]
-        return cols
+    schema = pa.schema([("cid_a", pa.int64()), ("cid_b", pa.int64())])
 
     def links(b: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
-        """Links of the complete groups of a sorted batch, and the rows of the group that may go on."""
-        cols = numpy_columns(b)
+        """Candidates of the complete groups of a sorted batch, and the rows of the group that may go on."""
+        c = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(b.schema)}
+        c["bits"] = np.stack([c[f"b{i}"] for i in range(WORDS)], axis=1).view(np.uint64)
+        c |= {k: c[k].astype(np.int64) for k in ("n", "rem", "surplus")}
         new = np.ones(len(b), bool)
-        new[1:] = (cols["run"][1:] != cols["run"][:-1]) | (cols["blk_a"][1:] != cols["blk_a"][:-1]) | (cols["blk_b"][1:] != cols["blk_b"][:-1])
+        new[1:] = (c["run"][1:] != c["run"][:-1]) | (c["blk_a"][1:] != c["blk_a"][:-1]) | (c["blk_b"][1:] != c["blk_b"][:-1])
         at = np.append(np.flatnonzero(new), len(b))
-        found = []
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-            if hi == len(b) and not last:
-                break
-            if hi - lo > 1:
-                found += _run_pairs(cols, lo, hi, t)
-        a, bb, o, na, nb = zip(*found) if found else ([],) * 5
-        sim = np.array(o, float) / np.maximum(1, np.array(na, float) + np.array(nb, float) - np.array(o, float))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(bb, pa.int64()), pa.array(sim, pa.float64())], schema=schema), None if last else b.slice(at[-2])
+        sizes, group = np.diff(at), np.cumsum(new) - 1
+        whole = np.ones(len(sizes), bool)
+        whole[-1] = last
+        one_leaf = whole & (sizes > 1) & (sizes <= LEAF) & (c["blk_a"][at[:-1]] == c["blk_b"][at[:-1]])
+        found = [*_leaf_pairs(c, group, one_leaf[group], t)]
+        found += [_tree_pairs(c, at[g], at[g + 1], t) for g in np.flatnonzero(whole & (sizes > 1) & ~one_leaf).tolist()]
+        x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        ids = np.unique(np.stack([np.minimum(c["cid"][x], c["cid"][y]), np.maximum(c["cid"][x], c["cid"][y])], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], schema=schema), None if last else b.slice(at[-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -232,31 +205,49 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
 
     runs = cls.select("cid", "n", F.explode("runs").alias("run"))
     df_runs = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = runs.join(df_runs, "run").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("shared"))
-    cells = staged(shared.mapInArrow(_cells(threshold), "run bigint, cid bigint, n int, pos int, rem int, surplus int, bits array<bigint>, shared array<bigint>"), "neardup-cells")
-
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(1.25))).cast("int")
-    sizes = cells.groupBy("run", band.alias("band")).agg(F.count(F.lit(1)).alias("rows"))
-    per_run = sizes.groupBy("run").agg(F.sum("rows").alias("total")).where("total > 1")
-    cold = cells.join(per_run.where(F.col("total") <= block).select("run"), "run", "left_semi")
-    cold = cold.select("run", F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(0).alias("side"), "cid", "n", "pos", "rem", "surplus", "bits", "shared")
-
-    hot = cells.withColumn("band", band).join(sizes.join(per_run.where(F.col("total") > block).select("run"), "run", "left_semi"), ["run", "band"])
-    salts = F.ceil(F.col("rows") / block)
-    hot = hot.withColumn("blk", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cid"), salts)).cast("int"))
-    roots = hot.groupBy("run", "blk").agg(*[F.bit_or(F.col("bits")[i]).alias(f"b{i}") for i in range(WORDS)], F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"), F.max("surplus").alias("surplus"))
+    bit = F.expr("shiftleft(1L, cast(run & 63 as int))")
+    word = F.expr(f"pmod(shiftright(run, 6), {WORDS})")
+    bits = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(WORDS)]
+    shared = runs.join(df_runs, "run").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("shared"), *bits)
+    held = F.size("shared")
+    prefix = held - F.ceil(threshold * F.col("n") - EPS).cast("int") + 1
+    ones = sum((F.bit_count(f"b{i}") for i in range(1, WORDS)), F.bit_count("b0"))
+    cut = F.slice(F.col("shared.run"), F.lit(1), F.least(prefix, held))
+    routed = staged(shared.where(prefix > 0).select("cid", "n", held.alias("held"), (held - ones).cast("int").alias("surplus"), *[f"b{i}" for i in range(WORDS)], cut.alias("cut")), "neardup-routed")
+    cells = routed.select("cid", "n", "held", "surplus", *[f"b{i}" for i in range(WORDS)], F.posexplode("cut").alias("pos", "run"))
+    cells = cells.select("run", "cid", "n", (F.col("held") - F.col("pos")).alias("rem"), "surplus", *[f"b{i}" for i in range(WORDS)])
+    row = ["cid", "n", "rem", "surplus", *[f"b{i}" for i in range(WORDS)]]
+
+    hot_runs = staged(cells.groupBy("run").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > block).select("run"), "neardup-hot")
+    n_hot = hot_runs.count()
+    plain = lambda df: df.select("run", F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(1).alias("side"), *row)
+    groups = plain(cells)
+    if n_hot:
+        few = F.broadcast(hot_runs) if n_hot <= BROADCAST_ROWS else hot_runs
+        groups = plain(cells.join(few, "run", "left_anti")).unionByName(_hot_groups(cells.join(few, "run", "left_semi"), row, threshold, block))
+    key = ["run", "blk_a", "blk_b"]
+    found = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join(threshold), "cid_a bigint, cid_b bigint").distinct()
+    a, b = (cls.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab")
+    overlap = F.size(F.array_intersect("runs_a", "runs_b"))
+    counted = found.join(a, "cid_a").join(b, "cid_b").select("cid_a", "cid_b", (overlap / (F.col("n_a") + F.col("n_b") - overlap)).alias("similarity"))
+    return counted.where(F.col("similarity") >= threshold), members
+
+
+def _hot_groups(hot: DataFrame, row: list[str], t: float, block: int) -> DataFrame:
+    """The pairs of blocks of hot cells that can hold a pair of rows, with their rows."""
+    hot = hot.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(1.25))).cast("int"))
+    sizes = hot.groupBy("run", "band").agg(F.count(F.lit(1)).alias("rows"))
+    hot = hot.join(sizes, ["run", "band"]).withColumn("blk", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / block))).cast("int"))
+    roots = hot.groupBy("run", "blk").agg(*[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(WORDS)], F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"), F.max("surplus").alias("surplus"))
     ra, rb = (roots.select("run", *[F.col(c).alias(f"{c}_{s}") for c in roots.columns if c != "run"]) for s in "ab")
     both: Column = sum((F.bit_count(F.col(f"b{i}_a").bitwiseAND(F.col(f"b{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("b0_a").bitwiseAND(F.col("b0_b"))))
     most = F.least(both + F.least("surplus_a", "surplus_b"), "rem_a", "rem_b")
-    least = F.ceil(threshold / (1 + threshold) * (F.col("lo_a") + F.col("lo_b")) - EPS)
-    pairs = ra.join(rb, "run").where((F.col("blk_a") <= F.col("blk_b")) & (F.col("hi_a") >= threshold * F.col("lo_b") - EPS) & (F.col("hi_b") >= threshold * F.col("lo_a") - EPS) & (most >= least)).select("run", "blk_a", "blk_b")
-    rest = ["cid", "n", "pos", "rem", "surplus", "bits", "shared"]
-    one = hot.withColumnRenamed("blk", "blk_a").join(pairs, ["run", "blk_a"]).select("run", "blk_a", "blk_b", F.lit(1).alias("side"), *rest)
-    two = hot.withColumnRenamed("blk", "blk_b").join(pairs.where("blk_a < blk_b"), ["run", "blk_b"]).select("run", "blk_a", "blk_b", F.lit(2).alias("side"), *rest)
-    groups = cold.unionByName(one).unionByName(two)
-    key = ["run", "blk_a", "blk_b"]
-    links = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join(threshold), "cid_a bigint, cid_b bigint, similarity double")
-    return links, members
+    least = F.ceil(t / (1 + t) * (F.col("lo_a") + F.col("lo_b")) - EPS)
+    fits = (F.col("hi_a") >= t * F.col("lo_b") - EPS) & (F.col("hi_b") >= t * F.col("lo_a") - EPS) & (most >= least)
+    pairs = ra.join(rb, "run").where((F.col("blk_a") <= F.col("blk_b")) & fits).select("run", "blk_a", "blk_b")
+    one = hot.withColumnRenamed("blk", "blk_a").join(pairs, ["run", "blk_a"]).select("run", "blk_a", "blk_b", F.lit(1).alias("side"), *row)
+    two = hot.withColumnRenamed("blk", "blk_b").join(pairs.where("blk_a < blk_b"), ["run", "blk_b"]).select("run", "blk_a", "blk_b", F.lit(2).alias("side"), *row)
+    return one.unionByName(two)
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
