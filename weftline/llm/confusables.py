@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import staged
+
 #: Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKES = {
     # Cyrillic
@@ -104,13 +106,16 @@ def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: texts that differ as stored and read the same.
 
-    Originals are grouped by equal skeleton.  Only skeletons stored in two or more ways are joined, and only ids
-    of different originals are paired, so the copies of one original, however many, make no pairs among
-    themselves.  Null ids and texts have no pairs; repeated rows count once.
+    Originals are grouped by equal skeleton.  Pairs are formed between the originals of a skeleton and then
+    given the ids of both, so the work follows the result: the copies of one original, however many, meet only
+    ids of other originals.  Null ids and texts have no pairs; repeated rows count once.
     """
     forms = canonical_forms(df, id_col, text_col).where("id is not null and form is not null")
-    keyed = forms.select("id", F.xxhash64("text").alias("stored"), F.md5("form").alias("form")).distinct()
-    ways = keyed.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
-    several = keyed.join(ways, "form", "left_semi")
-    a, b = (several.select("form", F.col("id").alias(f"id_{s}"), F.col("stored").alias(f"stored_{s}")) for s in "ab")
-    return a.join(b, "form").where("id_a < id_b and stored_a <> stored_b").select("id_a", "id_b").distinct()
+    keyed = staged(forms.select("id", F.xxhash64("text").alias("stored"), F.md5("form").alias("form")).distinct(), "look-alikes")
+    originals = keyed.select("form", "stored").distinct()
+    several = originals.join(originals.groupBy("form").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("form"), "form", "left_semi")
+    a, b = (several.select("form", F.col("stored").alias(f"stored_{s}")) for s in "ab")
+    ways = a.join(b, "form").where("stored_a < stored_b")
+    ids_a, ids_b = (keyed.select("form", F.col("stored").alias(f"stored_{s}"), F.col("id").alias(f"x_{s}")) for s in "ab")
+    both = ways.join(ids_a, ["form", "stored_a"]).join(ids_b, ["form", "stored_b"]).where("x_a <> x_b")
+    return both.select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b")).distinct()
