@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import confusables, contamination, neardup, pairs
+from weftline.llm import confusables, contamination, neardup, pairs, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +56,21 @@ def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leak_report(p5_found(spark, sf_dir))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and terms' share by subject: what the corpus is made of."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("share"), 3).alias("document_shares"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p5_found, p5_items)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p5_found, p5_items, p6_found, p6_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
