@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import confusables, contamination, neardup, pairs, subjects
+from weftline.llm import confusables, contamination, neardup, packing, pairs, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,14 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.canonical_forms(table(spark, sf_dir, "chat_messages"), "message_id", "content").select(F.col("id").alias("message_id"), "form").distinct()
 
 
+def p4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "pack_specs"))
+
+
+def p4_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p4_pack(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "question")
 
@@ -70,7 +78,7 @@ def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p5_found, p5_items, p6_found, p6_composition)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p4_pack, p4_fill, p5_found, p5_items, p6_found, p6_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
