@@ -1,17 +1,14 @@
-"""Registry of the core queries and their oracle SQL."""
+"""All core queries and their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from weftline.plans import control, conversation, decoding, evaluation, metrics, requests, sampling, scoring, tokens  # noqa: F401
+from weftline.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
