@@ -32,8 +32,8 @@ from weftline.session import staged
 
 #: Size of the term space, of the projected vectors and the number of leaves.
 TERMS, DIM, LEAVES = 1 << 16, 64, 128
-#: Tokens scored at a time, which bounds the memory of a worker.
-CHUNK = 1 << 16
+#: Tokens held and sentences scored at a time, which bounds the memory of a worker.
+CHUNK, SCORED = 1 << 16, 1 << 10
 #: Documents of which labels are used at most.
 MAX_LABELLED = 20_000
 _TOKEN = re.compile(r"[㐀-鿿]+|[^\W\d_]+|[!?。！？\n]|\.(?!\d)")
@@ -216,17 +216,22 @@ def _log_odds(n: np.ndarray, background: np.ndarray, strength: float) -> np.ndar
     return out.astype(np.float32)
 
 
-def _sentence_leaves(tok: np.ndarray, weights: np.ndarray, useful: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _sentence_leaves(tok: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The sentence of each token, and the leaf of each sentence (-1: none)."""
     sentence = np.cumsum(tok < 0) - (tok < 0)
     leaf = np.full(int(sentence[-1]) + 1, -1)
-    use = np.flatnonzero((tok >= 0) & useful[tok])
+    row = model.row[tok]  # the last entry stands for -1
+    use = np.flatnonzero(row >= 0)
     if len(use):
-        s = sentence[use]
+        s, row = sentence[use], row[use]
         at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        score = np.add.reduceat(weights[tok[use]], at, axis=0)
-        best = score.argmax(axis=1)
-        leaf[s[at]] = np.where(score[np.arange(len(best)), best] > least, best, -1)
+        ends = np.append(at, len(use))
+        for lo in range(0, len(at), SCORED):
+            part = at[lo : lo + SCORED]
+            first = part[0]
+            score = np.add.reduceat(model.weights[row[first : ends[lo + len(part)]]], part - first, axis=0)
+            best = score.argmax(axis=1)
+            leaf[s[part]] = np.where(score[np.arange(len(best)), best] > model.least, best, -1)
     return sentence, leaf
 
 
@@ -251,22 +256,33 @@ def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
 
 
 class Model:
-    """Weights of the terms by leaf and the subject of each leaf (an empty name: none)."""
+    """Weights of the telling terms by leaf and the subject of each leaf (an empty name: none).
 
-    def __init__(self, weights: np.ndarray, names: list[str], least: float = 2.0):
-        self.weights, self.names, self.least = np.ascontiguousarray(weights.T), names, least
-        self.useful = self.weights.max(axis=1) > USEFUL
+    A term tells leaves apart when its distribution over the leaves diverges from that of all terms by at least
+    ``telling`` nats, less what chance alone gives a term of its frequency.  Names and words of any subject do not
+    and are not scored.
+    """
 
+    def __init__(self, counts: np.ndarray, background: np.ndarray, names: list[str], least: float = 2.0, telling: float = 1.0):
+        total = np.maximum(counts.sum(axis=0), 1e-9)
+        share, base = counts / total, np.maximum(counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1e-9), 1e-12)
+        divergence = (share * np.log(np.maximum(share, 1e-12) / base)).sum(axis=0)
+        chance = (np.minimum(len(counts), total) - 1) / (2 * total)
+        useful = np.flatnonzero((total >= 3) & (divergence - chance >= telling))
+        self.full = _log_odds(counts, background, 200.0)
+        self.weights = np.ascontiguousarray(self.full[:, useful].T)
+        self.row = np.full(TERMS + 1, -1, np.int32)
+        self.row[useful] = np.arange(len(useful))
+        self.names, self.least = names, least
 
-#: Terms whose largest log-odds in any leaf is below this tell no leaf from another and are not scored.
-USEFUL = 0.7
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "full"}
 
 
 def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_labelled: int = MAX_LABELLED) -> Model:
     """Cluster all documents and name the leaves."""
     spark = tokens.sparkSession
-    df_pd = _document_frequencies(tokens)
-    docs, df = df_pd
+    docs, df = _document_frequencies(tokens)
     idf = np.where(df >= 3, np.log(np.maximum(docs, 1) / np.maximum(df, 1)), 0.0).astype(np.float32)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +307,7 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
         idf, tree, leaf_of_node, label_of = shared.value
         leaf = leaf_of_node[tree.route(_project(tok, doc, len(ids), idf))]
         d, t, n = _tf(tok, doc)
-        np.add.at(acc, (leaf[d], t), n)
+        np.add.at(acc.reshape(-1), leaf[d] * TERMS + t, n.astype(np.float32))
         for i, doc_id in enumerate(ids.tolist()):
             if (own := label_of.get(doc_id)) is not None:
                 lo, hi = np.searchsorted(d, [i, i + 1])
@@ -306,15 +322,14 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
             toks = terms_of(" ".join([name.replace("_", " "), title or "", scope or ""]))
             np.add.at(by_subject[subjects.index(name)], toks[toks >= 0], 1)
 
-    rough = Model(_log_odds(first[:k_leaves], background, 200.0), [])
-    refine = spark.sparkContext.broadcast((rough.weights, rough.useful, rough.least, label_of))
+    refine = spark.sparkContext.broadcast((Model(first[:k_leaves], background, []), label_of))
 
     def by_sentence(acc, ids, tok, doc):
-        weights, useful, least, label_of = refine.value
-        sentence, leaf = _sentence_leaves(tok, weights, useful, least)
+        model, label_of = refine.value
+        sentence, leaf = _sentence_leaves(tok, model)
         at = leaf[sentence]
         real = (tok >= 0) & (at >= 0)
-        np.add.at(acc, (at[real], tok[real]), 1)
+        np.add.at(acc.reshape(-1), at[real] * TERMS + tok[real], np.float32(1))
         for i, doc_id in enumerate(ids.tolist()):
             if (own := label_of.get(doc_id)) is not None:
                 lo, hi = np.searchsorted(doc, [i, i + 1])
@@ -326,9 +341,9 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
                             acc[k_leaves + s, leaf_id] += w * share
 
     second = _counts(tokens, k_leaves + k_subjects, by_sentence)
-    weights = _log_odds(second[:k_leaves], background, 200.0)
-    names = _name_leaves(second[:k_leaves], weights, by_subject, second[k_leaves:, :k_leaves].T, background, [*subjects, ""])
-    return Model(weights, names)
+    model = Model(second[:k_leaves], background, [])
+    model.names = _name_leaves(second[:k_leaves], model.full, by_subject, second[k_leaves:, :k_leaves].T, background, [*subjects, ""])
+    return model
 
 
 def _document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:
@@ -389,7 +404,7 @@ def leaf_mixtures(tokens: DataFrame, model: Model) -> DataFrame:
         names = sorted(set(m.names) - {""})
         subject = np.array([names.index(x) if x else len(names) for x in m.names] + [len(names)])
         for ids, tok, doc in _docs(batches):
-            sentence, leaf = _sentence_leaves(tok, m.weights, m.useful, m.least)
+            sentence, leaf = _sentence_leaves(tok, m)
             real = tok >= 0
             of = subject[leaf[sentence]][real]
             table = np.zeros((len(ids), len(names) + 1))
