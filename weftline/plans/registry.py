@@ -15,12 +15,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = _plain_counts(sql)
         return f
 
     return add
 
 
+def _plain_counts(sql: str) -> str:
+    """``count_if(x)`` as a filtered count, which is a BIGINT where ``count_if`` is a HUGEINT."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 0, at + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        sql = f"{sql[:at]}count(*) FILTER (WHERE {sql[at + len('count_if(') : end - 1]}){sql[end:]}"
+    return sql
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
