@@ -43,13 +43,13 @@ def round_trip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", decode(encode("text")).alias("text"))
 
 
-@query("jon6_decode_join", "SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 200")
+@query("jon6_decode_join", "SELECT doc_id, text FROM documents WHERE text <> ''")
 def decode_join(spark: SparkSession, d: str) -> DataFrame:
     """Decoding as a join with the vocabulary, which is of bounded size; an id without token is an error."""
     from weftline.sources.vocab import frame
 
     encode = K.encoder(VOCAB)
-    ids = table(spark, d, "documents").where("length(text) between 1 and 200").select("doc_id", F.posexplode(encode("text")).alias("pos", "token_id"))
+    ids = table(spark, d, "documents").where("text <> ''").select("doc_id", F.posexplode(encode("text")).alias("pos", "token_id"))
     joined = ids.join(F.broadcast(frame(spark, VOCAB)), "token_id", "left")
     checked = F.coalesce(F.hex("token"), F.raise_error(F.lit("id without token")).cast("string"))
     hexed = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", checked.alias("h")))).alias("parts"))
@@ -201,16 +201,16 @@ def index_lookup(spark: SparkSession, d: str) -> DataFrame:
     return wanted.join(pointers(spark, d), "doc_id").select("doc_id", "size", "pointer")
 
 
-@query(
-    "jon1_token_loss_zip",
-    "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM documents WHERE length(text) BETWEEN 1 AND 120) SELECT doc_id, (pos - 1)::INTEGER AS pos, ch AS token, CASE WHEN ch BETWEEN 'a' AND 'z' THEN 1 ELSE 0 END AS lossable FROM c",
-)
+_CHARS = "cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text <> ''), chars AS (SELECT doc_id, unnest(c) AS ch, generate_subscripts(c, 1) AS pos FROM cut)"
+
+
+@query("jon1_token_loss_zip", f"WITH {_CHARS} SELECT doc_id, count(*) AS tokens, count_if(ch BETWEEN 'a' AND 'z') AS lossable, coalesce(sum(pos) FILTER (WHERE ch BETWEEN 'a' AND 'z'), 0)::BIGINT AS places FROM chars GROUP BY doc_id")
 def token_loss_zip(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and loss bits by position: two arrays of one row need no join."""
-    docs = table(spark, d, "documents").where("length(text) between 1 and 120").select("doc_id", F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0)).alias("token"))
-    bits = F.transform("token", lambda c: F.when(c.between("a", "z"), 1).otherwise(0))
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0)).alias("token"))
+    bits = F.transform("token", lambda c: c.between("a", "z"))
     zipped = docs.select("doc_id", "token", bits.alias("lossable")).select("doc_id", F.posexplode(F.arrays_zip("token", "lossable")).alias("pos", "z"))
-    return zipped.select("doc_id", "pos", "z.token", "z.lossable")
+    return zipped.groupBy("doc_id").agg(F.count("z.token").alias("tokens"), F.count_if("z.lossable").alias("lossable"), F.sum(F.when(F.col("z.lossable"), F.col("pos") + 1).otherwise(0)).alias("places"))
 
 
 @query(
@@ -267,13 +267,11 @@ def piece_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.col("piece").isin(PIECES)).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win5_next_token", "WITH c AS (SELECT doc_id, string_split(text, '') AS t FROM documents WHERE length(text) BETWEEN 2 AND 120) SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS x, t[i + 1] AS y FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM c)")
+@query("win5_next_token", f"WITH {_CHARS}, n AS (SELECT doc_id, pos, ch AS x, lead(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM chars) SELECT doc_id, count(*) AS targets, count_if(x = y) AS repeats, sum(pos * unicode(y))::BIGINT AS weighted FROM n WHERE y IS NOT NULL GROUP BY doc_id")
 def next_token(spark: SparkSession, d: str) -> DataFrame:
     """Inputs and targets shifted by one, within the row."""
-    docs = table(spark, d, "documents").where("length(text) between 2 and 120").select("doc_id", F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0)).alias("t"))
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0)).alias("t"))
     n = F.size("t") - 1
-    both = docs.select("doc_id", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), n).alias("x"), F.slice("t", F.lit(2), n).alias("y"))).alias("pos", "z"))
-    return both.select("doc_id", "pos", F.col("z.x").alias("x"), F.col("z.y").alias("y"))
-
-
-
+    pairs = docs.where(n > 0).select("doc_id", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), n).alias("x"), F.slice("t", F.lit(2), n).alias("y"))).alias("pos", "z"))
+    weighted = (F.col("pos") + 1).cast("bigint") * F.ascii("z.y")
+    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("z.x") == F.col("z.y")).alias("repeats"), F.sum(weighted).alias("weighted"))
