@@ -1 +1,177 @@
-"""To come."""
+"""Sources, task control and configuration."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import control as C
+from weftline.operators import segments as S
+from weftline.operators import tokenize as K
+from weftline.plans.registry import TURNS, query, table, turns
+from weftline.plans.tokens import VOCAB
+from weftline.sources import binidx, config, jsonl
+
+
+@query("src1_chat_dataset", f"WITH {TURNS} SELECT role, count(*) AS n FROM turns GROUP BY role")
+def chat_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return turns(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src4_jsonl_scan", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Legacy lines with blank ones between, parsed with the fallback; a malformed line would be an error."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.array(F.to_json(F.struct("text")), F.lit("  "))).alias("value"))
+    kept = docs.where(F.trim("value") != "").select("doc_id", F.from_json("value", jsonl.ROW, {"mode": "FAILFAST"}).alias("r"))
+    return kept.select("doc_id", S.flat_text(jsonl.with_fallback(F.col("r.segments"), F.col("r.text"))).alias("text"))
+
+
+@query("flt2_nonblank_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS lines FROM l WHERE trim(line) <> '' GROUP BY doc_id")
+def nonblank_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.trim("line") != "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("src5_legacy_fallback", "SELECT item_id, coalesce(solution, question) AS text, solution IS NULL AS lossable FROM eval_items")
+def legacy_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with segments keep them, rows with a text only become one lossable segment."""
+    rows = table(spark, d, "eval_items").select("item_id", F.when(F.col("solution").isNotNull(), F.array(F.struct(F.col("solution").alias("text"), F.lit(False).alias("lossable")))).alias("segments"), "question")
+    one = rows.select("item_id", F.element_at(jsonl.with_fallback(F.col("segments"), F.col("question")), 1).alias("s"))
+    return one.select("item_id", "s.text", "s.lossable")
+
+
+@query("src6_binidx_roundtrip")
+def binidx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations tokenized, stored and read again: index, tokens and loss bits."""
+    return binidx.read(spark, _store(spark, d)).select("doc_id", "size", "pointer", F.size("tokens").alias("n_tokens"), F.aggregate("lossable", F.lit(0), lambda a, x: a + x).alias("n_lossable"))
+
+
+def _store(spark: SparkSession, d: str) -> str:
+    """A store of the conversations in a folder that all processes see."""
+    from weftline.session import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    folder = os.path.join(shared if os.path.isabs(shared) else tempfile.gettempdir(), f"store-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path("file://" + folder)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    conv = S.conversations(turns(spark, d)).select(F.col("request_id").alias("doc_order"), S.chat_segments(F.col("messages")).alias("segments"))
+    prefix = os.path.join(folder, "chat")
+    binidx.write(K.token_streams(conv, "segments", VOCAB), prefix)
+    return prefix
+
+
+@query("src7_sizes_only")
+def sizes_only(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes from the index alone."""
+    return binidx.read(spark, _store(spark, d), "sizes")
+
+
+_TASKS = """tasks:
+  first_task:
+    num_fewshot: 5
+    max_gen_toks: 1024
+    gen_kwargs:
+      temperature: 0.7
+      block_size: 32
+  second_task:
+    unsafe_code: true
+    fewshot_as_multiturn: false
+"""
+
+
+@query("src15_task_config", "SELECT * FROM (VALUES ('first_task', 5, false, 1024, '0.7'), ('second_task', NULL, true, NULL, NULL)) t(task, num_fewshot, unsafe_code, max_gen_toks, temperature)")
+def task_config(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(config.task_rows(_TASKS), config.TASK)
+    return rows.select("task", "num_fewshot", "unsafe_code", "max_gen_toks", F.try_element_at("gen_kwargs", F.lit("temperature")).alias("temperature"))
+
+
+@query("src19_prefetch_plan", "SELECT task, task <> 'letter_cascade' AS allowed FROM (SELECT DISTINCT task FROM eval_items) WHERE task NOT LIKE '%code%'")
+def prefetch_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets to fetch by name, without gated ones."""
+    tasks = table(spark, d, "eval_items").select("task").distinct().where("task not like '%code%'")
+    return tasks.select("task", (F.col("task") != "letter_cascade").alias("allowed"))
+
+
+_NAMES = "choice_stem_0, math_counting_0,no_such_task"
+
+
+@query("flt6_subset", "SELECT DISTINCT task FROM task_metrics WHERE task IN ('choice_stem_0', 'math_counting_0', 'no_such_task')")
+def subset(spark: SparkSession, d: str) -> DataFrame:
+    return C.selected(table(spark, d, "task_metrics").select("task").distinct(), _NAMES)
+
+
+@query("flt7_resume", "SELECT item_id FROM eval_items WHERE item_id NOT IN (SELECT item_id FROM eval_responses WHERE item_id IS NOT NULL)")
+def resume(spark: SparkSession, d: str) -> DataFrame:
+    """Items without any response yet."""
+    return C.unfinished(table(spark, d, "eval_items").select("item_id"), table(spark, d, "eval_responses").select("item_id"), "item_id")
+
+
+@query("flt8_presets", "SELECT r_name AS name, r_regionkey::INTEGER AS r_regionkey FROM region WHERE r_name IN ('ASIA', 'EUROPE')")
+def presets(spark: SparkSession, d: str) -> DataFrame:
+    regions = table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("r_regionkey"))
+    return C.presets(regions, ["ASIA", "EUROPE"])
+
+
+@query("jon9_inherited", "SELECT n.n_name, coalesce(CASE WHEN n.n_nationkey % 3 = 0 THEN n.n_name END, r.r_name) AS label, coalesce(CASE WHEN n.n_nationkey % 2 = 0 THEN n.n_nationkey END, r.r_regionkey)::BIGINT AS rank FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey")
+def inherited(spark: SparkSession, d: str) -> DataFrame:
+    """Own values before those of the template included; nations include regions."""
+    key = F.col("n_nationkey").cast("bigint")
+    children = table(spark, d, "nation").select("n_name", F.col("n_regionkey").cast("bigint").alias("include"), F.when(key % 3 == 0, F.col("n_name")).alias("label"), F.when(key % 2 == 0, key).alias("rank"))
+    templates = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("template"), F.col("r_name").alias("label"), F.col("r_regionkey").cast("bigint").alias("rank"))
+    return C.inherited(children, templates, "include", ["label", "rank"]).select("n_name", "label", "rank")
+
+
+_EXTRAS = "ex AS (SELECT DISTINCT ON (request_id) request_id, extras FROM chat_requests WHERE request_id IS NOT NULL)"
+
+
+@query(
+    "jon10_overrides",
+    f"""WITH {_EXTRAS}, own AS (SELECT request_id, unnest(map_keys(extras)) AS key, unnest(map_values(extras)) AS value FROM ex), general(key, value) AS (VALUES ('conf_threshold', '0.8'), ('steps', '32'))
+SELECT coalesce(o.request_id, g.request_id) AS request_id, coalesce(o.key, g.key) AS key, coalesce(o.value, g.value) AS value FROM own o FULL JOIN (SELECT request_id, key, value FROM ex, general) g ON o.request_id = g.request_id AND o.key = g.key""",
+)
+def overrides(spark: SparkSession, d: str) -> DataFrame:
+    """General arguments with those of each request over them."""
+    once = table(spark, d, "chat_requests").where("request_id is not null").groupBy("request_id").agg(F.first(F.struct("extras")).alias("x"))
+    general = F.create_map(F.lit("conf_threshold"), F.lit("0.8"), F.lit("steps"), F.lit("32"))
+    own = F.coalesce(F.col("x.extras"), F.create_map().cast("map<string,string>"))
+    return once.select("request_id", F.explode(C.overridden(general, own)).alias("key", "value"))
+
+
+@query("udf3_repeats", "SELECT item_id, k::INTEGER AS attempt FROM eval_items, range(0, 4) r(k)")
+def repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Each item once for each attempt."""
+    return C.repeated(table(spark, d, "eval_items").select("item_id"), 4)
+
+
+@query("udf1_score_registry", "SELECT * FROM (VALUES ('cascade'), ('letter'), ('number')) t(name)")
+def score_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the registered scoring functions."""
+    from weftline.functions.scoring import SCORES
+
+    return spark.createDataFrame([(n,) for n in sorted(SCORES)], "name string")
+
+
+@query("prj22_knobs", "SELECT request_id, 'T=' || temperature::DECIMAL(9,3)::VARCHAR || ' p=' || top_p::DECIMAL(9,3)::VARCHAR || ' n=' || n AS line FROM (SELECT DISTINCT ON (request_id) * FROM chat_requests WHERE request_id IS NOT NULL)")
+def knobs(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "chat_requests").where("request_id is not null").groupBy("request_id").agg(F.first(F.struct("temperature", "top_p", "n")).alias("r"))
+    return once.select("request_id", C.knobs(T=F.col("r.temperature").cast("decimal(9,3)"), p=F.col("r.top_p").cast("decimal(9,3)"), n=F.col("r.n")).alias("line"))
+
+
+@query("str4_incremental_ingest")
+def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Segment files read as a stream into a table."""
+    from weftline.session import shared_dir
+    from weftline.streaming.ingest import ingest
+
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    conv = S.conversations(turns(spark, d)).select(S.chat_segments(F.col("messages")).alias("segments"))
+    jsonl.write(conv, f"{base}/in")
+    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.size("segments").alias("n_segments"), S.flat_text(F.col("segments")).alias("text"))
