@@ -26,7 +26,7 @@ from weftline.session import staged
 #: Defects and their labelling functions, in the order of the votes.
 FUNCTIONS = {
     "empty": ("no_letter_or_digit", "few_characters"),
-    "truncated": ("last_character", "open_code", "dangling_word", "literal_answer", "finish_reason", "prompt_ending"),
+    "truncated": ("last_character", "open_code", "dangling_word", "literal_answer", "finish_reason", "copy_of_prompt"),
     "refusal": ("declining_words", "opening", "closing", "lookalike", "off_topic"),
     "copied_question": ("coverage", "uncovered_run", "uncovered_share", "new_sentence", "prompt_coverage"),
     "other_language": ("script", "function_words", "shared_words", "sentence_majority"),
@@ -174,7 +174,30 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     words, p_words = _words(answer), _words(asked)
     literal = bool(_LITERAL.fullmatch(answer))
     plain = answer.lower().replace("’", "'")
-    ends_as_prompt = len(words) >= 3 and words[-3:] == p_words[-3:]
+    copies = False
+
+    if p_words and not literal:
+        han = bool(_HAN.search(answer))
+        covered = _covered(words, p_words, 7 if han else 4)
+        share = sum(covered) / len(words)
+        run = max((sum(1 for _ in g) for hit, g in itertools.groupby(covered) if not hit), default=0)
+        room = 10 if han else 5
+        new = at = 0
+        for s in _SENTENCE.split(answer):
+            k = len(_words(s))
+            new += k >= 4 and sum(covered[at : at + k]) < 0.3 * k
+            at += k
+        copies = share >= 0.7 and run <= room
+        back = sum(_covered(p_words, words, 7 if han else 4)) / len(p_words)
+        out["copied_question"] = (
+            1 if copies else -1 if share <= 0.4 or run >= 2 * room else 0,
+            1 if run <= room else -1 if run >= room + 2 else 0,
+            1 if share >= 0.8 and run <= room else -1 if share < 0.5 or run >= 2 * room else 0,
+            -1 if new else 0,
+            1 if back >= 0.5 and run <= room else -1 if back < 0.2 else 0,
+        )
+    else:
+        out["copied_question"] = (-1,) * 5
 
     code_open = answer.count("```") % 2 == 1
     end = answer.rstrip("*_ ​️")[-1:]
@@ -185,12 +208,12 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     tail = re.sub(r"\W+$", "", last_line).lower().split()
     dangling = bool(tail) and tail[-1] in _DANGLING and not literal
     out["truncated"] = (
-        0 if literal or ends_as_prompt else -1 if complete else 1,
+        0 if literal or copies else -1 if complete else 1,
         1 if code_open else -1 if end == "`" else 0,
-        1 if dangling and not complete else 0,
+        1 if dangling and not complete and not copies else 0,
         -1 if literal else 0,
         1 if finish == "length" else 0,
-        -1 if ends_as_prompt else 0,
+        -1 if copies else 0,
     )
 
     bare = _QUOTE.sub(" ", _CODE.sub(" ", plain))
@@ -205,28 +228,6 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
         -1 if topical >= 0.25 and not declines else 1 if topical < 0.1 and asked else 0,
     )
 
-    if p_words and not literal:
-        han = bool(_HAN.search(answer))
-        covered = _covered(words, p_words, 7 if han else 4)
-        share = sum(covered) / len(words)
-        run = max((sum(1 for _ in g) for hit, g in itertools.groupby(covered) if not hit), default=0)
-        room = 10 if han else 5
-        new = at = 0
-        for s in _SENTENCE.split(answer):
-            k = len(_words(s))
-            new += k >= 4 and sum(covered[at : at + k]) < 0.3 * k
-            at += k
-        back = sum(_covered(p_words, words, 7 if han else 4)) / len(p_words)
-        out["copied_question"] = (
-            1 if share >= 0.7 and run <= room else -1 if share <= 0.4 or run >= 2 * room else 0,
-            1 if run <= room else -1 if run >= room + 2 else 0,
-            1 if share >= 0.8 and run <= room else -1 if share < 0.5 or run >= 2 * room else 0,
-            -1 if new else 0,
-            1 if back >= 0.5 and run <= room else -1 if back < 0.2 else 0,
-        )
-    else:
-        out["copied_question"] = (-1,) * 5
-
     sentences = _prose(answer)
     prose, wanted = " ".join(sentences), _asked_language(asked)
     p_text = _QUOTE.sub(" ", _CODE.sub(" ", asked))

@@ -81,5 +81,34 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p4_pack, p4_fill, p5_found, p5_items, p6_found, p6_composition)}
 
 
+_BLANK = r"\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}{_BLANK}]', '', 'g'), '[{_BLANK}]+'), lambda x: x <> '')"
+
+
+#: All pairs by counting shared runs, without any filter.
+_PAIRS_SQL = f"""m AS (SELECT DISTINCT message_id, content FROM chat_messages WHERE role IN ('user', 'assistant') AND content IS NOT NULL AND message_id IS NOT NULL),
+w AS (SELECT message_id, {_sql_words("content")} AS w FROM m),
+s AS (SELECT DISTINCT message_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT message_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+n AS (SELECT message_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS runs FROM s GROUP BY message_id),
+o AS (SELECT a.message_id AS a, b.message_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.message_id < b.message_id GROUP BY ALL),
+found AS (SELECT a, b FROM o JOIN n x ON x.message_id = a JOIN n y ON y.message_id = b WHERE o >= 0.5 * (x.n + y.n - o))"""
+_LEAKS_SQL = f"""q AS (SELECT item_id, {_sql_words("question")} AS w FROM eval_items),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM q WHERE len(w) >= 12)),
+d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM runs JOIN win USING (g))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_PAIRS_SQL} SELECT a AS message_id_a, b AS message_id_b FROM found",
+        "p1_links": f"""WITH {_PAIRS_SQL}, c AS (SELECT message_id, min(message_id) OVER (PARTITION BY runs) AS cid, count(*) OVER (PARTITION BY runs) AS copies FROM n),
+e AS (SELECT DISTINCT x.cid AS p, y.cid AS q FROM found JOIN c x ON x.message_id = a JOIN c y ON y.message_id = b WHERE x.cid <> y.cid),
+l AS (SELECT cid, count(DISTINCT other) AS linked_classes FROM (SELECT p AS cid, q AS other FROM e UNION ALL SELECT q, p FROM e) GROUP BY cid)
+SELECT message_id, cid, copies, coalesce(linked_classes, 0) AS linked_classes FROM c LEFT JOIN l USING (cid)""",
+        "p5_found": f"WITH {_LEAKS_SQL} SELECT doc_id, item_id FROM leaks",
+        "p5_items": f"WITH {_LEAKS_SQL} SELECT item_id, count(*) AS documents FROM leaks GROUP BY item_id",
+    }
