@@ -283,7 +283,8 @@ def fit_label_model(counts: dict[int, int], functions: int, prior: float = 0.06,
     """Posterior of each vote pattern by expectation-maximization.
 
     The tables P(vote | class) start from ``accuracy`` and stay tied to that start by pseudo-counts of
-    ``strength`` times the number of pairs, which keeps a class from drifting to another meaning.
+    ``strength`` times the number of pairs and 50 more, which keeps a class from drifting to another meaning,
+    however few the pairs are.
     """
     codes = sorted(counts)
     if not codes:
@@ -294,7 +295,7 @@ def fit_label_model(counts: dict[int, int], functions: int, prior: float = 0.06,
     start = np.array([[accuracy, 0.5, miss], [miss, 0.5, accuracy]])
     start = start / start.sum(axis=1, keepdims=True)
     table = np.repeat(start[None], functions, axis=0)
-    pseudo = strength * n.sum()
+    pseudo = strength * n.sum() + 50
     pi = prior
     post = np.full(len(codes), prior)
     for _ in range(rounds):
