@@ -31,9 +31,21 @@ from pyspark.sql import functions as F
 from weftline.session import staged
 
 #: Size of the term space, of the projected vectors and the number of leaves.
-TERMS, DIM, LEAVES = 1 << 16, 64, 128
-#: Tokens held and sentences scored at a time, which bounds the memory of a worker.
-CHUNK, SCORED = 1 << 16, 1 << 10
+TERMS, DIM, LEAVES = 1 << 16, 64, 256
+#: Tokens held and sentences scored at a time; the scores of so few sentences stay in the cache.
+CHUNK, SCORED = 1 << 16, 1 << 6
+#: Least divergence of a term that tells leaves apart.
+TELLING = 1.0
+#: Terms looked at together on the driver.
+BLOCK = 1 << 12
+#: Columns of the token table: distinct terms with counts, and the sequence.
+TF, SEQUENCE = ("doc_id", "terms", "n"), ("doc_id", "toks")
+#: Leaves that keep less than this share of the terms once sentences are assigned are copies of others and dropped.
+NEGLIGIBLE = 2e-4
+#: Power of the size in the spread of a leaf.
+ROOT = 0.5
+#: A level splits the leaves of at least this multiple of the mean spread.
+ABOVE = 0.5
 #: Documents of which labels are used at most.
 MAX_LABELLED = 20_000
 _TOKEN = re.compile(r"[㐀-鿿]+|[^\W\d_]+|[!?。！？\n]|\.(?!\d)")
@@ -69,41 +81,40 @@ def terms_of(text: str) -> np.ndarray:
 
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        toks = [terms_of(t).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(toks, pa.binary())], names=["doc_id", "toks"])
+        for lo in range(0, len(b), 512):
+            part = b.slice(lo, 512)
+            toks = [terms_of(t) for t in part.column(1).to_pylist()]
+            tok, doc = np.concatenate(toks), np.repeat(np.arange(len(toks)), [len(t) for t in toks])
+            real = tok >= 0
+            key, n = np.unique(doc[real].astype(np.int64) * TERMS + tok[real], return_counts=True)
+            cuts = np.searchsorted(key // TERMS, np.arange(1, len(toks)))
+            terms, counts = (np.split(v.astype(np.int32), cuts) for v in (key % TERMS, n))
+            cols = [pa.array([v.tobytes() for v in x], pa.binary()) for x in (toks, terms, counts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "toks", "terms", "n"])
 
 
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of whole documents: ids, tokens, and the document of each token."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Whole documents: ids, the document of each entry, and the other columns, as many as were selected."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        toks = [np.frombuffer(t, np.int32) for t in b.column(1).to_pylist()]
+        cols = [[np.frombuffer(t, np.int32) for t in b.column(i).to_pylist()] for i in range(1, b.num_columns)]
         at = 0
         while at < len(ids):
             end, size = at, 0
-            while end < len(ids) and (end == at or size + len(toks[end]) <= CHUNK):
-                size += len(toks[end])
+            while end < len(ids) and (end == at or size + len(cols[0][end]) <= CHUNK):
+                size += len(cols[0][end])
                 end += 1
-            part = toks[at:end]
-            yield ids[at:end], np.concatenate(part), np.repeat(np.arange(end - at), [len(t) for t in part])
+            yield ids[at:end], np.repeat(np.arange(end - at), [len(t) for t in cols[0][at:end]]), [np.concatenate(c[at:end]) for c in cols]
             at = end
 
 
-def _tf(tok: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``(document, term)`` with counts, ordered by document."""
-    real = tok >= 0
-    key, n = np.unique(doc[real].astype(np.int64) * TERMS + tok[real], return_counts=True)
-    return key // TERMS, key % TERMS, n
-
-
 @cache
 def _signs() -> np.ndarray:
     return np.random.default_rng(20).choice(np.array([-1, 1], np.float32), size=(TERMS, DIM))
 
 
-def _project(tok: np.ndarray, doc: np.ndarray, docs: int, idf: np.ndarray) -> np.ndarray:
+def _project(d: np.ndarray, t: np.ndarray, n: np.ndarray, docs: int, idf: np.ndarray) -> np.ndarray:
     """Normalised vectors; a document without known terms has a zero vector."""
-    d, t, n = _tf(tok, doc)
     keep = idf[t] > 0
     d, t, n = d[keep], t[keep], n[keep]
     out = np.zeros((docs, DIM), np.float32)
@@ -180,15 +191,20 @@ def _moments(vectors: DataFrame, tree: Tree, second: bool) -> dict[int, tuple[in
 
 
 def bisect(vectors: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_levels: int = 24) -> Tree:
-    """Bisecting k-means; the leaf of largest scatter is split first, leaves below ``2 * min_leaf`` rows are kept whole."""
+    """Bisecting k-means; leaves below ``2 * min_leaf`` rows are kept whole.
+
+    The leaf of largest spread is split first: its mean distance from the centre times a root of its size.  By the
+    plain sum of distances large clusters of one subject would be split again and again, and small ones of several
+    subjects never.
+    """
     tree = Tree()
     stats = _moments(vectors, tree, True)
     whole: set[int] = set()
     for _ in range(max_levels):
         open_leaves = [k for k, (n, _, _) in stats.items() if n >= 2 * min_leaf and k not in whole]
-        open_leaves.sort(key=lambda k: -(stats[k][0] - np.linalg.norm(stats[k][1])))
-        mean_scatter = np.mean([s[0] - np.linalg.norm(s[1]) for s in stats.values()]) if stats else 0
-        chosen = [k for k in open_leaves[: leaves - len(stats)] if stats[k][0] - np.linalg.norm(stats[k][1]) >= 0.5 * mean_scatter]
+        spread = {k: (1 - np.linalg.norm(s) / n) * n**ROOT for k, (n, s, _) in stats.items()}
+        open_leaves.sort(key=lambda k: -spread[k])
+        chosen = [k for k in open_leaves[: leaves - len(stats)] if spread[k] >= ABOVE * np.mean(list(spread.values()))]
         if not chosen:
             break
         for k in chosen:
@@ -209,11 +225,11 @@ def bisect(vectors: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_leve
     return tree
 
 
-def _log_odds(n: np.ndarray, background: np.ndarray, strength: float) -> np.ndarray:
-    bg = background / max(background.sum(), 1)
-    out = np.log((n + strength * bg + 1e-12) / (n.sum(axis=1, keepdims=True) + strength) / np.maximum(bg, 1e-12))
-    out[:, background < 3] = 0
-    return out.astype(np.float32)
+def _log_odds(n: np.ndarray, terms: np.ndarray, background: np.ndarray, strength: float) -> np.ndarray:
+    """Log-odds of ``terms`` in each row of counts against the background, drawn to it by ``strength`` pseudo-counts."""
+    bg = np.maximum(background[terms] / max(background.sum(), 1), 1e-12)
+    size = n.sum(axis=1, keepdims=True, dtype=np.float64)
+    return np.log((n[:, terms] + strength * bg + 1e-12) / (size + strength) / bg).astype(np.float32)
 
 
 def _sentence_leaves(tok: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -236,13 +252,13 @@ def _sentence_leaves(tok: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndar
 
 
 def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
-    """Sums of ``work(acc, ids, tok, doc)`` over all chunks, as a ``rows x TERMS`` matrix; a table of bounded size."""
+    """Sums of ``work(acc, ids, doc, columns)`` over all chunks, as a ``rows x TERMS`` matrix; a table of bounded size."""
     schema = pa.schema([("row", pa.int32()), ("term", pa.int32()), ("n", pa.float64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((rows, TERMS), np.float32)
-        for ids, tok, doc in _docs(batches):
-            work(acc, ids, tok, doc)
+        for ids, doc, cols in _chunks(batches):
+            work(acc, ids, doc, *cols)
         r, t = np.nonzero(acc)
         for i in range(0, max(1, len(r)), 100_000):
             a, b = r[i : i + 100_000], t[i : i + 100_000]
@@ -250,7 +266,7 @@ def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
 
     summed = frame.mapInArrow(partial, "row int, term int, n double").groupBy("row", "term").agg(F.sum("n").alias("n"))
     got = summed.toArrow()
-    out = np.zeros((rows, TERMS))
+    out = np.zeros((rows, TERMS), np.float32)
     out[got.column("row").to_numpy(), got.column("term").to_numpy()] = got.column("n").to_numpy()
     return out
 
@@ -263,21 +279,23 @@ class Model:
     and are not scored.
     """
 
-    def __init__(self, counts: np.ndarray, background: np.ndarray, names: list[str], least: float = 2.0, telling: float = 1.0):
-        total = np.maximum(counts.sum(axis=0), 1e-9)
-        share, base = counts / total, np.maximum(counts.sum(axis=1, keepdims=True) / max(counts.sum(), 1e-9), 1e-12)
-        divergence = (share * np.log(np.maximum(share, 1e-12) / base)).sum(axis=0)
-        chance = (np.minimum(len(counts), total) - 1) / (2 * total)
-        useful = np.flatnonzero((total >= 3) & (divergence - chance >= telling))
-        self.full = _log_odds(counts, background, 200.0)
-        self.weights = np.ascontiguousarray(self.full[:, useful].T)
+    def __init__(self, counts: np.ndarray, background: np.ndarray, names: list[str], least: float = 2.0, telling: float | None = None):
+        telling = TELLING if telling is None else telling
+        total = counts.sum(axis=0, dtype=np.float64)
+        base = np.maximum(counts.sum(axis=1, keepdims=True, dtype=np.float64) / max(total.sum(), 1e-9), 1e-12)
+        chance = (np.minimum(len(counts), total) - 1) / (2 * np.maximum(total, 1e-9))
+        found = []
+        for lo in range(0, TERMS, BLOCK):  # by blocks of terms, which bounds the memory of the driver
+            at = np.arange(lo, min(lo + BLOCK, TERMS))
+            share = counts[:, at] / np.maximum(total[at], 1e-9)
+            divergence = (share * np.log(np.maximum(share, 1e-12) / base)).sum(axis=0)
+            found.append(at[(total[at] >= 3) & (divergence - chance[at] >= telling)])
+        self.terms = np.concatenate(found)
+        self.weights = np.ascontiguousarray(_log_odds(counts, self.terms, background, 200.0).T)
         self.row = np.full(TERMS + 1, -1, np.int32)
-        self.row[useful] = np.arange(len(useful))
+        self.row[self.terms] = np.arange(len(self.terms))
         self.names, self.least = names, least
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "full"}
-
 
 def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_labelled: int = MAX_LABELLED) -> Model:
     """Cluster all documents and name the leaves."""
@@ -286,12 +304,12 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
     idf = np.where(df >= 3, np.log(np.maximum(docs, 1) / np.maximum(df, 1)), 0.0).astype(np.float32)
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tok, doc in _docs(batches):
-            x = _project(tok, doc, len(ids), idf)
+        for ids, d, (t, n) in _chunks(batches):
+            x = _project(d, t, n, len(ids), idf)
             x = x[np.abs(x).sum(axis=1) > 0]
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], names=["vec"])
 
-    vectors = staged(tokens.mapInArrow(vectorise, "vec binary"), "subject-vectors")
+    vectors = staged(tokens.select(*TF).mapInArrow(vectorise, "vec binary"), "subject-vectors")
     tree = bisect(vectors, leaves, min_leaf)
     nodes = [k for k in range(len(tree.left)) if tree.left[k] < 0]
     leaf_of_node = np.full(len(tree.left), -1)
@@ -303,10 +321,9 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
     label_of = _label_shares(labels, subjects, max_labelled)
     shared = spark.sparkContext.broadcast((idf, tree, leaf_of_node, label_of))
 
-    def by_document(acc, ids, tok, doc):
+    def by_document(acc, ids, d, t, n):
         idf, tree, leaf_of_node, label_of = shared.value
-        leaf = leaf_of_node[tree.route(_project(tok, doc, len(ids), idf))]
-        d, t, n = _tf(tok, doc)
+        leaf = leaf_of_node[tree.route(_project(d, t, n, len(ids), idf))]
         np.add.at(acc.reshape(-1), leaf[d] * TERMS + t, n.astype(np.float32))
         for i, doc_id in enumerate(ids.tolist()):
             if (own := label_of.get(doc_id)) is not None:
@@ -314,17 +331,18 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
                 for s, w in own:
                     acc[k_leaves + s, t[lo:hi]] += w * n[lo:hi]
 
-    first = _counts(tokens, k_leaves + k_subjects, by_document)
-    background = first[:k_leaves].sum(axis=0)
-    by_subject = first[k_leaves:]
+    first = _counts(tokens.select(*TF), k_leaves + k_subjects, by_document)
+    by_subject, background = first[k_leaves:].copy(), first[:k_leaves].sum(axis=0, dtype=np.float64)
+    rough = Model(first[:k_leaves], background, [])
+    del first
     for name, title, scope in areas.select("subject", "title", "scope").distinct().collect():
         if name in subjects:
             toks = terms_of(" ".join([name.replace("_", " "), title or "", scope or ""]))
             np.add.at(by_subject[subjects.index(name)], toks[toks >= 0], 1)
 
-    refine = spark.sparkContext.broadcast((Model(first[:k_leaves], background, []), label_of))
+    refine = spark.sparkContext.broadcast((rough, label_of))
 
-    def by_sentence(acc, ids, tok, doc):
+    def by_sentence(acc, ids, doc, tok):
         model, label_of = refine.value
         sentence, leaf = _sentence_leaves(tok, model)
         at = leaf[sentence]
@@ -340,19 +358,21 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
                         for s, w in own:
                             acc[k_leaves + s, leaf_id] += w * share
 
-    second = _counts(tokens, k_leaves + k_subjects, by_sentence)
-    model = Model(second[:k_leaves], background, [])
-    model.names = _name_leaves(second[:k_leaves], model.full, by_subject, second[k_leaves:, :k_leaves].T, background, [*subjects, ""])
+    second = _counts(tokens.select(*SEQUENCE), k_leaves + k_subjects, by_sentence)
+    held = np.flatnonzero(second[:k_leaves].sum(axis=1) >= NEGLIGIBLE * max(second[:k_leaves].sum(), 1))
+    evidence = second[k_leaves:, held].T.astype(np.float64)
+    second = second[held if len(held) else [0]]
+    model = Model(second, background, [])
+    model.names = _name_leaves(second[:, model.terms], model.weights.T, _log_odds(by_subject, model.terms, background, 50.0), evidence, [*subjects, ""])
     return model
 
 
 def _document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:
-    def work(acc, ids, tok, doc):
-        d, t, _ = _tf(tok, doc)
+    def work(acc, ids, d, t, n):
         acc[0] += np.bincount(t, minlength=TERMS)
-        acc[1, 0] += len(np.unique(d))
+        acc[1, 0] += (np.bincount(d, minlength=len(ids)) > 0).sum()
 
-    got = _counts(tokens, 2, work)
+    got = _counts(tokens.select(*TF), 2, work)
     return int(got[1, 0]), got[0]
 
 
@@ -376,12 +396,11 @@ def _label_shares(labels: DataFrame, subjects: list[str], most: int) -> dict[int
     return out
 
 
-def _name_leaves(n: np.ndarray, weights: np.ndarray, by_subject: np.ndarray, evidence: np.ndarray, background: np.ndarray, names: list[str], top: int = 60, least: float = 0.25) -> list[str]:
+def _name_leaves(n: np.ndarray, weights: np.ndarray, subject_weights: np.ndarray, evidence: np.ndarray, names: list[str], top: int = 60, least: float = 0.25) -> list[str]:
     """Subject of each leaf by its discriminative terms and the labels of the documents it covers."""
-    subject_weights = _log_odds(by_subject, background, 50.0)
     base = (evidence.sum(axis=0) + 1e-3) / (evidence.sum() + 1e-3 * evidence.shape[1])
     out = []
-    for k in range(len(n)):
+    for k in range(len(evidence)):
         gain = n[k] * np.maximum(weights[k], 0)
         best = np.argsort(-gain, kind="stable")[:top]
         best = best[gain[best] > 0]
@@ -403,7 +422,7 @@ def leaf_mixtures(tokens: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         names = sorted(set(m.names) - {""})
         subject = np.array([names.index(x) if x else len(names) for x in m.names] + [len(names)])
-        for ids, tok, doc in _docs(batches):
+        for ids, doc, (tok,) in _chunks(batches):
             sentence, leaf = _sentence_leaves(tok, m)
             real = tok >= 0
             of = subject[leaf[sentence]][real]
@@ -413,12 +432,12 @@ def leaf_mixtures(tokens: DataFrame, model: Model) -> DataFrame:
             d, s = np.nonzero(share)
             yield pa.RecordBatch.from_arrays([pa.array(ids[d], pa.int64()), pa.array([names[i] for i in s], pa.string()), pa.array(share[d, s], pa.float64())], schema=schema)
 
-    return tokens.mapInArrow(run, "doc_id bigint, subject string, share double")
+    return tokens.select(*SEQUENCE).mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return staged(src.mapInArrow(_tokenized, "doc_id bigint, toks binary"), "subject-tokens")
+    return staged(src.mapInArrow(_tokenized, "doc_id bigint, toks binary, terms binary, n binary"), "subject-tokens")
 
 
 def subjects_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, areas: DataFrame, share: float = 0.2, leaves: int = LEAVES) -> DataFrame:
