@@ -41,6 +41,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _LITERAL = re.compile(r"\W*(?:[A-Za-z]|[\d.,]+%?|(?i:yes|no|true|false|oui|non|ja|nein|sí|да|нет|是|否))\W*")
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_NOT_LATIN = re.compile(r"[Ѐ-ӿ㐀-鿿]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _MIXED = re.compile(r"[A-Za-z][Ͱ-֏]|[Ͱ-֏][A-Za-z]")
 _WORD = re.compile(r"[㐀-鿿]|[^\W_]+")
@@ -104,6 +105,8 @@ def answer_of(content: str | None) -> str:
 
 def _readable(text: str) -> str:
     """Full-width and look-alike characters brought to one form where a word mixes scripts."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFKC", text)
     return skeleton_nfc(text) if _MIXED.search(text) else text
 
@@ -113,18 +116,22 @@ def _words(text: str) -> list[str]:
 
 
 def _script(text: str) -> str | None:
+    if not _NOT_LATIN.search(text):
+        return "latin" if _LATIN.search(text) else None
     counts = {"han": 2 * len(_HAN.findall(text)), "cyrillic": len(_CYRILLIC.findall(text)), "latin": len(_LATIN.findall(text))}
     best = max(counts, key=counts.get)
-    return best if counts[best] > 0 and counts[best] >= 0.6 * sum(counts.values()) else None
+    return best if counts[best] >= 0.6 * sum(counts.values()) else None
 
 
 def _language_scores(text: str) -> Counter:
-    scores = Counter({"zh": len(_HAN.findall(text)) / 2})
+    scores: Counter = Counter()
     for w in _words(text):
         for lang in _LANGS_OF.get(w, ()):
             scores[lang] += 1 / len(_LANGS_OF[w])
-    if _script(text) == "cyrillic":
-        scores["ru"] += 2
+    if _NOT_LATIN.search(text):
+        scores["zh"] += len(_HAN.findall(text)) / 2
+        if _script(text) == "cyrillic":
+            scores["ru"] += 2
     return scores
 
 
@@ -219,7 +226,8 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     bare = _QUOTE.sub(" ", _CODE.sub(" ", plain))
     declines = bool(_DECLINE.search(bare))
     long_words = [w for w in words if len(w) >= 5 or _HAN.match(w)]
-    topical = sum(w in set(p_words) for w in long_words) / max(1, len(long_words))
+    p_set = set(p_words)
+    topical = sum(w in p_set for w in long_words) / max(1, len(long_words))
     out["refusal"] = (
         1 if declines else -1,
         1 if _OPENING.search(bare) else 0,
