@@ -33,7 +33,7 @@ from weftline.session import staged
 #: Size of the term space, of the projected vectors and the number of leaves.
 TERMS, DIM, LEAVES = 1 << 16, 64, 256
 #: Tokens held and sentences scored at a time; the scores of so few sentences stay in the cache.
-CHUNK, SCORED = 1 << 16, 1 << 6
+CHUNK, SCORED = 1 << 14, 1 << 8
 #: Least divergence of a term that tells leaves apart.
 TELLING = 1.0
 #: Terms looked at together on the driver.
@@ -42,41 +42,52 @@ BLOCK = 1 << 12
 TF, SEQUENCE = ("doc_id", "terms", "n"), ("doc_id", "toks")
 #: Leaves that keep less than this share of the terms once sentences are assigned are copies of others and dropped.
 NEGLIGIBLE = 2e-4
+#: Levels of the tree whose halves are reassigned by their centres; deeper ones keep the axis that split them.
+REFINED = 24
 #: Power of the size in the spread of a leaf.
 ROOT = 0.5
 #: A level splits the leaves of at least this multiple of the mean spread.
 ABOVE = 0.5
 #: Documents of which labels are used at most.
 MAX_LABELLED = 20_000
-_TOKEN = re.compile(r"[㐀-鿿]+|[^\W\d_]+|[!?。！？\n]|\.(?!\d)")
+_TOKEN = re.compile(r"\w+|[!?。！？\n]|\.(?!\d)")
+_PART = re.compile(r"[㐀-鿿]+|[^\W\d_]+")
 _ENDS = frozenset("!?。！？\n.")
 _CACHE_LIMIT = 500_000
 _cache: dict[str, int | list[int]] = {}
 
 
 def _term(w: str) -> int | list[int]:
+    """Terms of a token: one, or a list; -1 for the end of a sentence, -2 for a number."""
     if w in _ENDS:
         return -1
-    if "㐀" <= w[0] <= "鿿":
-        return [zlib.crc32(w[i : i + 2].encode()) % TERMS for i in range(max(1, len(w) - 1))]
-    return zlib.crc32(w.encode()) % TERMS
+    out: list[int] = []
+    for part in _PART.findall(w):
+        pieces = [part[i : i + 2] for i in range(max(1, len(part) - 1))] if "㐀" <= part[0] <= "鿿" else [part]
+        out += [zlib.crc32(x.encode()) % TERMS for x in pieces]
+    return out if len(out) > 1 else out[0] if out else -2
 
 
 def terms_of(text: str) -> np.ndarray:
     """Hashed terms in order; -1 ends a sentence and the text."""
     if len(_cache) > _CACHE_LIMIT:
         _cache.clear()
-    get, out = _cache.get, []
-    for w in _TOKEN.findall(text.lower()):
-        v = get(w)
-        if v is None:
-            v = _cache[w] = _term(w)
-        if type(v) is int:
-            out.append(v)
-        else:
-            out += v
-    out.append(-1)
-    return np.array(out, np.int32)
+    words = _TOKEN.findall(text.lower())
+    words.append(".")
+    found = list(map(_cache.get, words))
+    try:
+        out = np.array(found, np.int32)
+    except (TypeError, ValueError):  # new or manifold tokens
+        flat: list[int] = []
+        for w, v in zip(words, found):
+            if v is None:
+                v = _cache[w] = _term(w)
+            if type(v) is int:
+                flat.append(v)
+            else:
+                flat += v
+        out = np.array(flat, np.int32)
+    return out[out != -2]
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +97,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             toks = [terms_of(t) for t in part.column(1).to_pylist()]
             tok, doc = np.concatenate(toks), np.repeat(np.arange(len(toks)), [len(t) for t in toks])
             real = tok >= 0
-            key, n = np.unique(doc[real].astype(np.int64) * TERMS + tok[real], return_counts=True)
+            key, n = np.unique((doc[real] * TERMS + tok[real]).astype(np.int32), return_counts=True)  # 512 documents fit 32 bits
             cuts = np.searchsorted(key // TERMS, np.arange(1, len(toks)))
             terms, counts = (np.split(v.astype(np.int32), cuts) for v in (key % TERMS, n))
             cols = [pa.array([v.tobytes() for v in x], pa.binary()) for x in (toks, terms, counts)]
@@ -147,6 +158,17 @@ class Tree:
         """Undo the split of a node whose children were the last to be added, or leave them unused."""
         self.left[node] = self.right[node] = -1
 
+    def leaves(self) -> list[int]:
+        """Reachable leaves."""
+        out, todo = [], [0]
+        while todo:
+            k = todo.pop()
+            if self.left[k] < 0:
+                out.append(k)
+            else:
+                todo += [self.left[k], self.right[k]]
+        return out
+
     def route(self, x: np.ndarray) -> np.ndarray:
         left, right, axis, bias = np.array(self.left), np.array(self.right), np.stack(self.axis), np.array(self.bias, np.float32)
         node = np.zeros(len(x), np.int64)
@@ -200,7 +222,7 @@ def bisect(vectors: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_leve
     tree = Tree()
     stats = _moments(vectors, tree, True)
     whole: set[int] = set()
-    for _ in range(max_levels):
+    for level in range(max_levels):
         open_leaves = [k for k, (n, _, _) in stats.items() if n >= 2 * min_leaf and k not in whole]
         spread = {k: (1 - np.linalg.norm(s) / n) * n**ROOT for k, (n, s, _) in stats.items()}
         open_leaves.sort(key=lambda k: -spread[k])
@@ -212,16 +234,17 @@ def bisect(vectors: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_leve
             cov = m2 / n - np.outer(s / n, s / n)
             axis = np.linalg.eigh(cov)[1][:, -1]
             tree.split(k, axis, float(axis @ (s / n)))
-        halves = _moments(vectors, tree, False)
+        refined = level < REFINED
+        halves = _moments(vectors, tree, not refined)
         for k in chosen:
             a, b = (halves.get(c) for c in (tree.left[k], tree.right[k]))
             if a is None or b is None or min(a[0], b[0]) < min_leaf:
                 tree.merge(k)
                 whole.add(k)
-                continue
-            ca, cb = a[1] / max(np.linalg.norm(a[1]), 1e-12), b[1] / max(np.linalg.norm(b[1]), 1e-12)
-            tree.split(k, cb - ca, 0.0)
-        stats = _moments(vectors, tree, True)
+            elif refined:
+                ca, cb = a[1] / max(np.linalg.norm(a[1]), 1e-12), b[1] / max(np.linalg.norm(b[1]), 1e-12)
+                tree.split(k, cb - ca, 0.0)
+        stats = _moments(vectors, tree, True) if refined else {k: halves[k] if k in halves else stats[k] for k in tree.leaves() if k in halves or k in stats}
     return tree
 
 
@@ -233,41 +256,59 @@ def _log_odds(n: np.ndarray, terms: np.ndarray, background: np.ndarray, strength
 
 
 def _sentence_leaves(tok: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The sentence of each token, and the leaf of each sentence (-1: none)."""
+    """The sentence of each token, and the leaf of each sentence (-1: none).
+
+    Sentences are scored in blocks, longest first, word by word for all of a block: the scores stay in the cache.
+    """
     sentence = np.cumsum(tok < 0) - (tok < 0)
     leaf = np.full(int(sentence[-1]) + 1, -1)
     row = model.row[tok]  # the last entry stands for -1
     use = np.flatnonzero(row >= 0)
-    if len(use):
-        s, row = sentence[use], row[use]
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        ends = np.append(at, len(use))
-        for lo in range(0, len(at), SCORED):
-            part = at[lo : lo + SCORED]
-            first = part[0]
-            score = np.add.reduceat(model.weights[row[first : ends[lo + len(part)]]], part - first, axis=0)
-            best = score.argmax(axis=1)
-            leaf[s[part]] = np.where(score[np.arange(len(best)), best] > model.least, best, -1)
+    if not len(use):
+        return sentence, leaf
+    s, row = sentence[use], row[use]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    length = np.diff(np.append(start, len(use)))
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    best, top = np.empty(len(order), np.int64), np.empty(len(order), np.float32)
+    held = np.empty((SCORED, model.weights.shape[1]), np.float32)
+    for lo in range(0, len(order), SCORED):
+        at, shorter = start[lo : lo + SCORED], -length[lo : lo + SCORED]
+        score = model.weights[row[at]]
+        for j in range(1, -shorter[0]):
+            n = int(np.searchsorted(shorter, -j, side="left"))
+            np.take(model.weights, row[at[:n] + j], axis=0, out=held[:n], mode="clip")
+            score[:n] += held[:n]
+        k = score.argmax(axis=1)
+        best[lo : lo + SCORED], top[lo : lo + SCORED] = k, score[np.arange(len(k)), k]
+    leaf[s[start]] = np.where(top > model.least, best, -1)
     return sentence, leaf
 
 
 def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
     """Sums of ``work(acc, ids, doc, columns)`` over all chunks, as a ``rows x TERMS`` matrix; a table of bounded size."""
-    schema = pa.schema([("row", pa.int32()), ("term", pa.int32()), ("n", pa.float64())])
+    schema = pa.schema([("row", pa.int32()), ("terms", pa.binary()), ("n", pa.binary())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((rows, TERMS), np.float32)
         for ids, doc, cols in _chunks(batches):
             work(acc, ids, doc, *cols)
-        r, t = np.nonzero(acc)
-        for i in range(0, max(1, len(r)), 100_000):
-            a, b = r[i : i + 100_000], t[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(acc[a, b], pa.float64())], schema=schema)
+        for r in np.flatnonzero(acc.any(axis=1)).tolist():
+            t = np.flatnonzero(acc[r])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.astype(np.int32).tobytes()], pa.binary()), pa.array([acc[r, t].astype(np.float64).tobytes()], pa.binary())], schema=schema)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = np.zeros(TERMS)
+        for t, n in zip(pdf["terms"], pdf["n"]):
+            acc[np.frombuffer(t, np.int32)] += np.frombuffer(n, np.float64)
+        t = np.flatnonzero(acc)
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "terms": [t.astype(np.int32).tobytes()], "n": [acc[t].tobytes()]})
 
-    summed = frame.mapInArrow(partial, "row int, term int, n double").groupBy("row", "term").agg(F.sum("n").alias("n"))
-    got = summed.toArrow()
+    kind = "row int, terms binary, n binary"
     out = np.zeros((rows, TERMS), np.float32)
-    out[got.column("row").to_numpy(), got.column("term").to_numpy()] = got.column("n").to_numpy()
+    for r in frame.mapInArrow(partial, kind).groupBy("row").applyInPandas(total, kind).collect():
+        out[r["row"], np.frombuffer(r["terms"], np.int32)] = np.frombuffer(r["n"], np.float64)
     return out
 
 
@@ -311,7 +352,7 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
 
     vectors = staged(tokens.select(*TF).mapInArrow(vectorise, "vec binary"), "subject-vectors")
     tree = bisect(vectors, leaves, min_leaf)
-    nodes = [k for k in range(len(tree.left)) if tree.left[k] < 0]
+    nodes = tree.leaves()
     leaf_of_node = np.full(len(tree.left), -1)
     leaf_of_node[nodes] = np.arange(len(nodes))
     k_leaves = len(nodes)
@@ -368,11 +409,11 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
 
 
 def _document_frequencies(tokens: DataFrame) -> tuple[int, np.ndarray]:
-    def work(acc, ids, d, t, n):
+    def work(acc, ids, d, t):
         acc[0] += np.bincount(t, minlength=TERMS)
         acc[1, 0] += (np.bincount(d, minlength=len(ids)) > 0).sum()
 
-    got = _counts(tokens.select(*TF), 2, work)
+    got = _counts(tokens.select("doc_id", "terms"), 2, work)
     return int(got[1, 0]), got[0]
 
 
