@@ -11,7 +11,7 @@ Jaccard similarity of at least the threshold are found, none lost:
    nodes when the largest overlap its bitmaps, sizes and remaining positions allow is below the smallest
    overlap the threshold needs.  A cell of at most one leaf is a tree of one leaf; those of a batch are traversed
    together.  Pairs that survive are made distinct and counted exactly on the whole sets.
-3. A cell with more rows than ``block`` is cut into blocks by size band and salt; the roots of all blocks are
+3. The cell of a run that more than ``block`` classes have is cut into blocks by size band and salt; the roots of all blocks are
    compared in the same way and only pairs of blocks that can hold a pair of rows are traversed, each as its own
    group.  No group is larger than about two blocks, however hot a run is.
 """
@@ -34,8 +34,6 @@ WORDS = 4
 #: Rows of a leaf and children of an inner node.
 LEAF, FANOUT = 16, 8
 EPS = 1e-9
-#: Rows up to which the list of hot runs is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def need(na, nb, t: float):
@@ -212,19 +210,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     held = F.size("shared")
     prefix = held - F.ceil(threshold * F.col("n") - EPS).cast("int") + 1
     ones = sum((F.bit_count(f"b{i}") for i in range(1, WORDS)), F.bit_count("b0"))
-    cut = F.slice(F.col("shared.run"), F.lit(1), F.least(prefix, held))
+    cut = F.slice("shared", F.lit(1), F.least(prefix, held))
     routed = staged(shared.where(prefix > 0).select("cid", "n", held.alias("held"), (held - ones).cast("int").alias("surplus"), *[f"b{i}" for i in range(WORDS)], cut.alias("cut")), "neardup-routed")
-    cells = routed.select("cid", "n", "held", "surplus", *[f"b{i}" for i in range(WORDS)], F.posexplode("cut").alias("pos", "run"))
-    cells = cells.select("run", "cid", "n", (F.col("held") - F.col("pos")).alias("rem"), "surplus", *[f"b{i}" for i in range(WORDS)])
+    cells = routed.select("cid", "n", "held", "surplus", *[f"b{i}" for i in range(WORDS)], F.posexplode("cut").alias("pos", "c"))
+    cells = cells.select("c.run", "c.df", "cid", "n", (F.col("held") - F.col("pos")).alias("rem"), "surplus", *[f"b{i}" for i in range(WORDS)])
     row = ["cid", "n", "rem", "surplus", *[f"b{i}" for i in range(WORDS)]]
 
-    hot_runs = staged(cells.groupBy("run").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > block).select("run"), "neardup-hot")
-    n_hot = hot_runs.count()
-    plain = lambda df: df.select("run", F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(1).alias("side"), *row)
-    groups = plain(cells)
-    if n_hot:
-        few = F.broadcast(hot_runs) if n_hot <= BROADCAST_ROWS else hot_runs
-        groups = plain(cells.join(few, "run", "left_anti")).unionByName(_hot_groups(cells.join(few, "run", "left_semi"), row, threshold, block))
+    # the classes with a run bound the rows of its cell; the last run of a prefix is its most frequent
+    most = routed.agg(F.max(F.element_at("cut", -1)["df"])).first()[0] or 0
+    cold = cells.where(F.col("df") <= block)
+    groups = cold.select("run", F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(1).alias("side"), *row)
+    if most > block:
+        groups = groups.unionByName(_hot_groups(cells.where(F.col("df") > block), row, threshold, block))
     key = ["run", "blk_a", "blk_b"]
     found = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join(threshold), "cid_a bigint, cid_b bigint").distinct()
     a, b = (cls.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab")
