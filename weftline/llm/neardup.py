@@ -206,7 +206,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     bit = F.expr("shiftleft(1L, cast(run & 63 as int))")
     word = F.expr(f"pmod(shiftright(run, 6), {WORDS})")
     bits = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(WORDS)]
-    shared = runs.join(df_runs, "run").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("shared"), *bits)
+    # one short row for each run, spread evenly by its hash: a side to build a hash table of, so nothing is sorted
+    shared = runs.join(df_runs.hint("shuffle_hash"), "run").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("shared"), *bits)
     held = F.size("shared")
     prefix = held - F.ceil(threshold * F.col("n") - EPS).cast("int") + 1
     ones = sum((F.bit_count(f"b{i}") for i in range(1, WORDS)), F.bit_count("b0"))
