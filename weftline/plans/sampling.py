@@ -84,11 +84,11 @@ def learning_rates(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "mth8_resize",
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(0, 100)) AS i FROM embeddings), q AS (SELECT vec_id, i, v, i / 100.0::DOUBLE * len(v) AS pos FROM e)
-SELECT vec_id, i::INTEGER AS i, round(CASE WHEN pos >= len(v) - 1 THEN v[len(v)] ELSE v[floor(pos)::INT + 1] * (1 - (pos - floor(pos))) + v[floor(pos)::INT + 2] * (pos - floor(pos)) END, 5) AS value FROM q""",
+SELECT vec_id, i::INTEGER AS i, round(CASE WHEN pos >= len(v) - 1 THEN v[len(v)] ELSE v[floor(pos)::INT + 1] * (1 - (pos - floor(pos))) + v[floor(pos)::INT + 2] * (pos - floor(pos)) END, 5) + 0.0::DOUBLE AS value FROM q""",
 )
 def resize(spark: SparkSession, d: str) -> DataFrame:
     wide = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return wide.select("vec_id", F.posexplode(N.resized(F.col("v"), 100)).alias("i", "value")).select("vec_id", "i", F.round("value", 5).alias("value"))
+    return wide.select("vec_id", F.posexplode(N.resized(F.col("v"), 100)).alias("i", "value")).select("vec_id", "i", (F.round("value", 5) + F.lit(0.0)).alias("value"))  # no negative zeros
 
 
 _VALID = "valid AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM sizes WHERE size BETWEEN 1 AND 2048)"
