@@ -222,6 +222,19 @@ def test_tokenizers_agree(spark, sf_dir):
         K.Trie({1: b"a"}).encode(b"ab")
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_native_tokenizer_equals_trie(seed):
+    import random
+
+    rng = random.Random(seed)
+    pieces = {bytes(rng.choices(b"abc\xc3\xa9", k=rng.randint(2, 7))) for _ in range(rng.choice([3, 40, 400]))}
+    words = vocab.byte_vocab() | {300 + i: p for i, p in enumerate(sorted(pieces))}
+    native, plain = K.Trie(words), K.Trie(words, native=False)
+    for _ in range(300):
+        data = bytes(rng.choices(b"abc\xc3\xa9d", k=rng.randint(0, 60)))
+        assert native.encode(data) == plain.encode(data)
+
+
 def test_safe_decode():
     words = vocab.byte_vocab()
     e = [b + 1 for b in "\u00e9".encode()]

@@ -14,6 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 #: Ids with a role of their own: end of a document, padding and mask.
 EOS, PAD, MASK = 0, 65534, 65535
 
@@ -30,9 +35,21 @@ def cut(text: Column, pieces: list[str]) -> Column:
 
 
 class Trie:
-    """Byte trie as nested dictionaries; ``None`` holds the id of a node that ends a token."""
+    """Greedy longest-match encoder over the bytes of a text.
+
+    With ``ahocorasick`` installed its automaton finds the leftmost longest tokens; bytes are its characters.  Without
+    it a trie of nested dictionaries does, in which ``None`` holds the id of a node that ends a token.
+    """
 
-    def __init__(self, vocab: dict[int, bytes]):
+    def __init__(self, vocab: dict[int, bytes], native: bool = True):
+        self.automaton = None
+        if native and ahocorasick is not None and vocab:
+            self.automaton = ahocorasick.Automaton()
+            for token_id, token in vocab.items():
+                if token:
+                    self.automaton.add_word(token.decode("latin-1"), (token_id, len(token)))
+            self.automaton.make_automaton()
+            return
         self.root: dict = {}
         for token_id, token in vocab.items():
             node = self.root
@@ -41,6 +58,11 @@ class Trie:
             node[None] = token_id
 
     def encode(self, data: bytes) -> list[int]:
+        if self.automaton is not None:
+            found = [v for _, v in self.automaton.iter_long(data.decode("latin-1"))]
+            if sum(n for _, n in found) != len(data):
+                raise ValueError("some bytes begin no token")
+            return [i for i, _ in found]
         out, at = [], 0
         while at < len(data):
             node, best, end = self.root, None, at

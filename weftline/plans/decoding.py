@@ -122,12 +122,12 @@ def _chars(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "win9_decayed_counts",
     f"""WITH {_CHARS}, n AS (SELECT doc_id, pos // 64 AS block, token, count(*) AS n FROM chars GROUP BY ALL), m AS (SELECT doc_id, max(block) AS last FROM n GROUP BY doc_id)
-SELECT doc_id, token, round(sum(n * pow(0.9, last - block)), 6) AS count FROM n JOIN m USING (doc_id) GROUP BY doc_id, token""",
+SELECT doc_id, token, round(sum(n * pow(0.5, last - block)), 6) AS count FROM n JOIN m USING (doc_id) GROUP BY doc_id, token""",
 )
 def decayed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts after the last block of 64 characters."""
     blocks = _chars(spark, d).select("doc_id", F.expr("pos div 64").alias("block"), "token")
-    return D.decayed_counts(blocks, ["doc_id"], 0.9).select("doc_id", "token", F.round("count", 6).alias("count"))
+    return D.decayed_counts(blocks, ["doc_id"], 0.5).select("doc_id", "token", F.round("count", 6).alias("count"))
 
 
 @query(

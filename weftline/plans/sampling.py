@@ -11,6 +11,7 @@ from weftline.functions import numbers as N
 from weftline.operators import sampling as P
 from weftline.plans.registry import query, table
 from weftline.plans.tokens import _LENGTHS, length_filter
+from weftline.session import spread
 
 _SLOTS = (101, 1000, 4321, 60000)
 
@@ -111,7 +112,7 @@ def sampled_docs(spark: SparkSession, d: str) -> DataFrame:
 def char_streams(spark: SparkSession, d: str) -> DataFrame:
     """Characters as tokens with an end token: code point plus one, small Latin letters lossable."""
     chars = F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0))
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", chars.alias("c"))
+    docs = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", chars.alias("c"))
     tokens = F.concat(F.transform("c", lambda c: F.ascii(c) % 60000 + 1), F.array(F.lit(0)))
     return docs.select("doc_id", tokens.alias("tokens"), F.transform("c", lambda c: F.when(c.between("a", "z"), 1).otherwise(0)).alias("lossable"))
 

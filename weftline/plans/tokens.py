@@ -10,6 +10,7 @@ from weftline.operators import tokenize as K
 from weftline.operators.ranks import ranked
 from weftline.plans.conversation import _CHAT_SQL, _NUMBERED
 from weftline.plans.registry import query, table, turns
+from weftline.session import spread
 from weftline.sources.vocab import byte_vocab
 
 #: A small vocabulary of our own with pieces that overlap.
@@ -24,7 +25,7 @@ VOCAB = byte_vocab(PIECES)
 @query("tok7_encode_counts", f"WITH {_TOK} SELECT doc_id, sum(CASE WHEN piece IN {_IN} THEN 1 ELSE strlen(piece) END)::BIGINT AS n_tokens, count_if(piece IN {_IN}) AS n_pieces FROM cut GROUP BY doc_id")
 def encode_counts(spark: SparkSession, d: str) -> DataFrame:
     """Token counts inside Catalyst: an alternation cuts the text, other characters count their bytes."""
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", F.explode(K.cut(F.col("text"), PIECES)).alias("piece"))
+    docs = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.explode(K.cut(F.col("text"), PIECES)).alias("piece"))
     known = F.col("piece").isin(PIECES)
     return docs.groupBy("doc_id").agg(F.sum(F.when(known, 1).otherwise(F.octet_length("piece"))).alias("n_tokens"), F.count_if(known).alias("n_pieces"))
 
@@ -33,14 +34,14 @@ def encode_counts(spark: SparkSession, d: str) -> DataFrame:
 def trie_counts(spark: SparkSession, d: str) -> DataFrame:
     """The same counts by the byte trie."""
     encode = K.encoder(VOCAB)
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.size(encode("text")).cast("bigint").alias("n_tokens"))
+    return spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.size(encode("text")).cast("bigint").alias("n_tokens"))
 
 
 @query("tok3_round_trip", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Decoding what was encoded gives the text again."""
     encode, decode = K.encoder(VOCAB), K.decoder(VOCAB)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", decode(encode("text")).alias("text"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", decode(encode("text")).alias("text"))
 
 
 @query("jon6_decode_join", "SELECT doc_id, text FROM documents WHERE text <> ''")
