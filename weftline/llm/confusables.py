@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import staged
+from weftline.session import spread, staged
 
 #: Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKES = {
@@ -100,7 +100,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text, form)`` of every row.  A null text has a null form, an empty one an empty form; repeated rows stay."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_forms, "id bigint, text string, form string")
+    return spread(src).mapInArrow(_forms, "id bigint, text string, form string")
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import run_hashes, word_hashes, words_of
-from weftline.session import staged
+from weftline.session import spread, staged
 
 #: Bits of a signature: as many 64-bit words.
 WORDS = 4
@@ -184,7 +184,7 @@ def _join(t: float):
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int = 5, min_words: int = 0) -> DataFrame:
     """``(id, key, n, runs)`` of every text with at least ``k`` and ``min_words`` words; null texts have none."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_signatures(min_words, k), "id bigint, key binary, n int, runs array<bigint>")
+    return spread(src).mapInArrow(_signatures(min_words, k), "id bigint, key binary, n int, runs array<bigint>")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 0, block: int = 2048) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.ranks import ranked
-from weftline.session import staged
+from weftline.session import spread, staged
 
 #: A public byte-level vocabulary, one base64 token and its rank a line, and the pattern that cuts texts into words.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = T
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], schema=schema)
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return src.mapInArrow(run, "doc_id bigint, n_tokens bigint").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return spread(src).mapInArrow(run, "doc_id bigint, n_tokens bigint").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import staged
+from weftline.session import spread, staged
 
 #: Size of the term space, of the projected vectors and the number of leaves.
 TERMS, DIM, LEAVES = 1 << 16, 64, 256
@@ -478,7 +478,7 @@ def leaf_mixtures(tokens: DataFrame, model: Model) -> DataFrame:
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return staged(src.mapInArrow(_tokenized, "doc_id bigint, toks binary, terms binary, n binary"), "subject-tokens")
+    return staged(spread(src).mapInArrow(_tokenized, "doc_id bigint, toks binary, terms binary, n binary"), "subject-tokens")
 
 
 def subjects_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, areas: DataFrame, share: float = 0.2, leaves: int = LEAVES) -> DataFrame:
