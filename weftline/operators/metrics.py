@@ -42,8 +42,8 @@ def checkpoint_number(name: Column) -> Column:
 def latest_two(df: DataFrame, name: str) -> DataFrame:
     """``(latest, previous)`` checkpoint numbers."""
     n = df.select(checkpoint_number(F.col(name)).alias("n")).where("n is not null").distinct()
-    top = n.agg(F.max("n").alias("latest"))
-    return top.crossJoin(n.join(F.broadcast(top), n["n"] < top["latest"]).agg(F.max("n").alias("previous")))
+    two = n.orderBy(F.desc("n")).limit(2)
+    return two.agg(F.max("n").alias("latest"), F.when(F.count(F.lit(1)) == 2, F.min("n")).alias("previous"))
 
 
 def superseded(df: DataFrame, by: str, newest: list[Column], keep: int) -> DataFrame:
