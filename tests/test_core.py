@@ -184,6 +184,29 @@ def test_samples(spark):
     assert not any(rows[2]["masked"]) and set(rows[3]["y"]) == {-100}
 
 
+def test_samples_of_whole_documents(spark, sf_dir):
+    """No token is cut or left out, and blocks that a fixed context has too are equal."""
+    docs = spark.createDataFrame([(1, [5] * 10 + [0], [1] * 10 + [0]), (2, [7] * 999 + [0], [1] * 999 + [0]), (3, [], []), (4, [9] * 15 + [0], [0] * 16)], "doc_id bigint, tokens array<int>, lossable array<tinyint>")
+    whole = {r["doc_id"]: r for r in SA.assemble(docs, None, 8).collect()}
+    assert {i: len(r["masked"]) for i, r in whole.items()} == {1: 16, 2: 1000, 3: 0, 4: 16}
+    assert all(len(r["x"]) == len(r["y"]) == 3 * len(r["masked"]) for r in whole.values())
+    clean = np.array(whole[2]["x"]).reshape(-1, 3, 8)[:, 2].reshape(-1)
+    assert clean.tolist() == [7] * 999 + [0] and whole[2]["masked"][-1] and whole[2]["y"][-9] == 0
+    for r in SA.assemble(docs, 100, 8).collect():
+        n = min(32, len(whole[r["doc_id"]]["masked"]))
+        assert all(r[c][: k * n] == whole[r["doc_id"]][c][: k * n] for c, k in (("masked", 1), ("x", 3), ("y", 3)))
+    sums = SA.block_sums(docs, 8).collect()
+    assert len(sums) == 2 + 125 + 2 and sum(r["total"] for r in sums if r["doc_id"] == 2) == 7 * 999
+
+    from weftline.plans import sampling as PS
+
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").select("doc_id", "text").collect())
+    got = PS.eos_blocks_whole(spark, sf_dir).collect()
+    assert len(got) == sum(len(t) // 32 + 1 for t in texts.values()) and max(len(t) for t in texts.values()) > 2048
+    assert {(r["doc_id"], r["block"]) for r in got if r["has_eos"]} == {(i, len(t) // 32) for i, t in texts.items()}
+    assert sorted(PS.whole_streams(spark, sf_dir).collect()) == sorted((i, t, [*loss, 0]) for i, t, loss in PS.char_streams(spark, sf_dir).collect())
+
+
 def test_flat_windows(spark):
     sizes = [3, 50, 1, 200, 7]
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, size bigint")

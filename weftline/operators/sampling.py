@@ -46,56 +46,99 @@ def flat_window_parts(sizes: DataFrame, ctx_len: int) -> DataFrame:
     return inside.select("win", "doc_id", (F.greatest("start", lo) - F.col("start")).alias("doc_from"), (F.least(end, hi) - F.col("start")).alias("doc_to"))
 
 
-def assemble(docs: DataFrame, ctx_len: int, block: int, epoch: int = 0, r_min: float = 0.0, r_max: float = 1.0, p_full: float = 0.1, force_eos: bool = True, force_pad: bool = True, eos: int = 0, pad: int = 65534, mask: int = 65535) -> DataFrame:
+#: Positions assembled at a time, which bounds the memory of a task; a longer document is assembled alone.
+PIECE = 1 << 18
+_INPUT = {"doc_id": "bigint", "tokens": "array<int>", "lossable": "array<tinyint>"}
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], block: int, blocks: int | None, epoch: int, r_min: float, r_max: float, p_full: float, force_eos: bool, force_pad: bool, eos: int, pad: int, mask: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, blocks of each document, and by block: its number, ``masked``, ``x`` and ``y``.
+
+    A document is cut or filled to ``blocks``, or with None held in as many as it needs.
+    """
+    for b in batches:
+        sizes = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64)
+        each = -(-sizes // block) if blocks is None else np.full(len(b), blocks)
+        ends = np.cumsum(each * block)
+        lo = 0
+        while lo < len(b):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, side="right")))
+            ids, count = b.column(0).slice(lo, hi - lo), each[lo:hi]
+            first = np.cumsum(count) - count
+            clean, lossable = np.full((count.sum(), block), pad, np.int32), np.zeros((count.sum(), block), bool)
+            for column, out in ((b.column(1), clean), (b.column(2), lossable)):
+                start, values = column.offsets.to_numpy()[lo : hi + 1], column.values.to_numpy(zero_copy_only=False)
+                held = np.minimum(np.diff(start), count * block)
+                inner = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+                out.reshape(-1)[np.repeat(first * block, held) + inner] = values[np.repeat(start[:-1], held) + inner]
+            doc, number = np.repeat(ids.to_numpy(), count), np.arange(count.sum()) - np.repeat(first, count)
+            ratio = r_min + (r_max - r_min) * uniform_array(doc, epoch, number, 1)
+            ratio = np.where(uniform_array(doc, epoch, number, 2) < p_full, 1.0, ratio)
+            masked = (uniform_array(doc[:, None], epoch, number[:, None] * block + np.arange(block), 3) < ratio[:, None]) & lossable
+            ends_here = clean == eos
+            if force_eos:
+                masked |= ends_here
+            if force_pad:
+                masked |= (clean == pad) & ends_here.any(axis=1, keepdims=True)
+            noisy = np.where(masked, mask, clean).astype(np.int32)
+            y = np.full((len(clean), 3, block), IGNORE, np.int32)
+            y[:, 1] = np.where(masked & (clean != pad), clean, IGNORE)
+            yield ids, count, number, masked, np.stack([noisy, noisy, clean], axis=1), y
+            lo = hi
+
+
+def _checked(docs: DataFrame, eos: int, pad: int) -> DataFrame:
+    if pad == eos:
+        raise ValueError("padding and end token must differ")
+    return docs.select(*[F.col(c).cast(kind).alias(c) for c, kind in _INPUT.items()])
+
+
+def assemble(docs: DataFrame, ctx_len: int | None, block: int, epoch: int = 0, r_min: float = 0.0, r_max: float = 1.0, p_full: float = 0.1, force_eos: bool = True, force_pad: bool = True, eos: int = 0, pad: int = 65534, mask: int = 65535) -> DataFrame:
     """``(doc_id, masked, x, y)`` of ``docs(doc_id, tokens, lossable)``.
 
     Each block draws its own mask ratio, and with ``p_full`` it is 1.  Lossable positions are masked by that ratio;
     end tokens always, and so is the padding in a block with an end token.  ``x`` holds two masked copies and the
     clean one of each block, ``y`` the clean token at masked positions of the second copy that are no padding,
     -100 elsewhere.  All draws are functions of document, epoch and position.
+
+    A document is cut or filled to what ``ctx_len`` holds; drop longer ones before, or give None: then each document
+    is held whole in as many blocks as it needs.  Blocks that both have are equal.
     """
-    if pad == eos:
-        raise ValueError("padding and end token must differ")
-    raw = raw_length(ctx_len, block)
-    blocks = raw // block
+    raw = None if ctx_len is None else raw_length(ctx_len, block)
     schema = pa.schema([("doc_id", pa.int64()), ("masked", pa.list_(pa.bool_())), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))])
 
-    def fixed(column: pa.ListArray, fill: int, dtype) -> np.ndarray:
-        out = np.full((len(column), raw), fill, dtype)
-        offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            n = min(b - a, raw)
-            out[i, :n] = values[a : a + n]
-        return out
+    def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.reshape(-1), kind))
+
+    def filled(values: np.ndarray, n: int, fill: int) -> np.ndarray:
+        return values if ctx_len is None else np.pad(values.reshape(n, 3 * raw), ((0, 0), (0, ctx_len - 3 * raw)), constant_values=fill)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, count, _, masked, x, y in _pieces(batches, block, None if raw is None else raw // block, epoch, r_min, r_max, p_full, force_eos, force_pad, eos, pad, mask):
+            n = len(ids)
+            sizes = 3 * count * block if ctx_len is None else np.full(n, ctx_len)
+            yield pa.RecordBatch.from_arrays([ids, lists(masked, count * block, pa.bool_()), lists(filled(x, n, pad), sizes, pa.int32()), lists(filled(y, n, IGNORE), sizes, pa.int32())], schema=schema)
 
-    def lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-        n, width = values.shape
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.reshape(-1), kind))
+    return _checked(docs, eos, pad).mapInArrow(run, "doc_id bigint, masked array<boolean>, x array<int>, y array<int>")
+
+
+def block_sums(docs: DataFrame, block: int, epoch: int = 0, r_min: float = 0.0, r_max: float = 1.0, p_full: float = 0.1, force_eos: bool = True, force_pad: bool = True, eos: int = 0, pad: int = 65534, mask: int = 65535) -> DataFrame:
+    """Sums of every block of whole documents as ``assemble(docs, None, block)`` builds them, a row a block.
+
+    ``(doc_id, block, n_masked, places, has_eos, padding, total, weighted, supervised, targets)``: masked positions and
+    the sum of their places from 1 on; the clean tokens' sum; the sums of each of the three copies and of the targets,
+    each token times its place.  The samples themselves do not leave the task.
+    """
+    place = np.arange(1, block + 1)
+    kinds = {"doc_id": pa.int64(), "block": pa.int32(), "n_masked": pa.int64(), "places": pa.int64(), "has_eos": pa.bool_(), "padding": pa.int64(), "total": pa.int64(), "weighted": pa.list_(pa.int64()), "supervised": pa.int64(), "targets": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), 256):
-                b = whole.slice(lo, 256)
-                doc = b.column(0).to_numpy()[:, None]
-                clean, lossable = fixed(b.column(1), pad, np.int32), fixed(b.column(2), 0, np.int8) > 0
-                n = len(doc)
-                at = np.arange(blocks)[None]
-                ratio = r_min + (r_max - r_min) * uniform_array(doc, epoch, at, 1)
-                ratio = np.where(uniform_array(doc, epoch, at, 2) < p_full, 1.0, ratio)
-                masked = (uniform_array(doc, epoch, np.arange(raw)[None], 3) < np.repeat(ratio, block, axis=1)) & lossable
-                ends = clean == eos
-                if force_eos:
-                    masked |= ends
-                if force_pad:
-                    masked |= (clean == pad) & np.repeat(ends.reshape(n, blocks, block).any(axis=2), block, axis=1)
-                noisy = np.where(masked, mask, clean).reshape(n, blocks, 1, block)
-                x = np.full((n, ctx_len), pad, np.int32)
-                y = np.full((n, ctx_len), IGNORE, np.int32)
-                x[:, : 3 * raw] = np.concatenate([noisy, noisy, clean.reshape(n, blocks, 1, block)], axis=2).reshape(n, -1)
-                target = np.full((n, blocks, 3, block), IGNORE, np.int32)
-                target[:, :, 1] = np.where(masked & (clean != pad), clean, IGNORE).reshape(n, blocks, block)
-                y[:, : 3 * raw] = target.reshape(n, -1)
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(masked, pa.bool_()), lists(x, pa.int32()), lists(y, pa.int32())], schema=schema)
-
-    src = docs.select(F.col("doc_id").cast("bigint"), F.col("tokens").cast("array<int>"), F.col("lossable").cast("array<tinyint>"))
-    return src.mapInArrow(run, "doc_id bigint, masked array<boolean>, x array<int>, y array<int>")
+        for ids, count, number, masked, x, y in _pieces(batches, block, None, epoch, r_min, r_max, p_full, force_eos, force_pad, eos, pad, mask):
+            clean, told = x[:, 2], y != IGNORE
+            weighted = (x * place.astype(np.int64)).sum(axis=2)
+            three = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * 3), pa.array(weighted.reshape(-1)))
+            sums = [np.repeat(ids.to_numpy(), count), number.astype(np.int32), masked.sum(axis=1), masked @ place, (clean == eos).any(axis=1), (clean == pad).sum(axis=1), clean.sum(axis=1, dtype=np.int64), three, told.sum(axis=(1, 2)), (np.where(told, y, 0) * place.astype(np.int64)).sum(axis=(1, 2))]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in sums], schema=schema)
+
+    return _checked(docs, eos, pad).mapInArrow(run, "doc_id bigint, block int, n_masked bigint, places bigint, has_eos boolean, padding bigint, total bigint, weighted array<bigint>, supervised bigint, targets bigint")

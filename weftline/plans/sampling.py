@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,6 +175,68 @@ def eos_blocks(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("doc_id", F.expr(f"cast(pos div {_BLOCK} as int)").alias("block")).agg(F.bool_or(F.col("t") == 0).alias("has_eos"))
 
 
+#: Whole documents: positions by the real length of each text, the last block filled.  The queries above show a context of ``_RAW`` tokens.
+_WHOLE = f"""cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text <> ''),
+wide AS (SELECT doc_id, c || list_transform(range(len(c), (len(c) // {_BLOCK} + 1) * {_BLOCK}), lambda i: '') AS c, len(c) AS n FROM cut),
+pos AS (SELECT doc_id, i AS pos, i // {_BLOCK} AS block, i % {_BLOCK} AS off, CASE WHEN i < n THEN unicode(ch) % 60000 + 1 WHEN i = n THEN 0 ELSE 65534 END AS tok, i < n AND ch BETWEEN 'a' AND 'z' AS lossable
+  FROM (SELECT doc_id, n, unnest(c) AS ch, unnest(range(0, len(c))) AS i FROM wide)),
+drawn AS {_SAMPLE[_SAMPLE.index("drawn AS ") + len("drawn AS ") :]}"""
+
+
+def whole_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The streams of ``char_streams`` with a loss bit for the end token too, by code points in Arrow batches: long texts are not cut here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                b = whole.slice(lo, 256)
+                codes = [np.frombuffer(t.encode("utf-32-le"), np.int32) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([len(c) + 1 for c in codes])
+                flat = np.concatenate([np.append(c, -1) for c in codes])
+                offsets = pa.array(np.append(0, ends).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (np.where(flat < 0, 0, flat % 60000 + 1).astype(np.int32), ((flat >= ord("a")) & (flat <= ord("z"))).astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "tokens", "lossable"])
+
+    docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").cast("bigint"), "text")
+    return spread(docs).mapInArrow(run, "doc_id bigint, tokens array<int>, lossable array<tinyint>")
+
+
+def _block_sums(spark: SparkSession, d: str) -> DataFrame:
+    return P.block_sums(whole_streams(spark, d), _BLOCK)
+
+
+@query("arr_block_mask_whole", f"WITH {_WHOLE} SELECT doc_id, block::INTEGER AS block, count_if(masked) AS n_masked, coalesce(sum(off + 1) FILTER (WHERE masked), 0)::BIGINT AS places FROM sample GROUP BY doc_id, block")
+def block_mask_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of all blocks of all documents, none cut and none left out for its length."""
+    return _block_sums(spark, d).select("doc_id", "block", "n_masked", "places")
+
+
+@query(
+    "arr_triplet_whole",
+    f"""WITH {_WHOLE}, m AS (SELECT *, CASE WHEN masked THEN 65535 ELSE tok END AS noisy FROM sample)
+SELECT doc_id, block::INTEGER AS block, role, sum(CASE WHEN role < 2 THEN noisy ELSE tok END * (off + 1))::BIGINT AS weighted FROM m, (VALUES (0), (1), (2)) r(role) GROUP BY doc_id, block, role""",
+)
+def triplet_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _block_sums(spark, d).select("doc_id", "block", F.posexplode("weighted").alias("role", "weighted"))
+
+
+@query("arr_targets_whole", f"WITH {_WHOLE} SELECT doc_id, block::INTEGER AS block, count(*) AS supervised, sum(tok * (off + 1))::BIGINT AS weighted FROM sample WHERE masked AND tok <> 65534 GROUP BY doc_id, block")
+def targets_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _block_sums(spark, d).where("supervised > 0").select("doc_id", "block", "supervised", F.col("targets").alias("weighted"))
+
+
+@query("arr1_padded_whole", f"WITH {_WHOLE} SELECT doc_id, count_if(tok = 65534) AS padding, sum(tok * (pos + 1))::BIGINT AS weighted FROM sample GROUP BY doc_id")
+def padded_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents filled to whole blocks."""
+    placed = F.col("weighted")[2] + F.col("block").cast("bigint") * _BLOCK * F.col("total")
+    return _block_sums(spark, d).groupBy("doc_id").agg(F.sum("padding").alias("padding"), F.sum(placed).alias("weighted"))
+
+
+@query("agg19_eos_blocks_whole", f"WITH {_WHOLE} SELECT doc_id, block::INTEGER AS block, bool_or(tok = 0) AS has_eos FROM sample GROUP BY doc_id, block")
+def eos_blocks_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _block_sums(spark, d).select("doc_id", "block", "has_eos")
+
+
 _DIGITS = N.sql_uniform("i", "0", "0", 11)
 _VALUE = N.sql_uniform("i", "0", "1", 12)
 
