@@ -49,6 +49,21 @@ def test_held_out_accuracy(spark):
     assert hit / sum(len(truth[i]) for i in held) > 0.95 and hit / sum(len(got.get(i, ())) for i in held) > 0.95
 
 
+def test_small_subject_keeps_its_leaf(spark):
+    """A subject of less than 1 / 5,000 of all terms is found, however much else there is."""
+    rng = random.Random(4)
+    docs = [(i, ". ".join(" ".join(rng.choices(WORDS[s], k=10)) for _ in range(70)) + ".") for i, s in enumerate(sorted(WORDS) * 125)]
+    small = range(1000, 1012)
+    docs += [(i, " ".join(rng.choices([f"che{x}" for x in "abcdef"], k=5)) + ".") for i in small]
+    terms = sum(len(t.split()) for _, t in docs)
+    assert sum(len(t.split()) for i, t in docs if i in small) < 2e-4 * terms
+    labels = [(i, s, "r") for i, s in enumerate(sorted(WORDS) * 5)] + [(i, "chess", "r") for i in small if i % 2]
+    areas = [*AREAS, ("chess", "Chess", "all about it")]
+    got = S.subjects_of(spark.createDataFrame(docs, DOCS), "doc_id", "text", spark.createDataFrame(labels, LABELS), spark.createDataFrame(areas, AREA), leaves=24).collect()
+    assert {r["doc_id"] for r in got if r["subject"] == "chess"} == set(small)
+    assert all(r["subject"] == sorted(WORDS)[r["doc_id"] % 4] for r in got if r["doc_id"] < 1000)
+
+
 @pytest.mark.parametrize("docs", [[], [(1, None), (2, ""), (3, " \n"), (None, "x")], [(1, "one two three")], [(1, "word " * 40_000), (2, "word " * 40_000)]])
 def test_small_tables(spark, docs):
     for labels in ([], [(1, "law", None), (None, "law", "r"), (2, None, "r"), (3, "unknown", "r")]):

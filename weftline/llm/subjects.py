@@ -40,8 +40,6 @@ TELLING = 1.0
 BLOCK = 1 << 12
 #: Columns of the token table: distinct terms with counts, and the sequence.
 TF, SEQUENCE = ("doc_id", "terms", "n"), ("doc_id", "toks")
-#: Leaves that keep less than this share of the terms once sentences are assigned are copies of others and dropped.
-NEGLIGIBLE = 2e-4
 #: Levels of the tree whose halves are reassigned by their centres; deeper ones keep the axis that split them.
 REFINED = 24
 #: Power of the size in the spread of a leaf.
@@ -400,7 +398,7 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
                             acc[k_leaves + s, leaf_id] += w * share
 
     second = _counts(tokens.select(*SEQUENCE), k_leaves + k_subjects, by_sentence)
-    held = np.flatnonzero(second[:k_leaves].sum(axis=1) >= NEGLIGIBLE * max(second[:k_leaves].sum(), 1))
+    held = np.flatnonzero(second[:k_leaves].any(axis=1))  # every leaf that a sentence was assigned to, however small
     evidence = second[k_leaves:, held].T.astype(np.float64)
     second = second[held if len(held) else [0]]
     model = Model(second, background, [])
