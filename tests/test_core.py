@@ -284,6 +284,13 @@ def test_token_streams(spark):
     assert got == [([98, 99, 100, 0], [1, 1, 0, 0]), ([0], [0]), ([0], [0])]
 
 
+def test_store_slice_is_not_empty(spark, sf_dir):
+    from weftline.plans import control
+
+    n = control.sizes_only(spark, sf_dir).count()
+    assert n > 4 and sorted(r["doc_id"] for r in control.store_slice(spark, sf_dir).collect()) == list(range(n // 4, n - n // 4))
+
+
 def test_binidx_round_trip(spark, tmp_path):
     docs = [(i, list(range(1, 1 + i * 3)), [j % 2 for j in range(i * 3)]) for i in range(7)]
     df = spark.createDataFrame(docs[::-1], "doc_order bigint, tokens array<int>, lossable array<tinyint>")

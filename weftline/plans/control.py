@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftline.operators import control as C
 from weftline.operators import segments as S
 from weftline.operators import tokenize as K
-from weftline.plans.registry import TURNS, query, table, turns
+from weftline.plans.registry import SQL, TURNS, query, table, turns
 from weftline.plans.tokens import VOCAB
 from weftline.sources import binidx, config, jsonl
 
@@ -71,6 +71,19 @@ def sizes_only(spark: SparkSession, d: str) -> DataFrame:
     return binidx.read(spark, _store(spark, d), "sizes")
 
 
+@query(
+    "src10_store_slice",
+    f"""SELECT doc_id, n_tokens AS size, n_lossable FROM (SELECT *, row_number() OVER (ORDER BY request_id) - 1 AS doc_id, count(*) OVER () AS n FROM ({SQL["tok5_token_streams"]}))
+WHERE doc_id >= n // 4 AND doc_id < n - n // 4""",
+)
+def store_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The middle half of a store, a contiguous range of its documents that grows with it."""
+    prefix = _store(spark, d)
+    n = binidx.header(prefix)[1]
+    middle = binidx.contiguous(binidx.read(spark, prefix), n // 4, n - n // 4)
+    return middle.select("doc_id", F.size("tokens").alias("size"), F.aggregate("lossable", F.lit(0), lambda a, x: a + x).alias("n_lossable"))
+
+
 _TASKS = """tasks:
   first_task:
     num_fewshot: 5
