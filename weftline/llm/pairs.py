@@ -31,7 +31,7 @@ FUNCTIONS = {
     "copied_question": ("coverage", "uncovered_run", "uncovered_share", "new_sentence", "prompt_coverage"),
     "other_language": ("script", "function_words", "shared_words", "sentence_majority"),
 }
-#: Cutoffs on the posterior; ``tests/llm`` validates them on planted defects.
+#: Cutoffs on the posterior: defaults that no validation chose; ``tests/llm`` runs them on plain planted defects only.
 CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copied_question": 0.5, "other_language": 0.5}
 
 _THINK = re.compile(r"(?is)<think\s*>.*?</think\s*>")
