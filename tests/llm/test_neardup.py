@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,11 +68,38 @@ def test_hot_cells(spark, block):
     assert found(spark.createDataFrame(rows, SCHEMA), 1, 0.6, block=block) == brute(rows, 1, 0.6, 0)
 
 
-def test_trees(monkeypatch, spark):
-    monkeypatch.setattr(neardup, "LEAF", 2)
-    monkeypatch.setattr(neardup, "FANOUT", 2)
-    rows = corpus(6, 100, 25)
-    assert found(spark.createDataFrame(rows, SCHEMA), 1, 0.5) == brute(rows, 1, 0.5, 0)
+@pytest.mark.parametrize("fanout", [2, 8])
+def test_trees(monkeypatch, fanout):
+    """The traversal keeps every pair of a cell that the bounds of its rows allow, and prunes inner nodes."""
+    monkeypatch.setattr(neardup, "FANOUT", fanout)
+    rng, t, rows = random.Random(fanout), 0.5, []
+    for run in range(60):
+        for i in range(rng.randint(1, 12)):
+            held = rng.sample(range(256), rng.randint(4, 30))
+            bits = [0] * neardup.WORDS
+            for h in held:
+                bits[h // 64 % neardup.WORDS] |= 1 << (h % 64)
+            ones = sum(b.bit_count() for b in bits)
+            rows.append((run, len(held), len(held) - rng.randint(0, 3), len(held) - ones, bits))
+    rows.sort(key=lambda r: r[:2])
+    cols = {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(("run", "n", "rem", "surplus"))}
+    zero = np.zeros(len(rows), np.int64)
+    pruned: dict[str, int] = {}
+    x, y = neardup.tree_pairs(cols | {"salts": zero, "side": zero, "bits": np.array([r[4] for r in rows], np.uint64)}, t, pruned)
+
+    def allowed(a, b):
+        least = math.ceil(t / (1 + t) * (a[1] + b[1]) - 1e-9)
+        shared = sum((p & q).bit_count() for p, q in zip(a[4], b[4]))
+        return a[0] == b[0] and min(a[1], b[1]) >= t * max(a[1], b[1]) - 1e-9 and min(shared + min(a[3], b[3]), a[2], b[2]) >= least
+
+    assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if allowed(rows[i], rows[j])}
+    assert pruned["nodes by routing"] > 0 and pruned["rows tested"] < len(rows) ** 2 / 8
+
+
+def test_without_broadcasts(monkeypatch, spark):
+    monkeypatch.setattr(neardup, "SMALL", -1)
+    rows = corpus(7) + [(2000 + i, text) for i, (_, text) in enumerate(corpus(7))]
+    assert found(spark.createDataFrame(rows, SCHEMA), 2, 0.5) == brute(rows, 2, 0.5, 0)
 
 
 def test_edge_cases(spark):

@@ -3,17 +3,23 @@
 Texts are sets of hashed word runs.  Exact copies (equal sets) are one class.  Between classes all pairs with
 Jaccard similarity of at least the threshold are found, none lost:
 
-1. Runs are ordered by rarity over the whole collection.  A pair above the threshold shares a run among the
-   ``n - ceil(t*n) + 1`` rarest of both, so a class is routed to the cells of those runs only.  Runs that occur
-   in one class only need no cell.
-2. In each cell a signature tree is built: leaves hold rows of similar size, every node the OR of the token
-   bitmaps below it and the ranges of their sizes.  A dual traversal of the tree with itself drops a pair of
-   nodes when the largest overlap its bitmaps, sizes and remaining positions allow is below the smallest
-   overlap the threshold needs.  A cell of at most one leaf is a tree of one leaf; those of a batch are traversed
-   together.  Pairs that survive are made distinct and counted exactly on the whole sets.
-3. The cell of a run that more than ``block`` classes have is cut into blocks by size band and salt; the roots of all blocks are
-   compared in the same way and only pairs of blocks that can hold a pair of rows are traversed, each as its own
-   group.  No group is larger than about two blocks, however hot a run is.
+1. Texts are packed into blocks of about ``BLOCK_RUNS`` runs, 6 bytes a run; copies within a block are one class there,
+   the others are matched by the digest of their runs, without moving the runs.
+2. Runs are ordered by rarity: by the binary logarithm of their number of classes, then by hash.  To learn it a block sends each
+   of its distinct runs once, with a count, to the bucket of the run's leading bits, and gets one byte back for it.
+   However hot a run is, it costs a block one entry.
+3. A pair above the threshold shares a run among the ``n - ceil(t*n) + 1`` rarest of both, so a class goes to the
+   cells of those runs only.  Runs of one class need no cell.
+4. Cells arrive sorted by run and are gathered into signature trees of about ``CELL`` rows.  Rows are the lowest nodes; each
+   node holds the OR of two token bitmaps below it, of the runs its rows were routed by and of all runs that
+   other classes have too, the range of its sizes and the most runs that remain from the routing run on.  A dual
+   traversal of the tree with itself drops a pair of nodes whose largest possible overlap of routing runs is
+   zero or whose largest possible overlap of all runs (shared bits, bits that collide, remaining runs) is below
+   the smallest that the threshold needs at these sizes.
+5. Pairs of rows that survive are made distinct and counted exactly on the whole sets.
+
+The cell of a run that may have more than ``block`` classes is cut by salts into a triangle of sub-cells, each of about two
+blocks, in which only rows of different salts meet (on the diagonal, of the same); no task holds more of a run.
 """
 
 from __future__ import annotations
@@ -23,17 +29,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import run_hashes, word_hashes, words_of
 from weftline.session import spread, staged
 
-#: Bits of a signature: as many 64-bit words.
-WORDS = 4
-#: Rows of a leaf and children of an inner node.
-LEAF, FANOUT = 16, 8
+#: Bits of a run's hash: two runs of a pair of texts of 100 runs coincide with a probability below 1e-10.
+RUN_BITS = 48
+#: Runs of a block of texts and of a bucket of the count, and rows of a tree.
+BLOCK_RUNS, BUCKET_RUNS, CELL = 1 << 17, 1 << 22, 1 << 12
+#: Bits of the bitmaps of all shared runs and of routing runs, as 64-bit words.
+WORDS, ROUTES = 2, 8
+#: Children of a node.
+FANOUT = 8
+#: Rows of a table that may be broadcast: at most 40 bytes each.
+SMALL = 1 << 20
 EPS = 1e-9
+_PLACE = 17  # bits of a class's place in its block; at most 65,536 classes lie in one
 
 
 def need(na, nb, t: float):
@@ -41,24 +55,140 @@ def need(na, nb, t: float):
     return np.ceil(t / (1 + t) * (na + nb) - EPS)
 
 
-def _signatures(min_words: int, k: int):
-    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("runs", pa.list_(pa.int64()))])
+def _packed(runs: np.ndarray) -> tuple[bytes, bytes]:
+    return runs.astype("<u4").tobytes(), (runs >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def _unpacked(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("place", pa.binary()), ("keys", pa.binary()), ("first", pa.binary()), ("n", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+
+
+def _blocks(min_words: int, k: int):
+    mask = np.uint64((1 << RUN_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        ids, place, known, first, runs, size = [], [], {}, [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            low, high = _packed(np.concatenate(runs))
+            arrays = (np.array(ids, "<i8"), np.array(place, "<i4"), np.array(first, "<i8"), np.array([len(r) for r in runs], "<i4"))
+            a, b, c, d = (x.tobytes() for x in arrays)
+            return _batch(_BLOCKS, [block], [size], [a], [b], [b"".join(known)], [c], [d], [low], [high])
+
         for b in batches:
-            ids, keys, ns, runs = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < max(min_words, k):
                     continue
-                h = np.unique(run_hashes(word_hashes(words), k)).view(np.int64)
+                h = np.unique(run_hashes(word_hashes(words), k) & mask)
+                key = xxhash.xxh3_128_digest(h.tobytes())
+                at = known.get(key)
+                if at is None:
+                    at = known[key] = len(runs)
+                    first.append(i)
+                    runs.append(h)
+                    size += len(h)
+                first[at] = min(first[at], i)
                 ids.append(i)
-                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-                ns.append(len(h))
-                runs.append(h)
-            offsets = np.concatenate([[0], np.cumsum(ns)]).astype(np.int32)
-            flat = np.concatenate(runs) if runs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+                place.append(at)
+                if size >= BLOCK_RUNS or len(ids) >= 1 << 16:
+                    yield packed()
+                    block += 1
+                    ids, place, known, first, runs, size = [], [], {}, [], [], 0
+        if ids:
+            yield packed()
+
+    return run
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, key, loc)`` of every text; ``loc`` numbers the classes of all blocks."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("loc", pa.int64())])
+    for b in batches:
+        for block, ids, place, keys in zip(*(b.column(i).to_pylist() for i in range(4))):
+            at = np.frombuffer(place, "<i4").astype(np.int64)
+            key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(keys) // 16, [None, pa.py_buffer(keys)]).take(pa.array(at)).cast(pa.binary())
+            yield _batch(schema, pa.array(np.frombuffer(ids, "<i8")), key, pa.array((block << _PLACE) + at))
+
+
+def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(loc, cid, n, runs)`` of every class of a block; ``cid`` is its smallest id."""
+    schema = pa.schema([("loc", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("runs", pa.list_(pa.int64()))])
+    for b in batches:
+        for block, first, n, low, high in zip(*(b.column(i).to_pylist() for i in range(5))):
+            n, runs = np.frombuffer(n, "<i4"), _unpacked(low, high).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(runs))
+            yield _batch(schema, pa.array((block << _PLACE) + np.arange(len(n))), pa.array(np.frombuffer(first, "<i8")), pa.array(n), lists)
+
+
+_COUNTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary())])
+_RARITY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("rarity", pa.binary())])
+
+
+def _counts(buckets: int):
+    """The distinct runs of each block with their number of classes there, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, low, high in zip(*(b.column(i).to_pylist() for i in range(3))):
+                runs, n = np.unique(_unpacked(low, high), return_counts=True)
+                bucket = ((runs >> np.uint64(RUN_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                low_high = [_packed(r) for r in np.split(runs, at[1:])]
+                parts = [np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in np.split(n, at[1:])]
+                yield _batch(_COUNTS, bucket[at], [block] * len(at), [x[0] for x in low_high], [x[1] for x in low_high], parts)
+
+    return run
+
+
+def _rarity(t: pa.Table) -> pa.Table:
+    """The binary logarithm of the number of classes of each run, in the order in which the blocks sent them.  Of one
+    bucket: an entry for each block that has the run."""
+    low, high, n = ([*t.column(c).to_pylist()] for c in ("low", "high", "n"))
+    _, at = np.unique(_unpacked(b"".join(low), b"".join(high)), return_inverse=True)
+    df = np.bincount(at, weights=np.frombuffer(b"".join(n), "<u2"))[at]
+    log = np.floor(np.log2(df)).astype(np.uint8)
+    parts = np.split(log, np.cumsum([len(x) // 4 for x in low])[:-1])
+    return pa.Table.from_arrays([t.column("block"), t.column("bucket"), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_RARITY)
+
+
+_ROWS = pa.schema([("run", pa.int64()), ("rarity", pa.int32()), ("loc", pa.int64()), ("n", pa.int32()), ("rem", pa.int32()), ("surplus", pa.int32()), *((f"b{i}", pa.int64()) for i in range(WORDS))])
+
+
+def _routed(t: float):
+    """The rows of the necessary prefixes of the classes of one block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for block, n, low, high in zip(*(left.column(c).to_pylist() for c in ("block", "n", "low", "high"))):
+            runs, n = _unpacked(low, high), np.frombuffer(n, "<i4").astype(np.int64)
+            told = sorted((b, r) for b, r in zip(right.column("bucket").to_pylist(), right.column("rarity").to_pylist()) if b >= 0)
+            _, at = np.unique(runs, return_inverse=True)
+            log = np.frombuffer(b"".join(r for _, r in told), np.uint8)[at]
+            here = np.ones(len(n), bool)
+            here[[p for p in right.column("place").to_pylist() if p is not None]] = False  # classes of another block
+            own = np.repeat(np.arange(len(n)), n)
+            use = np.flatnonzero((log > 0) & here[own])
+            use = use[np.lexsort((runs[use], log[use], own[use]))]
+            own, log, runs = own[use], log[use], runs[use]
+            held = np.bincount(own, minlength=len(n))
+            bits = np.zeros((len(n), WORDS), np.uint64)
+            np.bitwise_or.at(bits.reshape(-1), own * WORDS + ((runs >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << (runs & np.uint64(63)))
+            surplus = held - np.bitwise_count(bits).sum(axis=1)
+            pos = np.arange(len(own)) - (np.cumsum(held) - held)[own]
+            cut = np.flatnonzero(pos < held[own] - np.ceil(t * n[own] - EPS) + 1)
+            own, pos = own[cut], pos[cut]
+            cols = [runs[cut].astype(np.int64), log[cut], (block << _PLACE) + own, n[own], held[own] - pos, surplus[own], *bits[own].view(np.int64).T]
+            out.append(_batch(_ROWS, *(pa.array(np.ascontiguousarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ROWS))))
+        return pa.Table.from_batches(out, schema=_ROWS)
 
     return run
 
@@ -69,102 +199,92 @@ def _max_overlap(bits_a, bits_b, sur_a, sur_b, rem_a, rem_b):
 
 
 class Tree:
-    """Signature tree over rows sorted by size.  ``levels[0]`` are the rows; a node covers a span of the level below."""
-
-    def __init__(self, bits: np.ndarray, n: np.ndarray, rem: np.ndarray, surplus: np.ndarray):
-        self.levels = [(bits, n, n, rem, surplus)]
-        width = [1]
-        while len(self.levels[-1][0]) > 1:
-            below = self.levels[-1]
-            step = LEAF if len(self.levels) == 1 else FANOUT
-            at = np.arange(0, len(below[0]), step)
-            self.levels.append((np.bitwise_or.reduceat(below[0], at), np.minimum.reduceat(below[1], at), np.maximum.reduceat(below[2], at), np.maximum.reduceat(below[3], at), np.maximum.reduceat(below[4], at)))
-            width.append(step)
-        self.width = width
-
-    def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of nodes of a level: first child and the number of children on the level below."""
-        first = node * self.width[level]
-        return first, np.minimum(self.width[level], len(self.levels[level - 1][0]) - first)
-
-
-def _product(fa, ca, fb, cb) -> tuple[np.ndarray, np.ndarray]:
-    total = ca * cb
-    i = np.repeat(np.arange(len(ca)), total)
-    k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-    return fa[i] + k // cb[i], fb[i] + k % cb[i]
-
-
-def traverse(a: Tree, b: Tree, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the bounds allow.  With ``same`` the trees are one and each pair comes once."""
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while True:
-        A, B = (tuple(v[x] for v in a.levels[la]), tuple(v[y] for v in b.levels[lb]))
-        keep = (A[2] >= np.ceil(t * B[1] - EPS)) & (B[2] >= np.ceil(t * A[1] - EPS))
-        keep &= _max_overlap(A[0], B[0], A[4], B[4], A[3], B[3]) >= need(A[1], B[1], t)
-        if same and la == lb:
-            keep &= (x < y) if la == 0 else (x <= y)
-        x, y = x[keep], y[keep]
-        if (la == 0 and lb == 0) or not len(x):
+    """Signature tree over rows in order.  A level holds, for each node, the OR of the bitmaps of routing runs and of all shared
+    runs, least and greatest size, most remaining runs and most collisions; a node covers ``FANOUT`` nodes below."""
+
+    def __init__(self, routes: np.ndarray, bits: np.ndarray, n: np.ndarray, rem: np.ndarray, surplus: np.ndarray):
+        self.levels = [(routes, bits, n, n, rem, surplus)]
+        while len(n := self.levels[-1][2]) > 1:
+            at = np.arange(0, len(n), FANOUT)
+            how = (np.bitwise_or, np.bitwise_or, np.minimum, np.maximum, np.maximum, np.maximum)
+            self.levels.append(tuple(f.reduceat(v, at) for f, v in zip(how, self.levels[-1])))
+
+    def below(self, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a child of ``x`` and a child of ``y``."""
+        size, step = len(self.levels[level - 1][2]), np.arange(FANOUT)
+        a = np.repeat(x * FANOUT, FANOUT**2) + np.tile(np.repeat(step, FANOUT), len(x))
+        b = np.repeat(y * FANOUT, FANOUT**2) + np.tile(step, len(x) * FANOUT)
+        held = (a <= b) & (b < size)
+        return a[held], b[held]
+
+
+def traverse(tree: Tree, t: float, group: np.ndarray, side: np.ndarray, pruned: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``x < y`` of the same group and of sides that meet (different ones, or 0) that the bounds allow.
+
+    ``pruned`` gathers how many pairs of nodes each bound dropped at each kind of level.
+    """
+    x = y = np.zeros(1, np.int64)
+    for level in range(len(tree.levels) - 1, -1, -1):
+        routes, bits, lo, hi, rem, surplus = tree.levels[level]
+        kind = "rows" if level == 0 else "nodes"
+        if pruned is not None:
+            pruned[f"{kind} tested"] = pruned.get(f"{kind} tested", 0) + len(x)
+
+        def keep(ok: np.ndarray, bound: str) -> None:
+            nonlocal x, y
+            if pruned is not None:
+                pruned[f"{kind} by {bound}"] = pruned.get(f"{kind} by {bound}", 0) + len(x) - int(ok.sum())
+            x, y = x[ok], y[ok]
+
+        if level == 0:
+            ok = (x < y) & (group[x] == group[y]) & ((side[x] != side[y]) | (side[x] == 0))
+        else:
+            ok = (routes[x] & routes[y]).any(axis=1)
+        keep(ok, "routing")
+        keep((hi[x] >= np.ceil(t * lo[y] - EPS)) & (hi[y] >= np.ceil(t * lo[x] - EPS)), "size")
+        least = need(lo[x], lo[y], t)
+        ok = np.minimum(rem[x], rem[y]) >= least
+        least = least[ok]
+        keep(ok, "position")
+        keep(_max_overlap(bits[x], bits[y], surplus[x], surplus[y], rem[x], rem[y]) >= least, "bitmap")
+        if level == 0 or not len(x):
             return x, y
-        ones = np.ones(len(x), np.int64)
-        fa, ca = a.children(la, x) if la >= lb and la else (x, ones)
-        fb, cb = b.children(lb, y) if lb >= la and lb else (y, ones)
-        down_a, down_b = la >= lb and la > 0, lb >= la and lb > 0
-        la, lb = la - down_a, lb - down_b
-        x, y = _product(fa, ca, fb, cb)
-
-
-def _leaf_pairs(c: dict[str, np.ndarray], group: np.ndarray, small: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the groups that are one leaf, all groups at once, by distance in the batch."""
-    rows = np.flatnonzero(small)
-    for d in range(1, LEAF):
-        rows = rows[rows + d < len(group)]
-        rows = rows[group[rows] == group[rows + d]]
-        if not len(rows):
-            return
-        x, y = rows, rows + d
-        keep = (c["n"][x] >= np.ceil(t * c["n"][y] - EPS)) & (c["n"][y] >= np.ceil(t * c["n"][x] - EPS))
-        x, y = x[keep], y[keep]
-        keep = _max_overlap(c["bits"][x], c["bits"][y], c["surplus"][x], c["surplus"][y], c["rem"][x], c["rem"][y]) >= need(c["n"][x], c["n"][y], t)
-        yield x[keep], y[keep]
-
-
-def _tree_pairs(c: dict[str, np.ndarray], lo: int, hi: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group, rows ``lo`` to ``hi``: within side 1, or between sides 1 and 2."""
-    side = c["side"][lo:hi]
-    order = np.lexsort((c["b0"][lo:hi], c["n"][lo:hi]))
-    left, right = order[side[order] == 1] + lo, order[side[order] == 2] + lo
-    if not len(left):
-        return left, left
-    same = not len(right)
-    tree = lambda at: Tree(c["bits"][at], c["n"][at], c["rem"][at], c["surplus"][at])
-    ta = tree(left)
-    x, y = traverse(ta, ta if same else tree(right), t, same)
-    return left[x], (left if same else right)[y]
-
-
-def _join(t: float):
-    schema = pa.schema([("cid_a", pa.int64()), ("cid_b", pa.int64())])
-
-    def links(b: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
-        """Candidates of the complete groups of a sorted batch, and the rows of the group that may go on."""
+        x, y = tree.below(level, x, y)
+    return x, y
+
+
+def tree_pairs(c: dict[str, np.ndarray], t: float, pruned: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of whole cells, in order of run, salts and size, from one tree."""
+    new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] != c["salts"][:-1]))
+    group = np.cumsum(new) - 1
+    at = group * (64 * ROUTES) // (group[-1] + 1)  # neighbours share bits, which keeps those of a node few
+    routes = np.zeros((len(group), ROUTES), np.uint64)
+    routes[np.arange(len(group)), at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+    return traverse(Tree(routes, c["bits"], c["n"], c["rem"], c["surplus"]), t, group, c["side"], pruned)
+
+
+def _traversed(t: float):
+    schema = pa.schema([("loc_a", pa.int64()), ("loc_b", pa.int64())])
+
+    def pairs(b: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        """Candidates of the complete cells of a sorted batch, and the rows of the cell that may go on."""
         c = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(b.schema)}
-        c["bits"] = np.stack([c[f"b{i}"] for i in range(WORDS)], axis=1).view(np.uint64)
+        c["bits"] = np.stack([c.pop(f"b{i}") for i in range(WORDS)], axis=1).view(np.uint64)
         c |= {k: c[k].astype(np.int64) for k in ("n", "rem", "surplus")}
-        new = np.ones(len(b), bool)
-        new[1:] = (c["run"][1:] != c["run"][:-1]) | (c["blk_a"][1:] != c["blk_a"][:-1]) | (c["blk_b"][1:] != c["blk_b"][:-1])
-        at = np.append(np.flatnonzero(new), len(b))
-        sizes, group = np.diff(at), np.cumsum(new) - 1
-        whole = np.ones(len(sizes), bool)
-        whole[-1] = last
-        one_leaf = whole & (sizes > 1) & (sizes <= LEAF) & (c["blk_a"][at[:-1]] == c["blk_b"][at[:-1]])
-        found = [*_leaf_pairs(c, group, one_leaf[group], t)]
-        found += [_tree_pairs(c, at[g], at[g + 1], t) for g in np.flatnonzero(whole & (sizes > 1) & ~one_leaf).tolist()]
-        x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        ids = np.unique(np.stack([np.minimum(c["cid"][x], c["cid"][y]), np.maximum(c["cid"][x], c["cid"][y])], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], schema=schema), None if last else b.slice(at[-2])
+        new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] != c["salts"][:-1]))
+        starts = np.append(np.flatnonzero(new), len(b))
+        end = len(b) if last else starts[-2]
+        lo, found = 0, []
+        while lo < end:
+            hi = starts[np.searchsorted(starts, lo + CELL, side="right") - 1]
+            if hi <= lo:  # one cell of more rows
+                hi = starts[np.searchsorted(starts, lo, side="right")]
+            hi = min(hi, end)
+            x, y = tree_pairs({k: v[lo:hi] for k, v in c.items()}, t)
+            found.append(np.stack([c["loc"][lo:hi][x], c["loc"][lo:hi][y]], axis=1))
+            lo = hi
+        ids = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
+        return _batch(schema, pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())), None if last else b.slice(int(end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -173,18 +293,38 @@ def _join(t: float):
                 continue
             if rest is not None:
                 b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-            out, rest = links(b, False)
+            out, rest = pairs(b, False)
             yield out
         if rest is not None:
-            yield links(rest, True)[0]
+            yield pairs(rest, True)[0]
 
     return run
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, k: int = 5, min_words: int = 0) -> DataFrame:
-    """``(id, key, n, runs)`` of every text with at least ``k`` and ``min_words`` words; null texts have none."""
-    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return spread(src).mapInArrow(_signatures(min_words, k), "id bigint, key binary, n int, runs array<bigint>")
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table to be joined: broadcast if it is counted to be small, else shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def prefix_cells(blocks: DataFrame, dropped: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The rows of all cells, cut by salts: ``run, salts, side, loc, n, rem, surplus`` and the bitmap of shared runs."""
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(int(total) // BUCKET_RUNS + 1, blocks.sparkSession.sparkContext.defaultParallelism)
+    kind = "bucket bigint, block bigint, low binary, high binary, n binary"
+    counted = blocks.select("block", "low", "high").mapInArrow(_counts(buckets), kind)
+    rarity = counted.groupBy("bucket").applyInArrow(_rarity, "block bigint, bucket bigint, rarity binary")
+    told = rarity.select("block", "bucket", "rarity", F.lit(None).cast("int").alias("place"))
+    place = F.expr(f"cast(loc & {(1 << _PLACE) - 1} as int)").alias("place")
+    told = told.unionByName(dropped.select(F.shiftright("loc", _PLACE).alias("block"), F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("rarity"), place))
+    sent = blocks.select("block", "n", "low", "high").groupBy("block")
+    fields = ["loc", "n", "rem", "surplus", *[f"b{i}" for i in range(WORDS)]]
+    kind = "run bigint, rarity int, loc bigint, n int, rem int, surplus int, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
+    rows = sent.cogroup(told.groupBy("block")).applyInArrow(_routed(threshold), kind)
+    # less than 2 << rarity classes have the run; salts of a hot one follow from that alone
+    salts = F.expr(f"cast(if((2L << rarity) > {block}, ceil((2L << rarity) / {block}), 1) as int)")
+    cut = rows.withColumn("s", F.pmod(F.xxhash64("loc"), salts).cast("int")).select("run", "s", F.explode(F.sequence(F.lit(0), salts - 1)).alias("j"), *fields)
+    side = F.when(F.col("s") == F.col("j"), 0).when(F.col("s") < F.col("j"), 1).otherwise(2)
+    return cut.select("run", (F.shiftleft(F.least("s", "j").cast("bigint"), 32) + F.greatest("s", "j")).alias("salts"), side.alias("side"), *fields)
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 0, block: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -197,55 +337,25 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sig = staged(signatures(df, id_col, text_col, k, min_words), "neardup-signatures")
-    cls = staged(sig.groupBy("key").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("runs").alias("runs")), "neardup-classes")
-    members = sig.select("id", "key").join(cls.select("key", "cid"), "key").select("id", "cid").distinct()
-
-    runs = cls.select("cid", "n", F.explode("runs").alias("run"))
-    df_runs = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    bit = F.expr("shiftleft(1L, cast(run & 63 as int))")
-    word = F.expr(f"pmod(shiftright(run, 6), {WORDS})")
-    bits = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(WORDS)]
-    # one short row for each run, spread evenly by its hash: a side to build a hash table of, so nothing is sorted
-    shared = runs.join(df_runs.hint("shuffle_hash"), "run").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("shared"), *bits)
-    held = F.size("shared")
-    prefix = held - F.ceil(threshold * F.col("n") - EPS).cast("int") + 1
-    ones = sum((F.bit_count(f"b{i}") for i in range(1, WORDS)), F.bit_count("b0"))
-    cut = F.slice("shared", F.lit(1), F.least(prefix, held))
-    routed = staged(shared.where(prefix > 0).select("cid", "n", held.alias("held"), (held - ones).cast("int").alias("surplus"), *[f"b{i}" for i in range(WORDS)], cut.alias("cut")), "neardup-routed")
-    cells = routed.select("cid", "n", "held", "surplus", *[f"b{i}" for i in range(WORDS)], F.posexplode("cut").alias("pos", "c"))
-    cells = cells.select("c.run", "c.df", "cid", "n", (F.col("held") - F.col("pos")).alias("rem"), "surplus", *[f"b{i}" for i in range(WORDS)])
-    row = ["cid", "n", "rem", "surplus", *[f"b{i}" for i in range(WORDS)]]
-
-    # the classes with a run bound the rows of its cell; the last run of a prefix is its most frequent
-    most = routed.agg(F.max(F.element_at("cut", -1)["df"])).first()[0] or 0
-    cold = cells.where(F.col("df") <= block)
-    groups = cold.select("run", F.lit(0).alias("blk_a"), F.lit(0).alias("blk_b"), F.lit(1).alias("side"), *row)
-    if most > block:
-        groups = groups.unionByName(_hot_groups(cells.where(F.col("df") > block), row, threshold, block))
-    key = ["run", "blk_a", "blk_b"]
-    found = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join(threshold), "cid_a bigint, cid_b bigint").distinct()
-    a, b = (cls.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), F.col("runs").alias(f"runs_{s}")) for s in "ab")
+    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    kinds = {pa.int64(): "bigint", pa.binary(): "binary"}
+    blocks = staged(spread(src).mapInArrow(_blocks(min_words, k), ", ".join(f"{f.name} {kinds[f.type]}" for f in _BLOCKS)), "neardup-blocks")
+    entries = blocks.select("block", "ids", "place", "keys").mapInArrow(_entries, "id bigint, key binary, loc bigint")
+    copied = entries.groupBy("key").agg(F.min(F.struct("id", "loc")).alias("c"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = _small(staged(copied.select("key", F.col("c.id").alias("cid"), F.col("c.loc").alias("kept")), "neardup-copies"))
+    members = entries.join(copied, "key", "left").select("id", F.coalesce("cid", "id").alias("cid")).distinct()
+    dropped = entries.join(copied, "key").where("loc <> kept").select("loc").distinct()
+
+    cells = prefix_cells(blocks, dropped, threshold, block)
+    key = ["run", "salts"]
+    found = cells.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(_traversed(threshold), "loc_a bigint, loc_b bigint").distinct()
+    found = staged(found, "neardup-candidates")
+    ends = _small(staged(found.select(F.explode(F.array("loc_a", "loc_b")).alias("loc")).distinct(), "neardup-ends"))
+    classes = blocks.select("block", "first", "n", "low", "high").mapInArrow(_class_rows, "loc bigint, cid bigint, n int, runs array<bigint>").join(ends, "loc")
+    a, b = (classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("loc", "cid", "n", "runs")]) for s in "ab")
     overlap = F.size(F.array_intersect("runs_a", "runs_b"))
-    counted = found.join(a, "cid_a").join(b, "cid_b").select("cid_a", "cid_b", (overlap / (F.col("n_a") + F.col("n_b") - overlap)).alias("similarity"))
-    return counted.where(F.col("similarity") >= threshold), members
-
-
-def _hot_groups(hot: DataFrame, row: list[str], t: float, block: int) -> DataFrame:
-    """The pairs of blocks of hot cells that can hold a pair of rows, with their rows."""
-    hot = hot.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(np.log(1.25))).cast("int"))
-    sizes = hot.groupBy("run", "band").agg(F.count(F.lit(1)).alias("rows"))
-    hot = hot.join(sizes, ["run", "band"]).withColumn("blk", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cid"), F.ceil(F.col("rows") / block))).cast("int"))
-    roots = hot.groupBy("run", "blk").agg(*[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(WORDS)], F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rem").alias("rem"), F.max("surplus").alias("surplus"))
-    ra, rb = (roots.select("run", *[F.col(c).alias(f"{c}_{s}") for c in roots.columns if c != "run"]) for s in "ab")
-    both: Column = sum((F.bit_count(F.col(f"b{i}_a").bitwiseAND(F.col(f"b{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("b0_a").bitwiseAND(F.col("b0_b"))))
-    most = F.least(both + F.least("surplus_a", "surplus_b"), "rem_a", "rem_b")
-    least = F.ceil(t / (1 + t) * (F.col("lo_a") + F.col("lo_b")) - EPS)
-    fits = (F.col("hi_a") >= t * F.col("lo_b") - EPS) & (F.col("hi_b") >= t * F.col("lo_a") - EPS) & (most >= least)
-    pairs = ra.join(rb, "run").where((F.col("blk_a") <= F.col("blk_b")) & fits).select("run", "blk_a", "blk_b")
-    one = hot.withColumnRenamed("blk", "blk_a").join(pairs, ["run", "blk_a"]).select("run", "blk_a", "blk_b", F.lit(1).alias("side"), *row)
-    two = hot.withColumnRenamed("blk", "blk_b").join(pairs.where("blk_a < blk_b"), ["run", "blk_b"]).select("run", "blk_a", "blk_b", F.lit(2).alias("side"), *row)
-    return one.unionByName(two)
+    counted = found.join(a, "loc_a").join(b, "loc_b").select("cid_a", "cid_b", (overlap / (F.col("n_a") + F.col("n_b") - overlap)).alias("similarity"))
+    return counted.where(F.col("similarity") >= threshold).select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"), "similarity"), members
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
