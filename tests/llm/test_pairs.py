@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+from planted import planted  # noqa: E402
+
 from weftline.llm import pairs as P
 
 EN, DE = "Which metal melts first when the furnace is heated slowly by hand?", "Warum schmelzen die Metalle in dem Ofen nicht bei der Hitze?"
@@ -14,8 +19,9 @@ GOOD = "The tin melts first because it has the lowest melting point of the metal
 
 
 def flags(prompt, content, finish="stop"):
-    """Defects for which more functions say defective than sound."""
-    return {d for d, v in P.votes(prompt, content, finish).items() if sum(v) > 0}
+    """Defects by the model as it begins, fitted on this pair alone."""
+    codes = {d: P._code(v) for d, v in P.votes(prompt, content, finish).items()}
+    return {d for d, f in P.FUNCTIONS.items() if P.fit_label_model({codes[d]: 1}, f)[codes[d]] > P.CUTOFFS[d]}
 
 
 @pytest.mark.parametrize(
@@ -57,31 +63,48 @@ def test_label_model_finds_noisy_classes():
     assert P.fit_label_model({}, 4) == {}
 
 
-def planted(spark, sf_dir):
-    """Sound pairs of the data with defects planted into some."""
+@pytest.fixture(scope="module")
+def background(spark):
+    """Votes of the pairs of the data, on which the model is fitted; they bear no labels."""
     from weftline.llm.queries import _pairs
 
-    rng = random.Random(5)
-    sound = [r for r in _pairs(spark, sf_dir).collect() if r["prompt"] and r["content"] and not any(sum(v) > 0 for v in P.votes(r["prompt"], r["content"], "stop").values()) and len(r["content"].split()) > 15 and r["prompt"].isascii() and len(r["prompt"].split()) > 8]
-    foreign = "Die Metalle in dem Ofen schmelzen nicht bei der Hitze, und das Zinn ist mit dem Blei in der Form."
-    rows, truth = [], {}
-    for i, r in enumerate(sound * 3):
-        kind = rng.choice([None, None, None, None, "empty", "truncated", "refusal", "copied_question", "other_language"])
-        words = r["content"].split()
-        text = {None: r["content"], "empty": rng.choice(["", "...", "-"]), "truncated": " ".join(words[: len(words) - 3]).rstrip(".!?") + " the", "refusal": "Unfortunately I am not able to answer this question. I hope you understand.", "copied_question": r["prompt"], "other_language": foreign}[kind]
-        rows.append((i, 0, r["prompt"], text, "stop"))
-        truth[i] = kind
-    return rows, truth
-
-
-def test_cutoffs_on_planted_defects(spark, sf_dir):
-    rows, truth = planted(spark, sf_dir)
-    df = spark.createDataFrame(rows, "completion_id bigint, choice_index int, prompt string, content string, finish_reason string")
-    got = {(r["completion_id"], r["defect"]) for r in P.broken_pairs(df).collect()}
-    want = {(i, d) for i, d in truth.items() if d}
-    assert len(want) > 20
-    hit = len(got & want)
-    assert hit / len(want) > 0.95 and hit / len(got) > 0.95
+    return [P.votes(r["prompt"], r["content"], r["finish_reason"]) for r in _pairs(spark, "/root/testdata/sf0.1").collect()]
+
+
+def scored(background, rows):
+    """``defect -> [(posterior, planted)]`` of planted pairs among the pairs of the data."""
+    own, out = [P.votes(prompt, answer, "stop") for prompt, answer, _, _ in rows], {}
+    for d, functions in P.FUNCTIONS.items():
+        post = P.fit_label_model(Counter(P._code(v[d]) for v in background + own), functions)
+        out[d] = [(post[P._code(v[d])], d in want) for v, (_, _, want, _) in zip(own, rows)]
+    return out
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_cutoffs_on_planted_defects(background, seed):
+    """The cutoffs were chosen on seed 1; wordings of refusals and two languages without lists are unknown to the functions."""
+    rows = planted(seed)
+    got = scored(background, rows)
+    for d, pairs in got.items():
+        hits = sum(p > P.CUTOFFS[d] and y for p, y in pairs)
+        assert hits / sum(y for _, y in pairs) >= 0.9 and hits / max(1, sum(p > P.CUTOFFS[d] for p, _ in pairs)) >= 0.9, d
+    for lang in ("pt", "it", "fi", "hu"):
+        pairs = [got["other_language"][i][0] for i, r in enumerate(rows) if r[3] == lang]
+        assert sum(p > P.CUTOFFS["other_language"] for p in pairs) >= 5
+
+
+def test_no_function_decides_alone(background):
+    for d, functions in P.FUNCTIONS.items():
+        post = P.fit_label_model(Counter(P._code(v[d]) for v in background), functions)
+        flagged = {i for i, v in enumerate(background) if post[P._code(v[d])] > P.CUTOFFS[d]}
+        alone = [f for k, f in enumerate(functions) if {i for i, v in enumerate(background) if v[d][k] == 1} == flagged]
+        assert flagged and not alone, (d, alone)
+
+
+def test_best_cutoff():
+    assert P.best_cutoff([(0.9, True), (0.8, True), (0.2, False)]) == pytest.approx(0.5)
+    assert P.best_cutoff([(0.9, False), (0.4, True), (0.1, False)]) == pytest.approx(0.25)
+    assert P.best_cutoff([]) == 0.5
 
 
 def test_tables(spark):

@@ -10,10 +10,12 @@ back; a pair keeps every defect whose posterior exceeds that defect's cutoff.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,25 @@ from weftline.session import staged
 
 #: Defects and their labelling functions, in the order of the votes.
 FUNCTIONS = {
-    "empty": ("no_letter_or_digit", "few_characters"),
-    "truncated": ("last_character", "open_code", "dangling_word", "literal_answer", "finish_reason", "copy_of_prompt"),
-    "refusal": ("declining_words", "opening", "closing", "lookalike", "off_topic"),
+    "empty": ("no_letter", "no_digit", "few_characters"),
+    "truncated": ("final_mark", "open_code", "open_item", "dangling_word", "literal_answer", "symbol_at_end", "finish_reason", "copy_of_prompt"),
+    "refusal": ("self_negation", "declining_word", "talk_of_answering", "opening", "closing", "topic", "substance", "length"),
     "copied_question": ("coverage", "uncovered_run", "uncovered_share", "new_sentence", "prompt_coverage"),
-    "other_language": ("script", "function_words", "shared_words", "sentence_majority"),
+    "other_language": ("script", "function_words", "shared_words", "sentence_majority", "trigrams"),
 }
-#: Cutoffs on the posterior: defaults that no validation chose; ``tests/llm`` runs them on plain planted defects only.
-CUTOFFS = {"empty": 0.5, "truncated": 0.5, "refusal": 0.5, "copied_question": 0.5, "other_language": 0.5}
+#: Where the votes of a function begin: how often it calls a sound pair defective and a defective pair sound.  Others: 0.025.
+START = {
+    "no_letter": (0.025, 1e-6), "no_digit": (0.5, 1e-6), "few_characters": (0.1, 0.1),
+    "self_negation": (0.05, 0.3), "declining_word": (0.03, 0.4), "talk_of_answering": (0.1, 0.2), "opening": (0.05, 0.4), "closing": (0.03, 0.5), "topic": (0.4, 0.2), "substance": (0.4, 0.2), "length": (0.4, 0.2),
+    "shared_words": (0.2, 0.1), "trigrams": (0.2, 0.1),
+}
+#: Functions whose tables stay as they begin: an answer with a letter or a digit is not empty by definition.
+FIXED = ("no_letter", "no_digit")
+#: Cutoffs on the posterior, chosen by ``best_cutoff`` on one set of planted defects of ``tests/llm`` and tested on another.
+CUTOFFS = {"empty": 0.49, "truncated": 0.48, "refusal": 0.55, "copied_question": 0.5, "other_language": 0.6}
+
+#: Likeness of the short words of prompt and answer below and above which they speak for two languages and for one.
+LOW_LIKENESS, HIGH_LIKENESS = 0.08, 0.3
 
 _THINK = re.compile(r"(?is)<think\s*>.*?</think\s*>")
 _CODE = re.compile(r"(?s)```.*?(?:```|\Z)")
@@ -42,43 +55,69 @@ _LITERAL = re.compile(r"\W*(?:[A-Za-z]|[\d.,]+%?|(?i:yes|no|true|false|oui|non|j
 _HAN = re.compile(r"[㐀-鿿]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _NOT_LATIN = re.compile(r"[Ѐ-ӿ㐀-鿿]")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+_BEYOND = re.compile(r"[^\W\d_A-Za-z]")
+_MIXED_WORD = re.compile(r"\b(?=\w*[A-Za-z])\w*[Ͱ-֏]\w*")
 _MIXED = re.compile(r"[A-Za-z][Ͱ-֏]|[Ͱ-֏][A-Za-z]")
 _WORD = re.compile(r"[㐀-鿿]|[^\W_]+")
 
 #: Frequent function words of the languages in the data.
 FUNCTION_WORDS = {
-    "en": "the a an and of in on at to for with without by is are was does do if not no neither nor what which why how where when every most some about because but more before after should can could near beside under behind inside against".split(),
+    "en": "the a an and of in on at to for with without by is are was does do if not no neither nor what which why how where when every most some about because but more before after should can could near beside under behind inside against you this that have has it we your my would".split(),
     "de": "der die das den dem des ein eine einen einem und oder nicht mit ohne für von bei auf im zu zum zur über unter nach vor seit wie wann warum weshalb wohl sind ist werden wird ich mir dass ob weil".split(),
     "fr": "le la les l un une des du de et ou pas avec sans pour par chez dans sur sous depuis quand comment pourquoi est que qui je vous ce cette ne plus au aux".split(),
     "es": "el la los las un una unos unas y o no con sin para por en de del al que qué cuándo cómo es son se lo ya pese tras desde sobre si".split(),
     "ru": "и или не в на с без для по под за от до из о об как когда почему что это ли где же к у".split(),
 }
-_LANGS = [*FUNCTION_WORDS, "zh"]
+#: Frequent words of further languages that no list above has.
+MORE_WORDS = {
+    "pt": "não uma os da em na é são com mais pelo pela você mas ao dos foi também isso nos pelos uns".split(),
+    "it": "il lo gli di che è non per della nel sono più anche una alla dei delle questo questa perché quando ogni".split(),
+    "nl": "het een van niet met voor zijn wordt naar ook maar dat bij deze geen veel werd heeft omdat".split(),
+    "pl": "nie się jest że jak dla ale tak są przez oraz który która tylko przed bez przy".split(),
+    "sv": "och att det är som på av för till inte han kan från eller ett har vid mycket".split(),
+    "tr": "bir ve bu için ile çok olan olarak daha gibi kadar sonra değil her ne".split(),
+}
+#: Letters beyond ASCII of languages in Latin letters.
+_BEYOND_ASCII = {"en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü"}
 _LANGS_OF: dict[str, list[str]] = {}
 for _l, _ws in FUNCTION_WORDS.items():
     for _w in _ws:
         _LANGS_OF.setdefault(_w, []).append(_l)
-
-_DECLINE = re.compile(
-    r"\bi (?:really |just )?(?:can't|cannot|can not|won't|will not|am not able to|am unable to|may not|must (?:decline|refuse|pass)|have to (?:decline|refuse|pass)|would rather not|have been asked to stay away)\b(?! stress)"
-    r"|\bi(?:'d rather not|'m not able to|'m unable to|'m not allowed)\b|\bas an assistant i\b|against my guidelines|outside what i(?:'m| am) allowed|no reply from my side|not something i take on|not be right for me|ask somebody else"
-    r"|(?:kann|darf|werde|möchte) ich (?:\w+ ){0,3}nicht|\bich (?:kann|darf|werde|möchte) (?:\w+ ){0,4}nicht|muss ich (?:\w+ )?ablehnen|gebe ich keine auskunft|möchte ich mich nicht"
-    r"|je ne (?:peux|suis|souhaite|veux|vais) pas (?:vous|autorisé|aborder|répondre|en mesure|aider|parler)|m'est impossible|je préfère ne pas|je dois refuser|je refuse"
-    r"|no puedo (?:ayudar|responder|hablar|contestar)|prefiero no|no me corresponde|no tengo permiso|(?:debo|tengo que) rechazar|me niego"
-    r"|мне нельзя|я вынужден|вынужден отклонить|я не могу|не стану|не буду отвечать|не имею права"
-    r"|(?:我|请求).{0,6}(?:不能|无法|不便|不方便|不可以|拒绝)|不能多说|无法回答|不能处理"
+_LANGS_OF["a"] = ["en", "other"]  # a word of many languages
+for _l, _ws in MORE_WORDS.items():
+    for _w in _ws:
+        if not set(_LANGS_OF.get(_w, ())) & set(FUNCTION_WORDS):
+            _LANGS_OF.setdefault(_w, []).append(_l)
+
+#: The speaker negates what it does, can, may or wants.
+_SELF_NEGATION = re.compile(
+    r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b"
+    r"|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine"
+    r"|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)|\bnous\s+ne\b"
+    r"|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b|\b(?:prefiero|preferimos)\s+no\b"
+    r"|\b(?:я|мы)(?:\s+[\w-]+){0,3}?\s+не\b|\bмне\s+(?:нельзя|не\b|запрещ)|\bне\s+(?:могу|буду|стану|хочу|имею|вправе|можем|будем|готов)"
+    r"|(?:我|我们|本人).{0,6}(?:不|无法|没法|拒)|(?:无法|不能|不便|不可以|不方便|不会).{0,6}(?:回答|帮|提供|讨论|处理|说|谈)"
+)
+#: Words of declining, in whatever sentence.
+_DECLINING = re.compile(
+    r"\b(?:declin|refus|reject|withhold|refrain|abstain)\w*|\b(?:rather|prefer) not\b|\bpass on\b|\bno (?:reply|comment|answer|response)\b|\b(?:stay|keep|steer) (?:away|clear|out)\b|\bnot (?:something|a (?:topic|subject|question)) (?:i|we)\b"
+    r"|\bablehn|\bverweiger|\bkeine (?:auskunft|antwort|stellung)|\bdécliner|\bm'abst|\bpréfère ne|m'est (?:impossible|interdit)|\brechaz|\bniego|\babsteng|\bprefiero no|отклон|отказ|воздерж|нельзя|не стану|拒绝|谢绝|婉拒|不(?:方)?便|不愿|不能多说"
+)
+#: Talk of helping, answering, permission and rules rather than of the matter.
+_TALK = re.compile(
+    r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:this|that|it|such|your|the (?:matter|topic))\b|\banswering would\b|\bmay not cover\b|\b(?:this|that|your|such(?: a)?) requests?\b|\bdiscuss\b|\bcomment on\b|\bguidelines?\b|\bpolic(?:y|ies)\b|\ballowed\b|\bpermitted\b|\bright for me\b|\bcomfortable\b|\bsome(?:one|body) else\b|\bthis one\b|\btake on\b|\bgo into\b"
+    r"|\b(?:weiter)?helfen\b|\bbeantworte|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b|\bautoris|\ben mesure\b|\bdemande\b"
+    r"|\bayudar|\bresponder\b|\bcontestar\b|\bhablar\b|\bcomentar\b|\bpermiso\b|\bcorresponde\b|\bpetición\b|\bpregunta\b|помочь|помогать|отвечать|ответить|обсуждать|говорить|просьб|запрос|права|правил|帮|回答|请求|问题|讨论|处理|谈论|规定|多说"
 )
 _OPENING = re.compile(
-    r"\b(?:i'm sorry, but|apologies -|unfortunately|thanks for asking, however|to be honest,|hmm,)"
-    r"|es tut mir leid, aber|leider gilt|danke für die frage, doch|je suis désolé|malheureusement|merci pour la question, pourtant"
-    r"|lo siento, pero|por desgracia|gracias por preguntar, sin embargo|к сожалению|простите|извините|спасибо за вопрос, (?:но|однако)|抱歉|很遗憾|对不起"
+    r"\bsorry\b|\bapolog\w*|\bunfortunately\b|\bafraid\b|\bregret\w*|\bto be honest\b|\bthanks for asking\b|\bes tut mir leid|\bleider\b|\bentschuldig|\bdanke für|\bdésolé|\bmalheureusement|\bmerci pour|\bhélas\b"
+    r"|\blo siento|\bpor desgracia|\blamentablemente|\bgracias por preguntar|к сожалению|простите|извините|спасибо за вопрос|увы|抱歉|很遗憾|对不起|不好意思"
 )
 _CLOSING = re.compile(
-    r"i hope you understand|is there anything else you need|please try another topic|feel free to rephrase|posez une autre question|merci de votre compréhension"
-    r"|bitte frag etwas anderes|ich hoffe auf verständnis|espero que lo entiendas|prueba con otra pregunta|спросите о чём-нибудь другом|надеюсь на понимание|请换一个问题|希望你能理解|请谅解"
+    r"\bi hope you understand|\banything else\b|\banother (?:topic|question)|\brephrase\b|\bsomething else\b|\bautre question|\bcompréhension|\betwas anderes|\bverständnis|\bandere frage"
+    r"|\blo entiendas|\botra pregunta|\bcomprensión|о чём-нибудь другом|понимание|другой вопрос|换一个问题|理解|请谅解|其他问题"
 )
-_LOOKALIKE = re.compile(r"can't stress|sorry to hear|but here goes|nobody is able to answer|tut mir leid, das zu hören|désolé de l'apprendre|siento oírlo|жаль это слышать")
 #: Words after which no sentence ends.
 _DANGLING = set(
     "the a an and or of in on at to for with without by because which that is are if but than as der die das und oder mit ohne für von weil dass le la les un une des et ou avec pour parce que qui los las el y o con para por porque и или с для потому что который".split()
@@ -115,12 +154,47 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@cache
+def _script_of(ch: str) -> str:
+    """The script of a letter beyond ASCII, from its name."""
+    name = unicodedata.name(ch, "").split(" ")[0] if ch.isalpha() else ""
+    return {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "FULLWIDTH": "latin"}.get(name, name.lower())
+
+
 def _script(text: str) -> str | None:
-    if not _NOT_LATIN.search(text):
-        return "latin" if _LATIN.search(text) else None
-    counts = {"han": 2 * len(_HAN.findall(text)), "cyrillic": len(_CYRILLIC.findall(text)), "latin": len(_LATIN.findall(text))}
-    best = max(counts, key=counts.get)
-    return best if counts[best] >= 0.6 * sum(counts.values()) else None
+    """The script of most letters; a Han character or a syllable counts as two letters."""
+    counts = Counter({"latin": len(_ASCII_LETTER.findall(text))})
+    if not text.isascii():
+        for ch, n in Counter(_BEYOND.findall(text)).items():
+            if kind := _script_of(ch):
+                counts[kind] += n * (1 + (kind in ("han", "kana", "hangul")))
+        for word in _MIXED_WORD.findall(text):  # look-alikes among letters that have none
+            if kinds := [k for k in map(_script_of, _BEYOND.findall(word)) if k and k != "latin"]:
+                latin = len(_ASCII_LETTER.findall(word))
+                counts["latin"] -= latin
+                counts[kinds[0]] += latin
+        if counts["kana"] > 0.1 * counts["han"]:  # both write one language
+            counts["kana"] += counts.pop("han", 0)
+    best, total = max(counts, key=counts.get), sum(counts.values())
+    return best if total and counts[best] >= 0.6 * total else None
+
+
+def _alien(text: str, lang: str | None) -> float:
+    """Share of letters that the alphabet of a language in Latin letters does not have."""
+    if text.isascii() or lang not in _BEYOND_ASCII:
+        return 0.0
+    letters = _BEYOND.findall(text.lower())
+    return sum(ch not in _BEYOND_ASCII[lang] for ch in letters) / (len(letters) + len(_ASCII_LETTER.findall(text)))
+
+
+def _trigrams(text: str) -> Counter:
+    """Three letters in a row of the words of at most six letters, with the blanks around them: mostly function words and endings."""
+    return Counter(t for w in _words(text) if len(w) <= 6 and not w.isdigit() for x in (f" {w} ",) for t in (x[i : i + 3] for i in range(len(x) - 2)))
+
+
+def _cosine(a: Counter, b: Counter) -> float:
+    both = sum(n * b[t] for t, n in a.items() if t in b)
+    return both / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if both else 0.0
 
 
 def _language_scores(text: str) -> Counter:
@@ -135,9 +209,9 @@ def _language_scores(text: str) -> Counter:
     return scores
 
 
-def _language(text: str, margin: float = 1.5) -> str | None:
+def _language(text: str, margin: float = 1.5, least: float = 1.0) -> str | None:
     ranked = _language_scores(text).most_common(2)
-    if not ranked or ranked[0][1] < 1:
+    if not ranked or ranked[0][1] < least:
         return None
     return ranked[0][0] if len(ranked) < 2 or ranked[0][1] >= margin * ranked[1][1] else None
 
@@ -175,7 +249,8 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     """The votes of all labelling functions on one pair."""
     answer, asked = answer_of(content), _readable(prompt or "").strip()
     has = any(c.isalnum() for c in answer)
-    out = {"empty": (-1 if has else 1, -1 if has else 1 if len(answer) <= 3 else 0)}
+    few = 1 if len(answer) <= 3 else 0 if len(answer) <= 12 else -1
+    out = {"empty": (-1 if any(c.isalpha() for c in answer) else 1, -1 if any(c.isdigit() for c in answer) else 1, few)}
     if not has:
         return out | {d: (-1,) * len(f) for d, f in FUNCTIONS.items() if d != "empty"}
     words, p_words = _words(answer), _words(asked)
@@ -207,58 +282,65 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
         out["copied_question"] = (-1,) * 5
 
     code_open = answer.count("```") % 2 == 1
-    end = answer.rstrip("*_ ​️")[-1:]
-    complete = end in ".!?。！？…)）\"”»'’`]}:;" and not (end in ":;]" or code_open) or bool(end) and not end.isalnum() and ord(end) >= 0x2190
-    last_line = answer.rsplit("\n", 1)[-1].strip()
-    if re.fullmatch(r"\d+[.)]", last_line) and "\n" in answer:
-        complete = False
+    end, last_line = answer.rstrip("*_ \u200b\ufe0f")[-1:], answer.rsplit("\n", 1)[-1].strip()
+    open_item = bool(re.fullmatch(r"\d+[.)]|[-*•]", last_line)) and "\n" in answer
+    symbol = bool(end) and not end.isalnum() and ord(end) >= 0x2190 and end not in "。！？）】」』"
+    marked = end in ".!?。！？…)）\"”»'’`]}"
     tail = re.sub(r"\W+$", "", last_line).lower().split()
-    dangling = bool(tail) and tail[-1] in _DANGLING and not literal
+    dangling = bool(tail) and tail[-1] in _DANGLING and not marked and not literal and not copies
     out["truncated"] = (
-        0 if literal or copies else -1 if complete else 1,
+        0 if literal or copies or code_open or open_item or symbol else -1 if marked else 1,
         1 if code_open else -1 if end == "`" else 0,
-        1 if dangling and not complete and not copies else 0,
+        1 if open_item else 0,
+        1 if dangling else 0,
         -1 if literal else 0,
+        -1 if symbol else 0,
         1 if finish == "length" else 0,
         -1 if copies else 0,
     )
 
     bare = _QUOTE.sub(" ", _CODE.sub(" ", plain))
-    declines = bool(_DECLINE.search(bare))
     long_words = [w for w in words if len(w) >= 5 or _HAN.match(w)]
     p_set = set(p_words)
     topical = sum(w in p_set for w in long_words) / max(1, len(long_words))
+    on_topic = sum(1 for s in _SENTENCE.split(bare) if sum(1 for w in set(_words(s)) if len(w) >= 4 and w in p_set) >= 2)
+    negated, declined, talk = (bool(x.search(bare)) for x in (_SELF_NEGATION, _DECLINING, _TALK))
     out["refusal"] = (
-        1 if declines else -1,
-        1 if _OPENING.search(bare) else 0,
-        1 if _CLOSING.search(bare) else 0,
-        -1 if _LOOKALIKE.search(bare) else 0,
-        -1 if topical >= 0.25 and not declines else 1 if topical < 0.1 and asked else 0,
+        1 if negated else -1,
+        1 if declined else -1,
+        1 if talk else -1,
+        1 if _OPENING.search(bare) else -1,
+        1 if _CLOSING.search(bare) else -1,
+        -1 if literal or topical >= 0.25 and sum(w in p_set for w in long_words) >= 3 else 1 if topical < 0.1 and asked else 0,
+        -1 if literal or on_topic >= 2 or code_open else 1 if not on_topic else 0,
+        -1 if literal or len(words) > 60 or "```" in answer else 1 if len(words) <= 20 else 0,
     )
 
-    sentences = _prose(answer)
+    sentences = _prose(_readable(answer))
     prose, wanted = " ".join(sentences), _asked_language(asked)
     p_text = _QUOTE.sub(" ", _CODE.sub(" ", asked))
     p_text = p_text if any(c.isalpha() for c in p_text) else asked
     if literal or not prose or not p_words:
-        out["other_language"] = (-1 if literal else 0, 0, 0, 0)
+        out["other_language"] = (-1,) * 5
         return out
-    lang, p_lang, script, p_script = _language(prose), wanted or _language(p_text), _script(prose), _script(p_text)
+    lang, p_lang, script, p_script = _language(prose, least=3.0), wanted or _language(p_text), _script(prose), _script(p_text)
     by_sentence = Counter()
     for s in sentences:
         if (x := _language(s, 1.01)) is not None:
             by_sentence[x] += len(s)
-    major = by_sentence.most_common(1)[0][0] if by_sentence else None
+    major = by_sentence.most_common(1)[0][0] if by_sentence and len(sentences) > 1 else None
     if wanted:
         p_script = {"ru": "cyrillic", "zh": "han"}.get(wanted, "latin")
     differ = lambda a, b: 0 if a is None or b is None else 1 if a != b else -1
     own = {w for w in p_words if len(w) >= 3 and w in _LANGS_OF or _HAN.match(w)}
     shared = sum(w in own for w in words) / max(1, len(words))
+    alike = _cosine(_trigrams(prose), _trigrams(p_text)) if len(words) >= 10 and len(p_words) >= 6 and not wanted and script == p_script else None
     out["other_language"] = (
-        1 if differ(script, p_script) == 1 else 0 if script == "latin" else differ(script, p_script),
+        1 if differ(script, p_script) == 1 or _alien(prose, p_lang) >= 0.03 else 0 if script == "latin" else differ(script, p_script),
         differ(lang, p_lang),
-        0 if wanted else 1 if shared < 0.02 and len(words) >= 6 else -1 if shared >= 0.1 else 0,
+        0 if wanted else 1 if shared < 0.02 and len(words) >= 6 and len(own) >= 3 else -1 if shared >= 0.1 else 0,
         differ(major, p_lang),
+        0 if alike is None else 1 if alike < LOW_LIKENESS else -1 if alike >= HIGH_LIKENESS else 0,
     )
     return out
 
@@ -287,39 +369,50 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(idx, pa.int32()), *(pa.array(c, pa.int32()) for c in cols)], schema=schema)
 
 
-def fit_label_model(counts: dict[int, int], functions: int, prior: float = 0.06, accuracy: float = 0.95, strength: float = 0.01, rounds: int = 50) -> dict[int, float]:
+def fit_label_model(counts: dict[int, int], functions: int | Sequence[str], prior: float = 0.06, strength: float = 0.01, rounds: int = 50) -> dict[int, float]:
     """Posterior of each vote pattern by expectation-maximization.
 
-    The tables P(vote | class) start from ``accuracy`` and stay tied to that start by pseudo-counts of
-    ``strength`` times the number of pairs and 50 more, which keeps a class from drifting to another meaning,
-    however few the pairs are.
+    ``functions`` are their names (or number).  The tables P(vote | class) start from ``START`` and stay tied to that start by
+    pseudo-counts of ``strength`` times the number of pairs and 50 more, which keeps a class from drifting to another
+    meaning, however few the pairs are.
     """
+    names = range(functions) if isinstance(functions, int) else functions
     codes = sorted(counts)
     if not codes:
         return {}
     n = np.array([counts[c] for c in codes], float)
-    v = np.array([_decode(c, functions) for c in codes]) + 1
-    miss = (1 - accuracy) / 2
-    start = np.array([[accuracy, 0.5, miss], [miss, 0.5, accuracy]])
-    start = start / start.sum(axis=1, keepdims=True)
-    table = np.repeat(start[None], functions, axis=0)
-    pseudo = strength * n.sum() + 50
-    pi = prior
-    post = np.full(len(codes), prior)
+    v = np.array([_decode(c, len(names)) for c in codes]) + 1
+    start = np.array([[[1 - alarm, alarm], [miss, 1 - miss]] for alarm, miss in (START.get(f, (0.025, 0.025)) for f in names)])
+    table, fixed = start.copy(), [f in FIXED for f in names]
+    cast = np.stack([v == 0, v == 2], axis=2).astype(float)  # neither where a function abstains, which tells nothing
+    pseudo = (strength * n.sum() + 50) * np.array([[1 - prior], [prior]])
+    pi, post = prior, np.full(len(codes), prior)
     for _ in range(rounds):
-        like = np.log(np.array([1 - pi, pi]))[None] + sum(np.log(table[j][:, v[:, j]]).T for j in range(functions))
+        like = np.log(np.array([1 - pi, pi]))[None] + np.einsum("cfv,fyv->cy", cast, np.log(table))
         like -= like.max(axis=1, keepdims=True)
         post = np.exp(like[:, 1]) / np.exp(like).sum(axis=1)
         weight = np.stack([n * (1 - post), n * post])
-        pi = float(np.clip((weight[1].sum() + prior * pseudo) / (n.sum() + pseudo), 1e-4, 0.5))
-        for c, x in itertools.product(range(functions), range(3)):
-            table[c][:, x] = weight[:, v[:, c] == x].sum(axis=1)
-        prior_mass = pseudo * np.array([[1 - prior], [prior]])
-        for c in range(functions):
-            table[c] = (table[c] + prior_mass * start) / (table[c].sum(axis=1, keepdims=True) + prior_mass)
+        pi = float(np.clip((weight[1].sum() + prior * pseudo.sum()) / (n.sum() + pseudo.sum()), 1e-4, 0.5))
+        votes = np.einsum("yc,cfv->fyv", weight, cast)
+        table = (votes + pseudo * start) / (votes.sum(axis=2, keepdims=True) + pseudo)
+        table[fixed] = start[fixed]
     return dict(zip(codes, post.tolist()))
 
 
+def best_cutoff(scored: Sequence[tuple[float, bool]]) -> float:
+    """The cutoff of greatest F1 over ``(posterior, defective)``, half-way between two posteriors; of equals the middle one."""
+    ranked, total = sorted(scored, reverse=True), sum(y for _, y in scored)
+    hits, best, at = 0, -1.0, []
+    for i, (p, y) in enumerate(ranked):
+        hits += y
+        after = ranked[i + 1][0] if i + 1 < len(ranked) else 0.0
+        if p > after:
+            f1 = 2 * hits / (i + 1 + total)
+            at = [(p + after) / 2] if f1 > best + 1e-12 else at + [(p + after) / 2] if f1 > best - 1e-12 else at
+            best = max(best, f1)
+    return at[len(at) // 2] if at else 0.5
+
+
 def answer_pairs(messages: DataFrame, completions: DataFrame, requests: DataFrame) -> DataFrame:
     """``(completion_id, choice_index, prompt, content, finish_reason)`` of each choice with a known request.
 
@@ -345,7 +438,7 @@ def posteriors(pairs: DataFrame) -> DataFrame:
     rows = []
     for defect, functions in FUNCTIONS.items():
         counts = {r["pattern"]: r["n"] for r in counted if r["defect"] == defect}
-        rows += [(defect, c, p) for c, p in fit_label_model(counts, len(functions)).items()]
+        rows += [(defect, c, p) for c, p in fit_label_model(counts, functions).items()]
     table = spark.createDataFrame(rows, "defect string, pattern int, posterior double")
     return long.join(F.broadcast(table), ["defect", "pattern"]).select("completion_id", "choice_index", "defect", "posterior")
 
