@@ -90,33 +90,56 @@ for _l, _ws in MORE_WORDS.items():
         if not set(_LANGS_OF.get(_w, ())) & set(FUNCTION_WORDS):
             _LANGS_OF.setdefault(_w, []).append(_l)
 
+class _Wording:
+    """A pattern for texts in Latin letters, tried where a word begins with one of ``heads``, and one for other letters."""
+
+    def __init__(self, heads: str, latin: str, other: str):
+        self.heads, self.latin, self.other = frozenset(heads.split()), re.compile(latin), re.compile(other)
+
+    def search(self, text: str, heads: set[str], beyond: bool) -> bool:
+        return not self.heads.isdisjoint(heads) and bool(self.latin.search(text)) or beyond and bool(self.other.search(text))
+
+
 #: The speaker negates what it does, can, may or wants.
-_SELF_NEGATION = re.compile(
-    r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b"
-    r"|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine"
-    r"|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)|\bnous\s+ne\b"
-    r"|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b|\b(?:prefiero|preferimos)\s+no\b"
-    r"|\b(?:я|мы)(?:\s+[\w-]+){0,3}?\s+не\b|\bмне\s+(?:нельзя|не\b|запрещ)|\bне\s+(?:могу|буду|стану|хочу|имею|вправе|можем|будем|готов)"
-    r"|(?:我|我们|本人).{0,6}(?:不|无法|没法|拒)|(?:无法|不能|不便|不可以|不方便|不会).{0,6}(?:回答|帮|提供|讨论|处理|说|谈)"
+_SELF_NEGATION = _Wording(
+    "i we ich wir mir gebe je j m nous no not prefi préfè",
+    r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b"
+    r"|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b"
+    r"|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)"
+    r"|\bnous\s+ne\b|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b"
+    r"|\b(?:prefiero|preferimos)\s+no\b",
+    r"\b(?:я|мы)(?:\s+[\w-]+){0,3}?\s+не\b|\bмне\s+(?:нельзя|не\b|запрещ)|\bне\s+(?:могу|буду|стану|хочу|имею|вправе|можем|будем|готов)"
+    r"|(?:我|我们|本人).{0,6}(?:不|无法|没法|拒)|(?:无法|不能|不便|不可以|不方便|不会).{0,6}(?:回答|帮|提供|讨论|处理|说|谈)",
 )
 #: Words of declining, in whatever sentence.
-_DECLINING = re.compile(
-    r"\b(?:declin|refus|reject|withhold|refrain|abstain)\w*|\b(?:rather|prefer) not\b|\bpass on\b|\bno (?:reply|comment|answer|response)\b|\b(?:stay|keep|steer) (?:away|clear|out)\b|\bnot (?:something|a (?:topic|subject|question)) (?:i|we)\b"
-    r"|\bablehn|\bverweiger|\bkeine (?:auskunft|antwort|stellung)|\bdécliner|\bm'abst|\bpréfère ne|m'est (?:impossible|interdit)|\brechaz|\bniego|\babsteng|\bprefiero no|отклон|отказ|воздерж|нельзя|не стану|拒绝|谢绝|婉拒|不(?:方)?便|不愿|不能多说"
+_DECLINING = _Wording(
+    "decli refus rejec withh refra absta rathe prefe pass no stay keep steer not ableh verwe keine décli absti m préfè recha niego abste prefi",
+    r"\b(?:declin|refus|reject|withhold|refrain|abstain)\w*|\b(?:rather|prefer) not\b|\bpass on\b|\bno (?:reply|comment|answer|response)\b"
+    r"|\b(?:stay|keep|steer) (?:away|clear|out)\b|\bnot (?:something|a (?:topic|subject|question)) (?:i|we)\b|\bablehn|\bverweiger"
+    r"|\bkeine (?:auskunft|antwort|stellung)|\bdécliner|\bm'abst|\bpréfère ne|m'est (?:impossible|interdit)|\brechaz|\bniego|\babsteng|\bprefiero no",
+    r"отклон|отказ|воздерж|нельзя|не стану|拒绝|谢绝|婉拒|不(?:方)?便|不愿|不能多说",
 )
 #: Talk of helping, answering, permission and rules rather than of the matter.
-_TALK = re.compile(
-    r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:this|that|it|such|your|the (?:matter|topic))\b|\banswering would\b|\bmay not cover\b|\b(?:this|that|your|such(?: a)?) requests?\b|\bdiscuss\b|\bcomment on\b|\bguidelines?\b|\bpolic(?:y|ies)\b|\ballowed\b|\bpermitted\b|\bright for me\b|\bcomfortable\b|\bsome(?:one|body) else\b|\bthis one\b|\btake on\b|\bgo into\b"
-    r"|\b(?:weiter)?helfen\b|\bbeantworte|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b|\bautoris|\ben mesure\b|\bdemande\b"
-    r"|\bayudar|\bresponder\b|\bcontestar\b|\bhablar\b|\bcomentar\b|\bpermiso\b|\bcorresponde\b|\bpetición\b|\bpregunta\b|помочь|помогать|отвечать|ответить|обсуждать|говорить|просьб|запрос|права|правил|帮|回答|请求|问题|讨论|处理|谈论|规定|多说"
+_TALK = _Wording(
+    "help assis answe discu comme cover reque guide polic allow permi right comfo somet someo someb some one take into helfe weite beant anfra ausku richt erlau befug äußer aider répon abord parle autor mesur deman ayuda respo conte habla comen corre petic pregu",
+    r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:this|that|it|such|your|the (?:matter|topic))\b"
+    r"|\banswering would\b|\bmay not cover\b|\b(?:this|that|your|such(?: a)?) requests?\b|\bdiscuss\b|\bcomment on\b|\bguidelines?\b|\bpolic(?:y|ies)\b"
+    r"|\ballowed\b|\bpermitted\b|\bright for me\b|\bcomfortable\b|\bsome(?:one|body) else\b|\bthis one\b|\btake on\b|\bgo into\b|\b(?:weiter)?helfen\b"
+    r"|\bbeantworte|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b"
+    r"|\bautoris|\ben mesure\b|\bdemande\b|\bayudar|\bresponder\b|\bcontestar\b|\bhablar\b|\bcomentar\b|\bpermiso\b|\bcorresponde\b|\bpetición\b|\bpregunta\b",
+    r"помочь|помогать|отвечать|ответить|обсуждать|говорить|просьб|запрос|права|правил|帮|回答|请求|问题|讨论|处理|谈论|规定|多说",
 )
-_OPENING = re.compile(
-    r"\bsorry\b|\bapolog\w*|\bunfortunately\b|\bafraid\b|\bregret\w*|\bto be honest\b|\bthanks for asking\b|\bes tut mir leid|\bleider\b|\bentschuldig|\bdanke für|\bdésolé|\bmalheureusement|\bmerci pour|\bhélas\b"
-    r"|\blo siento|\bpor desgracia|\blamentablemente|\bgracias por preguntar|к сожалению|простите|извините|спасибо за вопрос|увы|抱歉|很遗憾|对不起|不好意思"
+_OPENING = _Wording(
+    "sorry apolo unfor afrai regre hones thank leid leide entsc danke désol malhe merci hélas sient desgr lamen graci",
+    r"\bsorry\b|\bapolog\w*|\bunfortunately\b|\bafraid\b|\bregret\w*|\bto be honest\b|\bthanks for asking\b|\bes tut mir leid|\bleider\b|\bentschuldig"
+    r"|\bdanke für|\bdésolé|\bmalheureusement|\bmerci pour|\bhélas\b|\blo siento|\bpor desgracia|\blamentablemente|\bgracias por preguntar",
+    r"к сожалению|простите|извините|спасибо за вопрос|увы|抱歉|很遗憾|对不起|不好意思",
 )
-_CLOSING = re.compile(
-    r"\bi hope you understand|\banything else\b|\banother (?:topic|question)|\brephrase\b|\bsomething else\b|\bautre question|\bcompréhension|\betwas anderes|\bverständnis|\bandere frage"
-    r"|\blo entiendas|\botra pregunta|\bcomprensión|о чём-нибудь другом|понимание|другой вопрос|换一个问题|理解|请谅解|其他问题"
+_CLOSING = _Wording(
+    "under anyth anoth rephr somet quest compr ander etwas verst frage entie pregu",
+    r"\bi hope you understand|\banything else\b|\banother (?:topic|question)|\brephrase\b|\bsomething else\b|\bautre question|\bcompréhension|\betwas anderes"
+    r"|\bverständnis|\bandere frage|\blo entiendas|\botra pregunta|\bcomprensión",
+    r"о чём-нибудь другом|понимание|другой вопрос|换一个问题|理解|请谅解|其他问题",
 )
 #: Words after which no sentence ends.
 _DANGLING = set(
@@ -187,9 +210,10 @@ def _alien(text: str, lang: str | None) -> float:
     return sum(ch not in _BEYOND_ASCII[lang] for ch in letters) / (len(letters) + len(_ASCII_LETTER.findall(text)))
 
 
-def _trigrams(text: str) -> Counter:
-    """Three letters in a row of the words of at most six letters, with the blanks around them: mostly function words and endings."""
-    return Counter(t for w in _words(text) if len(w) <= 6 and not w.isdigit() for x in (f" {w} ",) for t in (x[i : i + 3] for i in range(len(x) - 2)))
+def _trigrams(words: list[str]) -> Counter:
+    """Three characters in a row of the words of at most six letters: mostly function words and endings."""
+    t = f" {' '.join([w for w in words if len(w) <= 6 and w.isalpha()])} "
+    return Counter(zip(t, t[1:], t[2:]))
 
 
 def _cosine(a: Counter, b: Counter) -> float:
@@ -197,11 +221,12 @@ def _cosine(a: Counter, b: Counter) -> float:
     return both / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if both else 0.0
 
 
-def _language_scores(text: str) -> Counter:
+def _language_scores(text: str, words: list[str]) -> Counter:
     scores: Counter = Counter()
-    for w in _words(text):
-        for lang in _LANGS_OF.get(w, ()):
-            scores[lang] += 1 / len(_LANGS_OF[w])
+    for langs in map(_LANGS_OF.get, words):
+        if langs is not None:
+            for lang in langs:
+                scores[lang] += 1 / len(langs)
     if _NOT_LATIN.search(text):
         scores["zh"] += len(_HAN.findall(text)) / 2
         if _script(text) == "cyrillic":
@@ -209,11 +234,15 @@ def _language_scores(text: str) -> Counter:
     return scores
 
 
-def _language(text: str, margin: float = 1.5, least: float = 1.0) -> str | None:
-    ranked = _language_scores(text).most_common(2)
-    if not ranked or ranked[0][1] < least:
-        return None
-    return ranked[0][0] if len(ranked) < 2 or ranked[0][1] >= margin * ranked[1][1] else None
+def _leader(scores: Counter, margin: float = 1.5, least: float = 1.0) -> str | None:
+    """The language of the greatest score, if it is ahead of the next by ``margin``."""
+    best, top, second = None, 0.0, 0.0
+    for lang, x in scores.items():
+        if x > top:
+            best, top, second = lang, x, top
+        elif x > second:
+            second = x
+    return best if top >= least and top >= margin * second else None
 
 
 def _prose(answer: str) -> list[str]:
@@ -226,6 +255,8 @@ def _prose(answer: str) -> list[str]:
 
 
 def _asked_language(prompt: str) -> str | None:
+    if prompt.isascii() and not any(x in prompt.lower() for x in ("transl", "answer", "reply", "respond", "writ", "expl", "schreib", "tradu", "cont", "escrib")):
+        return None
     for m in _ASKS.finditer(prompt):
         name = next((g for g in m.groups() if g), "").lower()
         for lang, names in _NAMES.items():
@@ -248,12 +279,14 @@ def _covered(words: list[str], by: list[str], k: int) -> list[bool]:
 def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[str, tuple[int, ...]]:
     """The votes of all labelling functions on one pair."""
     answer, asked = answer_of(content), _readable(prompt or "").strip()
-    has = any(c.isalnum() for c in answer)
+    has = any(map(str.isalnum, answer))
     few = 1 if len(answer) <= 3 else 0 if len(answer) <= 12 else -1
-    out = {"empty": (-1 if any(c.isalpha() for c in answer) else 1, -1 if any(c.isdigit() for c in answer) else 1, few)}
+    out = {"empty": (-1 if any(map(str.isalpha, answer)) else 1, -1 if any(map(str.isdigit, answer)) else 1, few)}
     if not has:
         return out | {d: (-1,) * len(f) for d, f in FUNCTIONS.items() if d != "empty"}
-    words, p_words = _words(answer), _words(asked)
+    parts = [(x, _words(x)) for x in _SENTENCE.split(answer)]
+    words, p_words = [w for _, ws in parts for w in ws], _words(asked)
+    p_set, heads = set(p_words), {w[:5] for w in words}
     literal = bool(_LITERAL.fullmatch(answer))
     plain = answer.lower().replace("’", "'")
     copies = False
@@ -265,8 +298,8 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
         run = max((sum(1 for _ in g) for hit, g in itertools.groupby(covered) if not hit), default=0)
         room = 10 if han else 5
         new = at = 0
-        for s in _SENTENCE.split(answer):
-            k = len(_words(s))
+        for _, ws in parts:
+            k = len(ws)
             new += k >= 4 and sum(covered[at : at + k]) < 0.3 * k
             at += k
         copies = share >= 0.7 and run <= room
@@ -301,16 +334,16 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
 
     bare = _QUOTE.sub(" ", _CODE.sub(" ", plain))
     long_words = [w for w in words if len(w) >= 5 or _HAN.match(w)]
-    p_set = set(p_words)
     topical = sum(w in p_set for w in long_words) / max(1, len(long_words))
-    on_topic = sum(1 for s in _SENTENCE.split(bare) if sum(1 for w in set(_words(s)) if len(w) >= 4 and w in p_set) >= 2)
-    negated, declined, talk = (bool(x.search(bare)) for x in (_SELF_NEGATION, _DECLINING, _TALK))
+    on_topic = sum(sum(len(w) >= 4 for w in p_set.intersection(ws)) >= 2 for _, ws in parts)
+    beyond = bool(_NOT_LATIN.search(bare))
+    negated, declined, talk, opening, closing = (x.search(bare, heads, beyond) for x in (_SELF_NEGATION, _DECLINING, _TALK, _OPENING, _CLOSING))
     out["refusal"] = (
         1 if negated else -1,
         1 if declined else -1,
         1 if talk else -1,
-        1 if _OPENING.search(bare) else -1,
-        1 if _CLOSING.search(bare) else -1,
+        1 if opening else -1,
+        1 if closing else -1,
         -1 if literal or topical >= 0.25 and sum(w in p_set for w in long_words) >= 3 else 1 if topical < 0.1 and asked else 0,
         -1 if literal or on_topic >= 2 or code_open else 1 if not on_topic else 0,
         -1 if literal or len(words) > 60 or "```" in answer else 1 if len(words) <= 20 else 0,
@@ -323,18 +356,23 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     if literal or not prose or not p_words:
         out["other_language"] = (-1,) * 5
         return out
-    lang, p_lang, script, p_script = _language(prose, least=3.0), wanted or _language(p_text), _script(prose), _script(p_text)
-    by_sentence = Counter()
-    for s in sentences:
-        if (x := _language(s, 1.01)) is not None:
-            by_sentence[x] += len(s)
-    major = by_sentence.most_common(1)[0][0] if by_sentence and len(sentences) > 1 else None
+    by_sentence, total, said = Counter(), Counter(), []
+    p_own = p_words if p_text == asked else _words(p_text)
+    for x in sentences:
+        said += (own_words := _words(x))
+        scores = _language_scores(x, own_words)
+        for k, score in scores.items():
+            total[k] += score
+        if (best := _leader(scores, 1.01)) is not None:
+            by_sentence[best] += len(x)
+    lang, p_lang, script, p_script = _leader(total, least=3.0), wanted or _leader(_language_scores(p_text, p_own)), _script(prose), _script(p_text)
+    major = max(by_sentence, key=by_sentence.get) if by_sentence and len(sentences) > 1 else None
     if wanted:
         p_script = {"ru": "cyrillic", "zh": "han"}.get(wanted, "latin")
     differ = lambda a, b: 0 if a is None or b is None else 1 if a != b else -1
     own = {w for w in p_words if len(w) >= 3 and w in _LANGS_OF or _HAN.match(w)}
     shared = sum(w in own for w in words) / max(1, len(words))
-    alike = _cosine(_trigrams(prose), _trigrams(p_text)) if len(words) >= 10 and len(p_words) >= 6 and not wanted and script == p_script else None
+    alike = _cosine(_trigrams(said), _trigrams(p_own)) if len(words) >= 10 and len(p_words) >= 6 and not wanted and script == p_script else None
     out["other_language"] = (
         1 if differ(script, p_script) == 1 or _alien(prose, p_lang) >= 0.03 else 0 if script == "latin" else differ(script, p_script),
         differ(lang, p_lang),
