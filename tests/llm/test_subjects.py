@@ -85,3 +85,16 @@ def test_tree_splits_clusters(spark):
     df = spark.createDataFrame([(v.tobytes(),) for v in x], "vec binary")
     tree = S.bisect(df, 4)
     assert all(len(set(tree.route(x[i * 50 : i * 50 + 50]))) == 1 for i in range(4)) and len(set(tree.route(x))) == 4
+
+
+def test_sums_have_bounded_groups(spark):
+    """At 10,000 tasks no group holds more than FAN_IN partial sums, where one group would hold all."""
+    import pandas as pd
+
+    def total(pdf):
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "n": [pdf["n"].sum()], "most": [max(len(pdf), pdf["most"].max())]})
+
+    partials = spark.range(10_000).selectExpr("cast(id % 2 as int) as row", "id as n", "0L as most", "cast(id as int) as part")
+    got = {r["row"]: (r["n"], r["most"]) for r in S._summed(partials, 10_000, "row", total, "row int, n bigint, most bigint").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {0: sum(range(0, 10_000, 2)), 1: sum(range(1, 10_000, 2))}
+    assert max(most for _, most in got.values()) <= S.FAN_IN

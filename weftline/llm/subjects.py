@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ TERMS, DIM, LEAVES = 1 << 16, 64, 256
 CHUNK, SCORED = 1 << 14, 1 << 8
 #: Least divergence of a term that tells leaves apart.
 TELLING = 1.0
+#: Partial sums added up at a time.
+FAN_IN = 64
 #: Terms looked at together on the driver.
 BLOCK = 1 << 12
 #: Columns of the token table: distinct terms with counts, and the sequence.
@@ -117,6 +120,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             at = end
 
 
+def _within(total, groups: int):
+    return lambda pdf: total(pdf).assign(part=pdf["part"].iloc[0] % groups)
+
+
+def _summed(partials: DataFrame, parts: int, key: str, total, kind: str) -> DataFrame:
+    """Partial sums of each key added up in levels, so that no group has more than about ``FAN_IN`` rows.
+
+    ``partials`` have, besides the columns of ``kind``, the number ``part`` of the task that made them, and ``parts`` is about how
+    many tasks there are.  ``total`` adds the rows of one group.
+    """
+    columns = [c.split()[0] for c in kind.split(", ")]
+    groups = 1
+    while groups * FAN_IN < parts:
+        groups *= FAN_IN
+    while groups > 1:  # the part of a sum is the group it was made in
+        partials = partials.groupBy(key, F.pmod("part", F.lit(groups)).alias("_group")).applyInPandas(_within(total, groups), f"{kind}, part int")
+        groups //= FAN_IN
+    return partials.select(*columns).groupBy(key).applyInPandas(total, kind)
+
+
 @cache
 def _signs() -> np.ndarray:
     return np.random.default_rng(20).choice(np.array([-1, 1], np.float32), size=(TERMS, DIM))
@@ -180,10 +203,11 @@ class Tree:
 
 def _moments(vectors: DataFrame, tree: Tree, second: bool) -> dict[int, tuple[int, np.ndarray, np.ndarray | None]]:
     """Number, sum and second moments of the vectors of each leaf; ``DIM ** 2`` numbers a leaf at most reach the driver."""
-    out_schema = pa.schema([("node", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
+    out_schema = pa.schema([("node", pa.int32()), ("n", pa.int64()), ("sums", pa.binary()), ("part", pa.int32())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, list] = {}
+        part_id = TaskContext.get().partitionId()
         for b in batches:
             x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, DIM)
             node = tree.route(x)
@@ -195,14 +219,15 @@ def _moments(vectors: DataFrame, tree: Tree, second: bool) -> dict[int, tuple[in
                 old = acc.setdefault(int(node[part[0]]), [0, np.zeros(len(m))])
                 old[0] += len(part)
                 old[1] += m
-        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([a[0] for a in acc.values()], pa.int64()), pa.array([a[1].tobytes() for a in acc.values()], pa.binary())], schema=out_schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([a[0] for a in acc.values()], pa.int64()), pa.array([a[1].tobytes() for a in acc.values()], pa.binary()), pa.array([part_id] * len(acc), pa.int32())], schema=out_schema)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         sums = sum(np.frombuffer(s, np.float64) for s in pdf["sums"])
         return pd.DataFrame({"node": [pdf["node"].iloc[0]], "n": [pdf["n"].sum()], "sums": [sums.tobytes()]})
 
     schema = "node int, n bigint, sums binary"
-    rows = vectors.select("vec").mapInArrow(partial, schema).groupBy("node").applyInPandas(total, schema).collect()
+    partials = vectors.select("vec").mapInArrow(partial, f"{schema}, part int")
+    rows = _summed(partials, len(vectors.inputFiles()), "node", total, schema).collect()
     out = {}
     for r in rows:
         m = np.frombuffer(r["sums"], np.float64)
@@ -286,15 +311,15 @@ def _sentence_leaves(tok: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndar
 
 def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
     """Sums of ``work(acc, ids, doc, columns)`` over all chunks, as a ``rows x TERMS`` matrix; a table of bounded size."""
-    schema = pa.schema([("row", pa.int32()), ("terms", pa.binary()), ("n", pa.binary())])
+    schema = pa.schema([("row", pa.int32()), ("terms", pa.binary()), ("n", pa.binary()), ("part", pa.int32())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((rows, TERMS), np.float32)
+        acc, part = np.zeros((rows, TERMS), np.float32), TaskContext.get().partitionId()
         for ids, doc, cols in _chunks(batches):
             work(acc, ids, doc, *cols)
         for r in np.flatnonzero(acc.any(axis=1)).tolist():
             t = np.flatnonzero(acc[r])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.astype(np.int32).tobytes()], pa.binary()), pa.array([acc[r, t].astype(np.float64).tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([t.astype(np.int32).tobytes()], pa.binary()), pa.array([acc[r, t].astype(np.float64).tobytes()], pa.binary()), pa.array([part], pa.int32())], schema=schema)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = np.zeros(TERMS)
@@ -305,7 +330,7 @@ def _counts(frame: DataFrame, rows: int, work) -> np.ndarray:
 
     kind = "row int, terms binary, n binary"
     out = np.zeros((rows, TERMS), np.float32)
-    for r in frame.mapInArrow(partial, kind).groupBy("row").applyInPandas(total, kind).collect():
+    for r in _summed(frame.mapInArrow(partial, f"{kind}, part int"), len(frame.inputFiles()), "row", total, kind).collect():
         out[r["row"], np.frombuffer(r["terms"], np.int32)] = np.frombuffer(r["n"], np.float64)
     return out
 
@@ -336,8 +361,8 @@ class Model:
         self.names, self.least = names, least
 
 
-def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_labelled: int = MAX_LABELLED) -> Model:
-    """Cluster all documents and name the leaves."""
+def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LEAVES, min_leaf: int = 8, max_labelled: int = MAX_LABELLED, label_evidence: bool = True) -> Model:
+    """Cluster all documents and name the leaves; without ``label_evidence`` by their discriminative terms alone."""
     spark = tokens.sparkSession
     docs, df = _document_frequencies(tokens)
     idf = np.where(df >= 3, np.log(np.maximum(docs, 1) / np.maximum(df, 1)), 0.0).astype(np.float32)
@@ -399,7 +424,7 @@ def fit(tokens: DataFrame, labels: DataFrame, areas: DataFrame, leaves: int = LE
 
     second = _counts(tokens.select(*SEQUENCE), k_leaves + k_subjects, by_sentence)
     held = np.flatnonzero(second[:k_leaves].any(axis=1))  # every leaf that a sentence was assigned to, however small
-    evidence = second[k_leaves:, held].T.astype(np.float64)
+    evidence = second[k_leaves:, held].T.astype(np.float64) * label_evidence
     second = second[held if len(held) else [0]]
     model = Model(second, background, [])
     model.names = _name_leaves(second[:, model.terms], model.weights.T, _log_odds(by_subject, model.terms, background, 50.0), evidence, [*subjects, ""])
@@ -479,12 +504,12 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(spread(src).mapInArrow(_tokenized, "doc_id bigint, toks binary, terms binary, n binary"), "subject-tokens")
 
 
-def subjects_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, areas: DataFrame, share: float = 0.2, leaves: int = LEAVES) -> DataFrame:
+def subjects_of(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, areas: DataFrame, share: float = 0.2, leaves: int = LEAVES, label_evidence: bool = True) -> DataFrame:
     """``(doc_id, subject, share)`` of every document and each of its subjects.
 
     Null ids and texts, blank texts and texts without a subject have no row; repeated rows count once for the
     result; without labels only the subject descriptions name leaves; empty tables give an empty result.
     """
     tokens = tokenized(docs, id_col, text_col)
-    model = fit(tokens, labels, areas, leaves)
+    model = fit(tokens, labels, areas, leaves, label_evidence=label_evidence)
     return leaf_mixtures(tokens, model).where(F.col("share") >= share).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
