@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import numbers as N
 from weftline.functions import scoring as SC
 from weftline.functions import text as T
+from weftline.functions.expressions import same_value
 from weftline.operators import control as C
 from weftline.operators import decode as D
 from weftline.operators import evaluation as E
@@ -128,8 +129,66 @@ def test_final_answer(spark, given, want):
     assert one(col(spark, given), SC.final_answer(F.col("v"))) == want
 
 
-def test_same_expression():
-    assert SC.same_expression("1", "1") and not SC.same_expression(None, "1") and not SC.same_expression("1", "2")
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("1", "1", True), (None, "1", False), ("1", "2", False), ("0.5", "\\frac12", True), ("\\frac{1}{2}", "1/2", True), ("x^2-1", "(x-1)(x+1)", True), ("x^2", "x^3", False), ("\\sqrt{8}", "2\\sqrt2", True), ("\\sqrt[3]{27}", "3", True),
+        ("1,000", "1000", True), ("50\\%", "1/2", True), ("\\left(a+b\\right)^2", "a^2+2ab+b^2", True), ("2\\pi", "6.283", False), ("-3^2", "-9", True), ("1/0", "2", False), ("9^{9^9}", "1", False), ("(" * 5000, "1", False), ("north", "north", True), ("x y z \\foo", "1", False), ("", "", True), ("", "1", False), ("1/3", "0.3333333333", False),
+    ],
+)
+def test_same_value(a, b, same):
+    assert same_value(a, b) is same
+
+
+def test_named_choice(spark):
+    rows = [("It is (B) or (C)", ["x", "y", "z"], "(C)"), ("first RED, then blue", ["Blue", "red", None], "(A)"), ("blue, then red", ["Blue", "red", ""], "(B)"), ("nothing", ["Blue"], ""), (None, ["Blue"], ""), ("x", None, "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, c array<string>, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", SC.bracketed_or_named_choice(F.col("p"), F.col("c")).alias("got")).collect())
+
+
+def test_intermediate_folders(spark):
+    import os
+
+    from weftline import session
+
+    assert session.default_dir("local[4]").startswith("file:") and session.default_dir("local").startswith("file:")
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.default_dir(master)
+    folder = session.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with session.workspace(spark):
+        assert session.staged(spark.range(10), "gone").count() == 10
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before
+
+
+def test_hooks(spark):
+    from weftline.operators import hooks
+
+    with pytest.raises(ValueError, match="unknown"):
+        hooks.task("none")
+    with pytest.raises(ValueError, match="already"):
+        hooks.register("letter", hooks.TASKS["letter"])
+    docs = spark.createDataFrame([(1, "How many?", "so #### 7"), (2, "No solution", None)], "item_id int, question string, solution string")
+    answers = spark.createDataFrame([(10, 1, "#### 7."), (11, 1, None), (12, 2, "7")], "response_id int, item_id int, response string")
+    got = {(r["response_id"], r["metric"]): r["value"] for r in hooks.scored("number", docs, answers, "item_id").collect()}
+    assert got == {(10, m): 1.0 for m in ("exact", "flexible", "loose")} | {(11, m): 0.0 for m in ("exact", "flexible", "loose")}
+
+
+def test_prefetch(spark):
+    rows = [("a", "p/a", "x", False, True), ("a", "p/a", None, False, False), ("g", "p/g", "m", True, False)]
+    df = spark.createDataFrame(rows, "name string, path string, config string, gated boolean, ok boolean")
+    assert [tuple(r) for r in C.prefetch_plan(df, ["g"], True).select("name", "action").collect()] == [("g", "skip")]
+    assert {r["action"] for r in C.prefetch_plan(df).collect()} == {"fetch"}
+    assert tuple(C.prefetch_outcome(df).first()) == (["p/a:None", "p/g:m"], 1)
+    assert tuple(C.prefetch_outcome(df.where("gated")).first()) == (["p/g:m"], 0) and tuple(C.prefetch_outcome(df.where("ok")).first()) == ([], 0)
+
+
+def test_placeholders():
+    assert config.materialized("k: __PASS_K__, __PASS_K__", PASS_K=3) == "k: 3, 3"
+    with pytest.raises(ValueError, match="__OTHER__"):
+        config.materialized("__PASS_K__ __OTHER__", PASS_K=1)
 
 
 def test_prompt_texts(spark):
@@ -287,8 +346,55 @@ def test_token_streams(spark):
 def test_store_slice_is_not_empty(spark, sf_dir):
     from weftline.plans import control
 
-    n = control.sizes_only(spark, sf_dir).count()
-    assert n > 4 and sorted(r["doc_id"] for r in control.store_slice(spark, sf_dir).collect()) == list(range(n // 4, n - n // 4))
+    got = sorted(r["doc_id"] for r in control.store_slice(spark, sf_dir).collect())
+    assert len(got) > 4 and got == list(range(got[0], got[-1] + 1)) and got[0] > 0
+
+
+STORED = "doc_order bigint, tokens array<int>, lossable array<tinyint>"
+
+
+def test_shards(spark, tmp_path):
+    """A store of several shards reads as one set of files does, and joins into it."""
+    docs = [(i, list(range(1000 * i, 1000 * i + i % 7)), [j % 2 for j in range(i % 7)]) for i in range(200)]
+    kept = [d for d in docs if d[1]]
+    path = str(tmp_path / "many")
+    listed = binidx.write_shards(spark.createDataFrame(docs, STORED), path, partitions=5)
+    assert len(listed) > 1 and sum(s["docs"] for s in listed) == len(kept)
+    binidx.export(path, f"{path}/all")
+    whole, single = sorted(binidx.read(spark, path).collect()), sorted(binidx.read(spark, f"{path}/all").collect())
+    assert whole == single and [r["tokens"] for r in whole] == [d[1] for d in kept]
+    stream = [t for d in kept for t in d[1]]
+    assert binidx.flat(path, 3, 400).tolist() == stream[3:403]
+    starts = np.cumsum([0, *(len(d[1]) for d in kept)]).tolist()
+    wanted = [(i, i % 3, n) for i in (0, 7, 90) for n in (None, 0, 1, 3)] + [(len(kept) - 1, 1, None), (5, 0, 300)]
+    got = {(r["idx"], r["offset"], r["length"]): r["tokens"] for r in binidx.get(spark.createDataFrame(wanted, "idx bigint, offset bigint, length bigint"), path).collect()}
+    for (i, offset, n), tokens in got.items():
+        end = starts[i] + offset + n if n is not None else max(starts[i] + offset, starts[i + 1])
+        assert tokens == stream[starts[i] + offset : end]
+    for bad in ((len(kept), 0, 1), (-1, 0, 1), (0, 0, len(stream) + 1)):
+        with pytest.raises(Exception, match="no document|stream ends"):
+            binidx.get(spark.createDataFrame([bad], "idx bigint, offset bigint, length bigint"), path).collect()
+
+
+def test_conditions_narrow_the_ranges(spark, tmp_path):
+    path = str(tmp_path / "narrow")
+    binidx.write_shards(spark.createDataFrame([(i, [i], [1]) for i in range(100)], STORED), path, partitions=4)
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    for filters, want in ([EqualTo(("doc_id",), 42)], {42}), ([GreaterThanOrEqual(("doc_id",), 10), LessThan(("doc_id",), 12)], {10, 11}), ([In(("doc_id",), (3, 5))], {3, 4, 5}), ([EqualTo(("size",), 1)], set(range(100))):
+        reader = binidx.Reader(path, "all", 7)
+        assert list(reader.pushFilters(filters)) == filters
+        assert {i for p in reader.partitions() for i in range(p.shard.first_doc + p.lo, p.shard.first_doc + p.hi)} == want
+    assert [r["tokens"] for r in binidx.at(binidx.read(spark, path), 42).collect()] == [[42]]
+    assert binidx.at(binidx.read(spark, path), 1000).count() == 0
+
+
+def test_torn_stream(spark, tmp_path):
+    prefix = str(tmp_path / "torn")
+    binidx.write(spark.createDataFrame([(0, [1, 2], [1, 1])], STORED), prefix)
+    (tmp_path / "torn.bin").write_bytes(b"\0" * 7)
+    with pytest.raises(ValueError, match="torn"):
+        binidx.tokens_by_file(prefix)
 
 
 def test_binidx_round_trip(spark, tmp_path):
@@ -335,6 +441,13 @@ def test_empty_store(spark, tmp_path):
     assert binidx.header(prefix) == (4, 0, 1) and binidx.read(spark, prefix).count() == 0
 
 
+def test_variants(spark, tmp_path):
+    (tmp_path / "code_train.jsonl").write_text('{"text": "c"}\n')
+    (tmp_path / "own.jsonl").write_text('{"text": "o"}\n')
+    read = lambda *a: [r["text"] for r in subsets.read_variant(spark, str(tmp_path), "text string", *a).collect()]
+    assert read("code") == ["c"] and read("code", "own.jsonl") == ["o"] and read("unknown", "own.jsonl") == ["o"]
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "old"}\n\n{"segments": [{"text": "x", "lossable": true}, {"lossable": true}]}\n')
     got = [[tuple(s) for s in r["segments"]] for r in jsonl.read(spark, str(tmp_path / "a.jsonl")).collect()]
@@ -358,7 +471,7 @@ def test_config():
 
 def test_results(spark, tmp_path):
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "r.json").write_text('{"results": {"task": {"exact": "0.5"}}}')
+    (tmp_path / "t" / "r.json").write_text('{\n  "results": {\n    "task": {"exact": "0.5"}\n  }\n}\n')
     (tmp_path / "t" / "bad.json").write_text("{nothing")
     (tmp_path / "summary.json").write_text("{}")
     got = {r["path"].rsplit("/", 1)[1]: (r["results"], r["error"]) for r in config.read_results(spark, str(tmp_path)).collect()}

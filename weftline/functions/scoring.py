@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.expressions import same_value
 from weftline.functions.text import strip
 
 #: Letter after an announcement, else a letter standing alone (fixed pattern; ``{}`` takes the letters).
@@ -32,15 +33,15 @@ REMOVED = [
     "square", "ways", "integers", "dollars", "mph", "inches", "ft", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples",
     "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots",
 ]
-#: Unwrapping patterns and the group that stays, in order.
+#: Unwrapping patterns and what stays of them, in order.
 UNWRAPPED = [
-    (r"(.*?)(\$)(.*?)(\$)(.*)", "$@3$"),
-    (r"(\\text\{)(.*?)(\})", "@2"),
-    (r"(\\textbf\{)(.*?)(\})", "@2"),
-    (r"(\\overline\{)(.*?)(\})", "@2"),
-    (r"(\\boxed\{)(.*)(\})", "@2"),
-    (r"(frac)([^{])(.)", "frac{@2}{@3}"),
-    (r"(sqrt)([^{])", "sqrt{@2}"),
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"(\\text\{)(.*?)(\})", "$2"),
+    (r"(\\textbf\{)(.*?)(\})", "$2"),
+    (r"(\\overline\{)(.*?)(\})", "$2"),
+    (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", "frac{$2}{$3}"),
+    (r"(sqrt)([^{])", "sqrt{$2}"),
 ]
 INVALID = "[invalidanswer]"
 Score = Callable[[Column, Column], dict[str, Column]]
@@ -122,10 +123,19 @@ def strict_choice(prediction: Column) -> Column:
 
 
 def bracketed_choice(prediction: Column) -> Column:
-    """Last bracketed capital.  Falling back to the text of a choice is not part of it."""
+    """Last bracketed capital, empty without one."""
     return _last(F.regexp_extract_all(prediction, F.lit(r"(\([A-Z]\))"), F.lit(1)))
 
 
+def bracketed_or_named_choice(prediction: Column, choices: Column) -> Column:
+    """Last bracketed capital, else the letter of the choice whose text occurs last, whatever its case; empty without either."""
+    backwards = F.reverse(F.lower(F.coalesce(prediction, F.lit(""))))
+    behind = F.transform(choices, lambda c, i: F.struct(F.position(F.reverse(F.lower(c)), backwards).alias("at"), i.alias("i"), F.char_length(c).alias("n")))
+    last = F.array_min(F.filter(behind, lambda s: (s["at"] > 0) & (s["n"] > 0)))
+    letter = F.concat(F.lit("("), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), last["i"] + 1, F.lit(1)), F.lit(")"))
+    return F.coalesce(F.nullif(bracketed_choice(prediction), F.lit("")), letter, F.lit(""))
+
+
 def stated_final_answer(text: Column) -> Column:
     """The answer of the closing sentence; a cut one counts as whole."""
     found = F.concat(text, F.lit("I hope it is correct."))
@@ -141,7 +151,7 @@ def final_answer(answer: Column) -> Column:
     for old in REMOVED:
         out = F.replace(out, F.lit(old), F.lit(""))
     for pattern, keep in UNWRAPPED:
-        out = F.regexp_replace(out, pattern, keep.replace("$", r"\$").replace("@", "$"))
+        out = F.regexp_replace(out, pattern, keep)
     out = F.replace(out, F.lit("$"), F.lit(""))
     bare = F.replace(out, F.lit(","), F.lit(""))
     return F.when(bare.rlike(r"^\d+\z"), bare).otherwise(out)
@@ -182,26 +192,11 @@ def unboxed(boxed: Column) -> Column:
     return F.when(boxed.isNull(), F.lit(None).cast("string")).when(spaced, F.substr(boxed, F.lit(8))).when(braced, inside).otherwise(F.raise_error(F.lit("not boxed")).cast("string"))
 
 
-def same_expression(a: str | None, b: str | None) -> bool:
-    """Equal as written, or by a computer algebra system if one is installed; anything doubtful is unequal."""
-    if a is None or b is None:
-        return False
-    if a == b:
-        return True
-    try:
-        from sympy import simplify
-        from sympy.parsing.latex import parse_latex
-    except ImportError:
-        return False
-    try:
-        return simplify(parse_latex(a) - parse_latex(b)) == 0
-    except Exception:
-        return False
-
-
 def equivalent(a: Column, b: Column) -> Column:
+    """Formulas equal as written or in value; a null is equal to nothing."""
+
     def compare(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([same_expression(p, q) for p, q in zip(x, y)])
+        return pd.Series([same_value(p, q) for p, q in zip(x, y)], dtype=bool)
 
     return F.pandas_udf(compare, "boolean")(a, b)
 

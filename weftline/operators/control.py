@@ -46,3 +46,20 @@ def repeated(df: DataFrame, times: int, attempt: str = "attempt") -> DataFrame:
 def knobs(**values: Column) -> Column:
     """Settings as one line."""
     return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in values.items()])
+
+
+def prefetch_plan(catalog: DataFrame, wanted: list[str] | None = None, skip_gated: bool = False) -> DataFrame:
+    """``catalog(name, path, config, gated)`` with ``action``: ``fetch``, or ``skip`` for a gated one; names not wanted drop out."""
+    named = catalog if wanted is None else catalog.where(F.col("name").isin(wanted))
+    return named.withColumn("action", F.when(F.col("gated") & F.lit(skip_gated), "skip").otherwise("fetch"))
+
+
+def prefetch_outcome(attempts: DataFrame) -> DataFrame:
+    """``(failures, exit_code)`` of ``attempts(path, config, gated, ok)``.
+
+    Failures are listed as ``path:config``; failures of gated datasets alone, as of none, give 0.
+    """
+    failed = ~F.coalesce("ok", F.lit(False))
+    label = F.concat_ws(":", "path", F.coalesce("config", F.lit("None")))
+    hard = F.count_if(failed & ~F.coalesce("gated", F.lit(False)))
+    return attempts.agg(F.sort_array(F.collect_list(F.when(failed, label))).alias("failures"), F.when(hard > 0, 1).otherwise(0).alias("exit_code"))

@@ -65,3 +65,23 @@ def compared(df: DataFrame, a: str, b: str) -> DataFrame:
     """``(max_abs, mean_abs, relative)`` of two numeric columns; our own difference tool."""
     delta = F.abs(F.col(a) - F.col(b))
     return df.agg(F.max(delta).alias("max_abs"), F.avg(delta).alias("mean_abs"), (F.max(delta) / F.greatest(F.max(F.abs(F.col(b))), F.lit(1e-12))).alias("relative"))
+
+
+def sweep_report(runs: DataFrame, title: str, settings: str, prompt: str) -> DataFrame:
+    """``(ord, block)``: a Markdown report, a head and one section for each of ``runs(ord, name, knobs, text, finish, n_tokens, seconds, error)``.
+
+    ``ord`` counts from 1; a run with an ``error`` shows its kind and message in place of the text.  The blocks in order are the file.
+    """
+    fence = lambda c: F.concat(F.lit("```\n"), c, F.lit("\n```\n\n"))
+    kind = F.regexp_extract("error", r"^\w+", 0)
+    status = F.when(F.col("error").isNull(), F.concat(F.lit("OK ["), "finish", F.lit(", "), F.col("n_tokens").cast("string"), F.lit(" tok]"))).otherwise(F.concat(F.lit("FAIL: "), kind))
+    seconds = F.round("seconds", 1).cast("decimal(18,1)").cast("string")
+    top = F.concat(F.lit("## "), F.col("ord").cast("string"), F.lit(". `"), "name", F.lit("`  ("), status, F.lit(", "), seconds, F.lit("s)\n\n"))
+    sections = runs.select(F.col("ord").cast("int").alias("ord"), F.concat(top, fence(F.col("knobs")), fence(F.coalesce("error", "text", F.lit(""))), F.lit("---\n\n")).alias("block"))
+    head = runs.sparkSession.createDataFrame([(0, f"# {title}\n\n{settings}\n- **prompt**:\n\n```\n{prompt}\n```\n\n")], "ord int, block string")
+    return head.unionByName(sections)
+
+
+def write_report(blocks: DataFrame, path: str) -> None:
+    """The blocks of a report in order, as one text file in a folder."""
+    blocks.coalesce(1).sortWithinPartitions("ord").select(F.regexp_replace("block", r"\n\z", "")).write.text(path)

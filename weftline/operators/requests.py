@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_TOKENS, MAX_TOKENS_CAP = 2048, 16384
@@ -45,3 +45,12 @@ def rejection(stream: Column, n: Column, messages: Column, last_role: Column) ->
 
 def usage(prompt_tokens: Column, completion_tokens: Column) -> dict[str, Column]:
     return {"prompt_tokens": prompt_tokens, "completion_tokens": completion_tokens, "total_tokens": prompt_tokens + completion_tokens}
+
+
+def append_speed(df: DataFrame, path: str) -> None:
+    """Append ``df(n_completion, elapsed)`` to the speed log: lines of tokens generated and seconds taken, without a header."""
+    df.select("n_completion", "elapsed").write.mode("append").csv(path)
+
+
+def read_speed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("n_completion bigint, elapsed double").csv(path)

@@ -40,7 +40,7 @@ def flat_window_parts(sizes: DataFrame, ctx_len: int) -> DataFrame:
     end = F.col("start") + F.col("size")
     first = F.greatest(F.expr(f"(start - {ctx_len} - 1) div {ctx_len}"), F.lit(0))
     met = placed.select("doc_id", "size", "start", F.explode(F.sequence(first, F.expr(f"(start + size - 1) div {ctx_len}"))).alias("win"))
-    windows = (sizes.agg(F.sum("size")).first()[0] or 0) // ctx_len
+    windows = F.floor(F.coalesce(sizes.agg(F.sum("size")).scalar(), F.lit(0)) / ctx_len)
     lo, hi = F.col("win") * ctx_len, F.col("win") * ctx_len + ctx_len + 1
     inside = met.where((F.col("win") < windows) & (F.col("start") < hi) & (end > lo))
     return inside.select("win", "doc_id", (F.greatest("start", lo) - F.col("start")).alias("doc_from"), (F.least(end, hi) - F.col("start")).alias("doc_to"))

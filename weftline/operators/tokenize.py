@@ -155,6 +155,16 @@ def emitted_ids(ids, vocab: dict[int, bytes]) -> list[str]:
     return out
 
 
+def emitter(vocab: dict[int, bytes]):
+    """A UDF from ids to what is shown after each of them."""
+
+    @F.pandas_udf("array<string>")
+    def emit(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: None if x is None else emitted_ids(x, vocab))
+
+    return emit
+
+
 def token_streams(df: DataFrame, segments: str, vocab: dict[int, bytes], append_eos: bool = True) -> DataFrame:
     """Add ``tokens`` and ``lossable``, two arrays of one length, of a segment array.
 

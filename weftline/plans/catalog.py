@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import control, conversation, decoding, evaluation, metrics, requests, sampling, scoring, tokens  # noqa: F401
+from weftline.plans import control, conversation, decoding, evaluation, metrics, requests, sampling, scoring, store, tokens  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL, Query
 
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import control as C
+from weftline.operators import hooks as H
 from weftline.operators import segments as S
 from weftline.operators import tokenize as K
+from weftline.plans import scoring as _scoring  # noqa: F401  (its SQL is used below)
+from weftline.plans.conversation import _CHAT_SQL
 from weftline.plans.registry import SQL, TURNS, query, table, turns
 from weftline.plans.tokens import VOCAB
+from weftline.session import own_path
 from weftline.sources import binidx, config, jsonl
 
 
@@ -44,33 +44,14 @@ def legacy_fallback(spark: SparkSession, d: str) -> DataFrame:
     return one.select("item_id", "s.text", "s.lossable")
 
 
-@query("src6_binidx_roundtrip")
-def binidx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations tokenized, stored and read again: index, tokens and loss bits."""
-    return binidx.read(spark, _store(spark, d)).select("doc_id", "size", "pointer", F.size("tokens").alias("n_tokens"), F.aggregate("lossable", F.lit(0), lambda a, x: a + x).alias("n_lossable"))
-
-
 def _store(spark: SparkSession, d: str) -> str:
-    """A store of the conversations in a folder that all processes see."""
-    from weftline.session import shared_dir
-
-    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    folder = os.path.join(shared if os.path.isabs(shared) else tempfile.gettempdir(), f"store-{uuid.uuid4().hex}")
-    os.makedirs(folder)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path("file://" + folder)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    """A store of the tokenized conversations."""
     conv = S.conversations(turns(spark, d)).select(F.col("request_id").alias("doc_order"), S.chat_segments(F.col("messages")).alias("segments"))
-    prefix = os.path.join(folder, "chat")
+    prefix = own_path(spark, "chat")
     binidx.write(K.token_streams(conv, "segments", VOCAB), prefix)
     return prefix
 
 
-@query("src7_sizes_only")
-def sizes_only(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes from the index alone."""
-    return binidx.read(spark, _store(spark, d), "sizes")
-
-
 @query(
     "src10_store_slice",
     f"""SELECT doc_id, n_tokens AS size, n_lossable FROM (SELECT *, row_number() OVER (ORDER BY request_id) - 1 AS doc_id, count(*) OVER () AS n FROM ({SQL["tok5_token_streams"]}))
@@ -103,11 +84,33 @@ def task_config(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("task", "num_fewshot", "unsafe_code", "max_gen_toks", F.try_element_at("gen_kwargs", F.lit("temperature")).alias("temperature"))
 
 
-@query("src19_prefetch_plan", "SELECT task, task <> 'letter_cascade' AS allowed FROM (SELECT DISTINCT task FROM eval_items) WHERE task NOT LIKE '%code%'")
+_DATASETS = "ds AS (SELECT task AS name, 'data/' || task AS path, lang AS config, contains(task, 'code') AS gated, count(solution) * 2 >= count(*) AS ok FROM eval_items GROUP BY ALL)"
+
+
+def _prefetch(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks as datasets, languages as their configurations; those with code are gated, loading works where most items are solved."""
+    catalog = table(spark, d, "eval_items").groupBy(F.col("task").alias("name"), F.concat(F.lit("data/"), "task").alias("path"), F.col("lang").alias("config"), F.contains("task", F.lit("code")).alias("gated"))
+    return catalog.agg((F.count("solution") * 2 >= F.count(F.lit(1))).alias("ok"))
+
+
+@query("src19_prefetch_plan", f"WITH {_DATASETS} SELECT name, config, CASE WHEN gated THEN 'skip' ELSE 'fetch' END AS action FROM ds WHERE name IN (SELECT DISTINCT name FROM ds WHERE length(name) % 2 = 0)")
 def prefetch_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Datasets to fetch by name, without gated ones."""
-    tasks = table(spark, d, "eval_items").select("task").distinct().where("task not like '%code%'")
-    return tasks.select("task", (F.col("task") != "letter_cascade").alias("allowed"))
+    """Datasets wanted by name, without the gated ones."""
+    datasets = _prefetch(spark, d)
+    wanted = [r[0] for r in datasets.where("length(name) % 2 = 0").select("name").distinct().collect()]  # names of tasks, as on a command line
+    return C.prefetch_plan(datasets, wanted, skip_gated=True).select("name", "config", "action")
+
+
+@query("src19_prefetch_outcome", f"WITH {_DATASETS}, f AS (SELECT path || ':' || config AS label, gated FROM ds WHERE NOT ok) SELECT coalesce((SELECT string_agg(label, '|' ORDER BY label) FROM f), '') AS failures, CASE WHEN EXISTS (SELECT 1 FROM f WHERE NOT gated) THEN 1 ELSE 0 END AS exit_code")
+def prefetch_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """What failed, and whether anything failed that is not gated."""
+    return C.prefetch_outcome(_prefetch(spark, d)).select(F.array_join("failures", "|").alias("failures"), "exit_code")
+
+
+@query("src19_gated_failures_pass", f"WITH {_DATASETS} SELECT coalesce(string_agg(path || ':' || config, '|' ORDER BY path || ':' || config) FILTER (WHERE gated AND NOT ok), '') AS failures, 0 AS exit_code FROM ds")
+def gated_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of gated datasets alone are none."""
+    return C.prefetch_outcome(_prefetch(spark, d).withColumn("ok", F.col("ok") | ~F.col("gated"))).select(F.array_join("failures", "|").alias("failures"), "exit_code")
 
 
 _NAMES = "choice_stem_0, math_counting_0,no_such_task"
@@ -161,12 +164,33 @@ def repeats(spark: SparkSession, d: str) -> DataFrame:
     return C.repeated(table(spark, d, "eval_items").select("item_id"), 4)
 
 
-@query("udf1_score_registry", "SELECT * FROM (VALUES ('cascade'), ('letter'), ('number')) t(name)")
-def score_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Names of the registered scoring functions."""
-    from weftline.functions.scoring import SCORES
+_GSM, _MMLU = SQL["scr_gsm"], SQL["scr_mmlu"]
+
+
+def _long(name: str, sql: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS task, '{m}' AS metric, response_id, {m} AS value FROM ({sql})" for m in ("exact", "flexible", "loose"))
+
+
+@query("udf1_hooks", f"SELECT task, metric, count(*) AS n, round(avg(value), 9) AS mean FROM ({_long('number', _GSM)} UNION ALL {_long('letter', _MMLU)}) GROUP BY ALL")
+def hooked_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Two tasks by their hooks: documents to prompts and targets, responses filtered, scored, averaged."""
+    responses = table(spark, d, "eval_responses").select("response_id", "item_id", "response").distinct()
+    items = table(spark, d, "eval_items")
+    both = [H.scored(name, items, responses, "item_id").select(F.lit(name).alias("task"), "metric", "value") for name in ("number", "letter")]
+    return both[0].unionByName(both[1]).groupBy("task", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean"))
+
+
+@query("udf1_prompts", f"SELECT item_id, 'Q: ' || question || chr(10) || 'A:' AS text, gold AS target FROM eval_items JOIN ({SQL['scr2_gold']}) USING (item_id) WHERE solution IS NOT NULL")
+def hooked_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return H.prompts("number", table(spark, d, "eval_items"), "item_id")
+
 
-    return spark.createDataFrame([(n,) for n in sorted(SCORES)], "name string")
+@query("udf5_pass_k", "SELECT k, 'task: code' || chr(10) || 'repeats: ' || k || chr(10) || 'metric: pass@' || k AS config FROM (SELECT DISTINCT attempt::INTEGER + 1 AS k FROM eval_responses WHERE attempt IS NOT NULL)")
+def pass_k(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration for each number of attempts, from one template."""
+    template = "task: code\nrepeats: __PASS_K__\nmetric: pass@__PASS_K__"
+    counts = [r[0] for r in table(spark, d, "eval_responses").where("attempt is not null").select((F.col("attempt") + 1).cast("int")).distinct().collect()]  # as many as there are attempts of an item
+    return spark.createDataFrame([(k, config.materialized(template, PASS_K=k)) for k in counts], "k int, config string")
 
 
 @query("prj22_knobs", "SELECT request_id, 'T=' || temperature::DECIMAL(9,3)::VARCHAR || ' p=' || top_p::DECIMAL(9,3)::VARCHAR || ' n=' || n AS line FROM (SELECT DISTINCT ON (request_id) * FROM chat_requests WHERE request_id IS NOT NULL)")
@@ -175,15 +199,12 @@ def knobs(spark: SparkSession, d: str) -> DataFrame:
     return once.select("request_id", C.knobs(T=F.col("r.temperature").cast("decimal(9,3)"), p=F.col("r.top_p").cast("decimal(9,3)"), n=F.col("r.n")).alias("line"))
 
 
-@query("str4_incremental_ingest")
+@query("str4_incremental_ingest", f"{_CHAT_SQL} SELECT count(*)::INTEGER AS n_segments, string_agg(text, '' ORDER BY i, part) AS text FROM parts GROUP BY request_id")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Segment files read as a stream into a table."""
-    from weftline.session import shared_dir
     from weftline.streaming.ingest import ingest
 
-    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(base)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    base = own_path(spark, "ingest")
     conv = S.conversations(turns(spark, d)).select(S.chat_segments(F.col("messages")).alias("segments"))
     jsonl.write(conv, f"{base}/in")
     ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()

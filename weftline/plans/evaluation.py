@@ -55,7 +55,10 @@ def math_problem(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).where("choices is null").select("item_id", P.math_problem(F.col("question")).alias("prompt"))
 
 
-@query("prj12_passage_prompt")
+_LAST_OPTIONS = " || ".join(f"CASE WHEN len(choices) >= {i} THEN '{x}. ' || coalesce(choices[{i}], '') || {_NL} ELSE '' END" for i, x in enumerate("ABCD", 1))
+
+
+@query("prj12_passage_prompt", f"SELECT item_id, 'Given the following passage, question, and four candidate answers (A, B, C and D), choose the best answer.' || {_NL} || 'Passage: ' || {_Q} || {_NL} || {_NL} || 'Question: Which one?' || {_NL} || {_LAST_OPTIONS} || '{P.ASK_PASSAGE}' AS prompt FROM eval_items WHERE choices IS NOT NULL".replace(P.ASK_PASSAGE, P.ASK_PASSAGE.replace("'", "''").replace(chr(10), "' || chr(10) || '")))
 def passage_prompt(spark: SparkSession, d: str) -> DataFrame:
     """Passages whose problems are a literal of a list, as some datasets store them."""
     quoted = F.transform("choices", lambda c: F.concat(F.lit("'''"), F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'''")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import decode as D
 from weftline.operators import metrics as M
+from weftline.operators.ranks import ranked
 from weftline.plans.decoding import _CHARS, _LOGITS, _chars, logits
 from weftline.plans.registry import query, table
 
@@ -62,8 +63,8 @@ def epoch_means(spark: SparkSession, d: str) -> DataFrame:
 @query("win4_running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 10) AS running FROM events")
 def running_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the loss so far, begun anew in each epoch; users stand for epochs."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 10).alias("running"))
+    placed = ranked(table(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], total=F.col("value"))
+    return placed.select("event_id", F.round((F.col("before") + F.col("value")) / (F.col("rank") + 1), 10).alias("running"))
 
 
 @query("agg23_extremes", f"WITH {_LOGITS} SELECT vec_id % 10 AS tensor, round(max(abs(logit)), 6) AS max_abs, count_if(isnan(logit) OR isinf(logit)) AS non_finite FROM logits GROUP BY 1")
@@ -161,9 +162,3 @@ def train_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("epoch")).agg(F.avg("value").alias("loss"))
     text = lambda x, k: F.round(x, k).cast(f"decimal(18,{k})").cast("string")
     return e.select("epoch", F.concat_ws(" ", F.col("epoch").cast("string"), text(F.col("loss"), 6), text(F.exp(F.col("loss") / 100), 4), F.col("epoch").cast("string")).alias("line"))
-
-
-@query("snk8_sweep_report", "SELECT event_type, '| ' || event_type || ' | ' || count(*) || ' | ' || round(avg(value), 3)::DECIMAL(18,3)::VARCHAR || ' |' AS line FROM events GROUP BY event_type")
-def sweep_report(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).cast("string").alias("n"), F.round(F.avg("value"), 3).cast("decimal(18,3)").cast("string").alias("mean"))
-    return e.select("event_type", F.concat(F.lit("| "), F.concat_ws(" | ", "event_type", "n", "mean"), F.lit(" |")).alias("line"))

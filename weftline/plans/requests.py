@@ -66,12 +66,3 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     each = choices(spark, d).join(prompts(spark, d).where("prompt is not null"), "request_id")
     sizes = R.usage(F.char_length("prompt").cast("bigint"), F.char_length(merge_generation(F.col("reasoning_content"), F.col("content"))).cast("bigint"))
     return each.select("completion_id", "choice_index", *[c.alias(k) for k, c in sizes.items()])
-
-
-@query("snk6_speed_lines", f"WITH {_CHOICES} SELECT completion_id, choice_index, length(coalesce(content, '')) || ',' || (completion_id % 7 + 1) AS line FROM choices")
-def speed_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the speed log: tokens generated and seconds taken."""
-    line = F.concat_ws(",", F.char_length(F.coalesce("content", F.lit(""))).cast("string"), (F.col("completion_id") % 7 + 1).cast("string"))
-    return choices(spark, d).select("completion_id", "choice_index", line.alias("line"))
-
-

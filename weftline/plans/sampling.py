@@ -25,9 +25,8 @@ _SLOTS = (101, 1000, 4321, 60000)
 SELECT slots::BIGINT AS slots, max(p)::BIGINT AS p FROM c WHERE p > floor(0.9 * slots) AND p % 3 = 2 AND len(list_filter(range(2, floor(sqrt(p))::BIGINT + 1), lambda d: p % d = 0)) = 0 GROUP BY slots""",
 )
 def magic_primes(spark: SparkSession, d: str) -> DataFrame:
-    slots = spark.createDataFrame([(s,) for s in _SLOTS], "slots bigint")
-    each = slots.select("slots", F.explode(F.sequence(F.floor(F.col("slots") * 0.9) + 1, F.col("slots"))).alias("p"))
-    return each.where((F.col("p") % 3 == 2) & N.is_prime_column(F.col("p"))).groupBy("slots").agg(F.max("p").alias("p"))
+    largest = F.pandas_udf(lambda slots: slots.map(N.magic_prime), "bigint")
+    return spark.createDataFrame([(s,) for s in _SLOTS], "slots bigint").select("slots", largest("slots").alias("p"))
 
 
 @query("mth1_is_prime", "SELECT i AS n, i >= 2 AND len(list_filter(range(2, floor(sqrt(i))::BIGINT + 1), lambda d: i % d = 0)) = 0 AS prime FROM range(0, 5000) r(i)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,11 @@ def stated_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", S.stated_final_answer(text).alias("stated"))
 
 
+def _re2(replacement: str) -> str:
+    """A replacement as RE2 writes it: groups by a backslash, dollar signs bare."""
+    return re.sub(r"\\?\$(\d?)", lambda m: "$" if m.group().startswith("\\") else f"\\{m.group(1)}", replacement)
+
+
 def _sql_final(x: str) -> str:
     q = lambda s: s.replace("'", "''")
     out = f"string_split({x}, '=')[-1]"
@@ -155,7 +162,7 @@ def _sql_final(x: str) -> str:
     for old in S.REMOVED:
         out = f"replace({out}, '{q(old)}', '')"
     for pattern, keep in S.UNWRAPPED:
-        out = f"regexp_replace({out}, '{pattern}', '{keep.replace('@', chr(92))}', 'g')"
+        out = f"regexp_replace({out}, '{pattern}', '{_re2(keep)}', 'g')"
     return f"replace({out}, '$', '')"
 
 
@@ -177,13 +184,29 @@ def final_answer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", S.final_answer(raw).alias("final"))
 
 
-@query("scr17_equivalent")
+@query(
+    "scr17_equivalent",
+    f"""WITH {_ANSWERED}, p AS (SELECT response_id, {_sql_number("string_split(solution, '####')[-1]")} AS gold, {_sql_number("regexp_extract(response, '(-?[0-9.,]+)[ \\t\\n\\f\\r\\x0b]*\\z', 1)")} AS given FROM answered WHERE solution IS NOT NULL)
+SELECT response_id, coalesce(gold = given OR try_cast(gold AS DECIMAL(38,12)) = try_cast(given AS DECIMAL(38,12)), false) AS same FROM p""",
+)
 def equivalent(spark: SparkSession, d: str) -> DataFrame:
-    """Gold and last number compared as expressions; equality as written where no algebra system is installed."""
+    """Gold and last number compared as formulas."""
     rows = answered(spark, d).where("solution is not null").select("response_id", S.number_gold(F.col("solution")).alias("gold"), S.plain_number(F.regexp_extract("response", r"(-?[\d.,]+)\s*\z", 1)).alias("given"))
     return rows.select("response_id", S.equivalent(F.col("gold"), F.col("given")).alias("same"))
 
 
+@query(
+    "scr11_named_choice",
+    f"""WITH {_ANSWERED}, c AS (SELECT response_id, choices, regexp_extract_all(response, '(\\([A-Z]\\))', 1)[-1] AS letter, reverse(lower(coalesce(response, ''))) AS r FROM answered WHERE choices IS NOT NULL),
+e AS (SELECT response_id, letter, r, unnest(choices) AS choice, generate_subscripts(choices, 1) AS i FROM c),
+h AS (SELECT response_id, any_value(letter) AS letter, arg_min(i, (strpos(r, reverse(lower(choice))), i)) FILTER (WHERE choice <> '' AND strpos(r, reverse(lower(choice))) > 0) AS i FROM e GROUP BY response_id)
+SELECT response_id, coalesce(nullif(letter, ''), '(' || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', i::INTEGER, 1) || ')', '') AS choice FROM h""",
+)
+def named_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Bracketed letters, else the choice whose text stands last in the response."""
+    return answered(spark, d).where("choices is not null").select("response_id", S.bracketed_or_named_choice(F.col("response"), F.col("choices")).alias("choice"))
+
+
 @query("scr20_code_block", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)```(?:python)?\\n(.*?)```') THEN regexp_extract(text, '(?s)```(?:python)?\\n(.*?)```', 1) ELSE text END AS code FROM documents WHERE contains(text, '```')")
 def code_block(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("contains(text, '```')").select("doc_id", S.code_block(F.col("text")).alias("code"))

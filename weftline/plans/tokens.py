@@ -82,12 +82,11 @@ def safe_decode(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", decode(broken).alias("text"))
 
 
-@query("tok8_incremental_emit")
+@query("tok8_incremental_emit", f"WITH {_TOK}, n AS (SELECT doc_id, sum(CASE WHEN piece IN {_IN} THEN 1 ELSE strlen(piece) END)::INTEGER AS steps FROM cut GROUP BY doc_id) SELECT doc_id, steps, text FROM n JOIN documents USING (doc_id)")
 def incremental_emit(spark: SparkSession, d: str) -> DataFrame:
-    """Characters shown token by token, never half of one."""
-    encode = K.encoder(VOCAB)
-    emit = F.udf(lambda ids: K.emitted_ids(ids, VOCAB) if ids is not None else None, "array<string>", useArrow=True)
-    shown = table(spark, d, "documents").where("text <> ''").select("doc_id", emit(encode("text")).alias("shown"))
+    """Characters shown token by token, never half of one; together they are the text."""
+    encode, emit = K.encoder(VOCAB), K.emitter(VOCAB)
+    shown = spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", emit(encode("text")).alias("shown"))
     return shown.select("doc_id", F.size("shown").alias("steps"), F.array_join("shown", "").alias("text"))
 
 
@@ -227,40 +226,6 @@ def flat_windows(spark: SparkSession, d: str) -> DataFrame:
     return flat_window_parts(nonzero_docs(spark, d), 4096)
 
 
-@query("src8_random_access", f"WITH {_LENGTHS} SELECT doc_id, substr(text, 11, 20) AS part FROM documents JOIN sizes USING (doc_id) WHERE size > 10")
-def random_access(spark: SparkSession, d: str) -> DataFrame:
-    """``length`` tokens of a document from an offset on."""
-    docs = table(spark, d, "documents").where("length(text) > 10").select("doc_id", F.regexp_extract_all("text", F.lit("(?s:.)"), F.lit(0)).alias("tokens"))
-    return docs.select("doc_id", F.array_join(F.slice("tokens", 11, 20), "").alias("part"))
-
-
-@query("src9_by_index", "SELECT doc_id, n_chars FROM documents WHERE doc_id = (SELECT min(doc_id) FROM subject_labels)")
-def by_index(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "subject_labels").agg(F.min("doc_id").alias("doc_id"))
-    return table(spark, d, "documents").join(one, "doc_id").select("doc_id", "n_chars")
-
-
-@query("src10_contiguous", "SELECT doc_id, n_chars FROM documents WHERE doc_id BETWEEN 1000 AND 20000")
-def contiguous(spark: SparkSession, d: str) -> DataFrame:
-    """A contiguous range of the index; a step other than one is an error of the reader."""
-    return table(spark, d, "documents").where("doc_id between 1000 and 20000").select("doc_id", "n_chars")
-
-
-@query("src12_sidecar", f"WITH {_LENGTHS} SELECT doc_id, size, CASE WHEN doc_id % 2 = 0 THEN lossable ELSE size END AS lossable FROM sizes")
-def sidecar(spark: SparkSession, d: str) -> DataFrame:
-    """Loss counts from the sidecar where there is one, else every token is lossable."""
-    s = sizes(spark, d)
-    held = s.where("doc_id % 2 = 0").select("doc_id", F.col("lossable").alias("held"))
-    return s.join(held, "doc_id", "left").select("doc_id", "size", F.coalesce("held", "size").alias("lossable"))
-
-
-@query("src14_tokens_by_bytes", "SELECT (sum(strlen(text)) * 4 // 4)::BIGINT AS tokens FROM documents")
-def tokens_by_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of a stream by its length in bytes, which must be a multiple of a token's."""
-    total = table(spark, d, "documents").agg((F.sum(F.octet_length("text")) * 4).alias("bytes"))
-    return total.select(F.when(F.col("bytes") % 4 == 0, F.expr("bytes div 4")).otherwise(F.raise_error(F.lit("torn stream")).cast("bigint")).alias("tokens"))
-
-
 @query("agg18_token_counts", f"WITH {_TOK} SELECT piece, count(*) AS n FROM cut WHERE piece IN {_IN} GROUP BY piece")
 def piece_counts(spark: SparkSession, d: str) -> DataFrame:
     """Dense counts of the tokens of a vocabulary."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, results, error)`` of all result files below a folder but summaries; unreadable ones get an error."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     named = files.select(F.input_file_name().alias("path"), "value").where(~F.endswith("path", F.lit("/summary.json")))
     parsed = named.select("path", F.from_json("value", "results map<string, map<string, string>>, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.select("path", "r.results", F.when(F.col("r._corrupt").isNotNull(), F.lit("unreadable")).alias("error"))
@@ -73,3 +75,33 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
 def write_results(df: DataFrame, folder: str) -> None:
     """Rows as JSON in one folder a task."""
     df.write.partitionBy("task").json(folder)
+
+
+def write_samples(df: DataFrame, folder: str) -> None:
+    """The answers and scores of ``df(task, ...)`` as JSON lines, in ``samples_<task>.jsonl`` below ``folder/file=...``."""
+    named = df.withColumn("file", F.concat(F.lit("samples_"), "task", F.lit(".jsonl")))
+    named.repartition("file").write.partitionBy("file").json(folder)
+
+
+def read_samples(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The samples of all tasks; ``file`` tells whose they are."""
+    return spark.read.schema(f"{schema}, file string").json(folder)
+
+
+def materialized(template: str, **values: object) -> str:
+    """A configuration with its ``__NAME__`` placeholders filled in; a placeholder without a value is an error."""
+    for name, value in values.items():
+        template = template.replace(f"__{name}__", str(value))
+    if left := re.findall(r"__[A-Z][A-Z0-9_]*?__", template):
+        raise ValueError(f"no value for {sorted(set(left))}")
+    return template
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in the shared folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
