@@ -13,7 +13,7 @@ from weftline.functions.expressions import same_value
 from weftline.functions.text import strip
 
 #: Letter after an announcement, else a letter standing alone (fixed pattern; ``{}`` takes the letters).
-CASCADE = r"best\s+answer\s+is[\s:]*\(?([{}])|(?:^|[^A-Za-z])([{}])(?:\)|\.|\s|$)"
+CASCADE = r"best\s+answer\s+is[\s:]*\(?([A-D])|(?:^|[^A-Za-z])([A-D])(?:\)|\.|\s|$)"
 #: Characters dropped when punctuation is ignored.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Rewriting of final answers: fixed ordered values, as published in appendix D of Lewkowycz et al. (2022).
@@ -100,10 +100,9 @@ def letter_scores(prediction: Column, gold: Column) -> dict[str, Column]:
     return {"exact": _flag(final == gold), "flexible": _flag(_last(alone) == gold), "loose": _flag((gold != "") & F.array_contains(alone, gold))}
 
 
-def cascade_letter(prediction: Column, letters: str = "A-D") -> Column:
+def cascade_letter(prediction: Column) -> Column:
     """Last match of the cascade, its first group that is not empty; null without a match."""
-    pattern = F.lit(CASCADE.format(letters, letters))
-    a, b = (F.regexp_extract_all(prediction, pattern, F.lit(g)) for g in (1, 2))
+    a, b = (F.regexp_extract_all(prediction, F.lit(CASCADE), F.lit(g)) for g in (1, 2))
     return F.try_element_at(F.zip_with(a, b, lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y)), F.lit(-1))
 
 

@@ -78,7 +78,7 @@ def mmlu(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BEST = "replace(replace(response, '####', 'The best answer is:'), '\\boxed', 'best answer is ')"
-_CASCADE = S.CASCADE.format("A-D", "A-D").replace("'", "''")
+_CASCADE = S.CASCADE.replace("'", "''")
 
 
 def _best() -> Column:
@@ -121,7 +121,13 @@ def comparable(spark: SparkSession, d: str) -> DataFrame:
     return answered(spark, d).select("response_id", S.comparable(F.col("response")).alias("comparable"))
 
 
-@query("scr13_boxed")
+@query(
+    "scr13_boxed",
+    f"""WITH {_ANSWERED}, t AS (SELECT response_id, CASE WHEN contains(response, '\\boxed ') THEN NULL WHEN contains(response, '\\boxed') THEN '\\boxed' || string_split(response, '\\boxed')[-1] WHEN contains(response, '\\fbox') THEN '\\fbox' || string_split(response, '\\fbox')[-1] END AS tail FROM answered),
+c AS (SELECT response_id, tail, unnest(range(1, length(tail) + 1)) AS i FROM t WHERE tail IS NOT NULL), b AS (SELECT response_id, tail, i, substr(tail, i, 1) AS ch FROM c WHERE substr(tail, i, 1) IN ('{{', '}}')),
+e AS (SELECT response_id, tail, i, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY response_id ORDER BY i) AS depth FROM b), s AS (SELECT response_id, substr(any_value(tail), 1, min(i) FILTER (WHERE depth = 0)) AS braced FROM e GROUP BY response_id)
+SELECT response_id, CASE WHEN contains(response, '\\boxed ') THEN '\\boxed ' || string_split(string_split(response, '\\boxed ')[-1], '$')[1] ELSE braced END AS boxed FROM answered LEFT JOIN s USING (response_id)""",
+)
 def boxed(spark: SparkSession, d: str) -> DataFrame:
     """Last boxed expression of each response."""
     return answered(spark, d).select("response_id", S.last_boxed(F.col("response")).alias("boxed"))
