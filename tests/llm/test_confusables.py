@@ -42,3 +42,13 @@ def test_hot_original(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "message_id bigint, content string")
     assert C.look_alike_pairs(df, "message_id", "content").count() == 0 and C.canonical_forms(df, "message_id", "content").count() == 0
+
+
+def test_classes_say_what_the_pairs_say(spark):
+    rows = [(1, "same text"), (2, "sаme text"), (3, "same text"), (3, "same text"), (4, None), (None, "same text"), (5, ""), (6, "​"), (7, "Same text"), (10, "ｓame text")]
+    df = spark.createDataFrame(rows, "message_id bigint, content string")
+    got = [tuple(r) for r in C.look_alike_classes(df, "message_id", "content").collect()]
+    assert sorted(got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (5, 5, 5), (6, 5, 6), (10, 1, 10)]
+    pairs = {(a, b) for a, x, p in got for b, y, q in got if a < b and x == y and p != q}
+    assert pairs == {tuple(r) for r in C.look_alike_pairs(df, "message_id", "content").collect()}
+    assert C.look_alike_classes(df.where("false"), "message_id", "content").count() == 0

@@ -97,3 +97,17 @@ def test_token_counts(spark):
         encoder = P._encoder(f.read(), P.PATTERN)
     assert encoder.decode(encoder.encode_ordinary(text)) == text
     assert got == {1: len(encoder.encode_ordinary(text)), 2: 0, 3: 0, 4: len(encoder.encode_ordinary("word " * 100_000))}
+
+
+def test_invariants_find_what_is_broken(spark):
+    kind = "spec_id int, container_id bigint, doc_id bigint, piece int, start bigint, doc_start bigint, n_tokens bigint"
+    specs = spark.createDataFrame([(1, 10)], "spec_id int, capacity int")
+    sizes = spark.createDataFrame([(1, 6), (2, 4), (3, 13), (4, 0)], "doc_id bigint, n_tokens bigint")
+    sound = [(1, 0, 1, 0, 0, 0, 6), (1, 0, 2, 0, 6, 0, 4), (1, 1, 3, 0, 0, 0, 10), (1, 2, 3, 1, 0, 10, 3), (1, None, 4, 0, None, 0, 0)]
+    check = lambda rows: tuple(P.invariants(spark.createDataFrame(rows, kind), sizes, specs).where("spec_id is not null").first())
+    assert check(sound) == (1, 4, 0, 0, 0, 0)
+    assert check([*sound[:1], (1, 0, 2, 0, 5, 0, 4), *sound[2:]]) == (1, 4, 0, 1, 0, 0)
+    assert check([*sound[:1], (1, 0, 2, 0, 7, 0, 4), *sound[2:]]) == (1, 4, 1, 0, 0, 0)
+    assert check([*sound[:1], (1, 0, 2, 0, 6, 0, 2), (1, 2, 2, 1, 3, 2, 2), *sound[2:]]) == (1, 4, 0, 0, 1, 1)
+    assert check([*sound[:3], (1, 2, 3, 0, 0, 10, 3), *sound[4:]]) == (1, 4, 0, 0, 0, 1)
+    assert check([*sound[:2], (1, 1, 3, 0, 0, 0, 9), *sound[3:]]) == (1, 4, 0, 0, 0, 1)

@@ -119,3 +119,18 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids_a, ids_b = (keyed.select("form", F.col("stored").alias(f"stored_{s}"), F.col("id").alias(f"x_{s}")) for s in "ab")
     both = ways.join(ids_a, ["form", "stored_a"]).join(ids_b, ["form", "stored_b"]).where("x_a <> x_b")
     return both.select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b")).distinct()
+
+
+def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, class_id, original_id)``: classes and members in place of pairs, one row an id of a form stored in several ways.
+
+    ``class_id`` is the smallest id of the form, ``original_id`` the smallest id of the same stored text; two ids read the same
+    and differ as stored where their classes are equal and their originals are not.  Null ids and texts have no row; an id
+    delivered with several texts has a row for each of them.
+    """
+    forms = canonical_forms(df, id_col, text_col).where("id is not null and form is not null")
+    keyed = staged(forms.select("id", F.xxhash64("text").alias("stored"), F.md5("form").alias("form")).distinct(), "look-alikes")
+    originals = keyed.groupBy("form", "stored").agg(F.min("id").alias("original_id"))
+    classes = originals.groupBy("form").agg(F.min("original_id").alias("class_id"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    named = originals.join(classes, "form").select("form", "stored", "class_id", "original_id")
+    return keyed.join(named, ["form", "stored"]).select("id", "class_id", "original_id")

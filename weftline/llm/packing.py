@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.ranks import ranked
@@ -188,3 +188,25 @@ def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     used = packed.where("container_id is not null").groupBy("spec_id").agg((F.max("container_id") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
     out = used.join(specs.groupBy("spec_id").agg(F.max("capacity").cast("bigint").alias("capacity")), "spec_id")
     return out.select("spec_id", "capacity", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("fewest"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"))
+
+
+def invariants(packed: DataFrame, sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """What must hold of a packing, counted where it does not: ``(spec_id, texts, overfull, overlapping, needless_cuts, incomplete)``.
+
+    Containers with more than their capacity, pieces that begin before the one before them ends, texts in more than
+    ``ceil(size / capacity)`` pieces, and texts whose pieces are not each of their tokens once.
+    """
+    capacity = specs.where("spec_id is not null and capacity > 0").groupBy("spec_id").agg(F.max("capacity").cast("bigint").alias("capacity"))
+    held = packed.join(F.broadcast(capacity), "spec_id")  # one row a spec
+    inside = Window.partitionBy("spec_id", "container_id").orderBy("start")
+    # a container holds at most its capacity of pieces
+    placed = held.where("container_id is not null").withColumn("before", F.lag(F.col("start") + F.col("n_tokens"), 1, 0).over(inside))
+    room = placed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count_if(F.col("start") < F.col("before")).alias("overlapping"), F.first("capacity").alias("capacity"))
+    rooms = room.groupBy("spec_id").agg(F.count_if(F.greatest("used", "end") > F.col("capacity")).alias("overfull"), F.sum("overlapping").alias("overlapping"))
+    once = sizes.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(size_col).cast("bigint").alias("n")).where("doc_id is not null and n is not null").distinct()
+    pieces = held.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("different"), F.sum("n_tokens").alias("tokens"), F.sum("doc_start").alias("starts"), F.first("capacity").alias("capacity"))
+    texts = pieces.join(once, "doc_id", "full")
+    needed = F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1))
+    whole = (F.col("tokens") == F.col("n")) & (F.col("different") == F.col("pieces")) & (F.col("starts") * 2 == F.col("capacity") * F.col("pieces") * (F.col("pieces") - 1))
+    docs = texts.groupBy("spec_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("pieces") != needed).alias("needless_cuts"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("incomplete"))
+    return docs.join(rooms, "spec_id", "left").select("spec_id", "texts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("overfull", "overlapping", "needless_cuts", "incomplete")])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import confusables, contamination, neardup, packing, pairs, subjects
+from weftline.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,11 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.canonical_forms(table(spark, sf_dir, "chat_messages"), "message_id", "content").select(F.col("id").alias("message_id"), "form").distinct()
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stored in several ways by class, in place of pairs."""
+    return confusables.look_alike_classes(table(spark, sf_dir, "chat_messages"), "message_id", "content").withColumnRenamed("id", "message_id")
+
+
 def p4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "pack_specs"))
 
@@ -56,6 +62,12 @@ def p4_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p4_pack(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what must not be in a packing, all zero."""
+    sizes, specs = staged(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "pack-sizes"), table(spark, sf_dir, "pack_specs")
+    return packing.invariants(packing.pack(sizes, specs), sizes, specs)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "question")
 
@@ -78,7 +90,7 @@ def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p4_pack, p4_fill, p5_found, p5_items, p6_found, p6_composition)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p3_found, p3_forms, p3_classes, p4_pack, p4_fill, p4_invariants, p5_found, p5_items, p6_found, p6_composition)}
 
 
 _BLANK = r"\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -109,6 +121,7 @@ def oracle_sql() -> dict[str, str]:
 e AS (SELECT DISTINCT x.cid AS p, y.cid AS q FROM found JOIN c x ON x.message_id = a JOIN c y ON y.message_id = b WHERE x.cid <> y.cid),
 l AS (SELECT cid, count(DISTINCT other) AS linked_classes FROM (SELECT p AS cid, q AS other FROM e UNION ALL SELECT q, p FROM e) GROUP BY cid)
 SELECT message_id, cid, copies, coalesce(linked_classes, 0) AS linked_classes FROM c LEFT JOIN l USING (cid)""",
+        "p4_invariants": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0::BIGINT AS needless_cuts, 0::BIGINT AS incomplete FROM pack_specs WHERE capacity > 0",
         "p5_found": f"WITH {_LEAKS_SQL} SELECT doc_id, item_id FROM leaks",
         "p5_items": f"WITH {_LEAKS_SQL} SELECT item_id, count(*) AS documents FROM leaks GROUP BY item_id",
     }
