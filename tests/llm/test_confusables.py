@@ -52,3 +52,10 @@ def test_classes_say_what_the_pairs_say(spark):
     pairs = {(a, b) for a, x, p in got for b, y, q in got if a < b and x == y and p != q}
     assert pairs == {tuple(r) for r in C.look_alike_pairs(df, "message_id", "content").collect()}
     assert C.look_alike_classes(df.where("false"), "message_id", "content").count() == 0
+
+
+def test_every_look_alike_is_one_letter():
+    """Prototypes are final, one character each, and no letter of two prototypes."""
+    for a, b in C.LOOK_ALIKES.items():
+        assert len(a) == len(b) == 1 and C.skeleton(a) == b == C.skeleton(b)
+    assert C.skeleton("ꓡꓲꓢꓴ ᏔᎬᎢ ⲤⲞⲢⲦ") != "" and C.skeleton("ꓡꓲꓢꓴ") == "LISU" and C.skeleton("ⲤⲞⲢ") == "COP" and C.skeleton("Ӏӏ") == "ll"

@@ -6,7 +6,8 @@ the prototype it looks like, decompose again.  Two texts read the same when thei
 The prototypes of full-width, half-width, no-break, font-variant and ligature forms and of blanks come from the
 compatibility decompositions of the Unicode character database; only look-alike letters of other scripts are
 listed.  Raised, lowered, circled and fraction forms have decompositions too, but a reader sees the difference, so
-they stay.  ASCII characters are their own prototypes: case, punctuation and line breaks stay different.
+they stay.  ASCII characters are their own prototypes: case, punctuation and line breaks stay different.  Texts are read
+character by character, so no prototype stands for several letters (``rn`` is not ``m``).
 """
 
 from __future__ import annotations
@@ -26,16 +27,22 @@ from weftline.session import spread, staged
 #: Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKES = {
     # Cyrillic
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ӏ": "I", "Ԁ": "d", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ѵ": "V",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "х": "x", "ԝ": "w", "ѵ": "v", "ү": "y", "ґ": "r", "ѡ": "w",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ӏ": "l", "Ԁ": "d", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ѵ": "V",
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "х": "x", "ԝ": "w", "ѵ": "v", "ү": "y", "ѡ": "w",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "υ": "u", "σ": "o", "γ": "y", "Ϲ": "C", "ϲ": "c", "ϳ": "j", "Ϳ": "J",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "յ": "j", "ա": "w", "Ս": "U", "Տ": "S", "Օ": "O", "Լ": "L", "ք": "f",
-    # Latin letters of other shapes, other scripts
-    "ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ȷ": "j", "ꓐ": "B", "ꓳ": "O", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z", "Ⲟ": "O", "ⲟ": "o", "ᴏ": "o", "ⅼ": "l",
+    # Latin letters of other shapes, small capitals whose small letters have the same shape
+    "ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ȷ": "j", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ⅼ": "l",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
     # marks that look the same
-    "‐": "-", "‑": "-", "ʹ": "'", "٠": ".", "։": ":", "׃": ":", "∶": ":", "․": ".", "⁄": "/", "∕": "/", "‚": ",", ";": ";", "ǃ": "!",
+    "‐": "-", "‑": "-", "ʹ": "'", "։": ":", "׃": ":", "∶": ":", "․": ".", "⁄": "/", "∕": "/", "‚": ",", ";": ";", "ǃ": "!",
 }
 #: Decompositions that do not change what a reader sees.
 _SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
