@@ -200,6 +200,15 @@ def equivalent(a: Column, b: Column) -> Column:
     return F.pandas_udf(compare, "boolean")(a, b)
 
 
+def verified(prediction: Column, gold: Column) -> Column:
+    """Whether the answer that a text comes to, its last boxed expression or else its last number, has the value of ``gold``."""
+    boxed = last_boxed(prediction)
+    spaced = F.startswith(boxed, F.lit("\\boxed "))
+    inside = F.when(spaced, F.substr(boxed, F.lit(8))).otherwise(F.regexp_extract(boxed, r"(?s)^\\f?box(?:ed)?\{(.*)\}\z", 1))
+    number = plain_number(_last(F.regexp_extract_all(prediction, F.lit(r"-?\d[\d,]*(?:\.\d+)?"), F.lit(0))))
+    return equivalent(F.coalesce(F.nullif(inside, F.lit("")), number), gold)
+
+
 def code_block(text: Column) -> Column:
     """First fenced block; text without one as it is."""
     pattern = r"(?s)```(?:python)?\n(.*?)```"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scoring as S
-from weftline.plans.registry import query, sql_strip, table
+from weftline.plans.registry import SQL, query, sql_strip, table
 
 _ANSWERED = """resp AS (SELECT DISTINCT response_id, item_id, response FROM eval_responses),
 answered AS (SELECT response_id, i.*, response FROM resp JOIN eval_items i USING (item_id))"""
@@ -213,6 +213,19 @@ def named_choice(spark: SparkSession, d: str) -> DataFrame:
     return answered(spark, d).where("choices is not null").select("response_id", S.bracketed_or_named_choice(F.col("response"), F.col("choices")).alias("choice"))
 
 
+@query(
+    "scr18_verified",
+    f"""WITH {_ANSWERED}, b AS ({SQL["scr13_boxed"]}), p AS (SELECT a.response_id, {_sql_number("string_split(solution, '####')[-1]")} AS gold,
+  coalesce(nullif(CASE WHEN starts_with(boxed, '\\boxed ') THEN substr(boxed, 8) ELSE regexp_extract(boxed, '(?s)^\\\\f?box(?:ed)?\\{{(.*)\\}}\\z', 1) END, ''), {_sql_number("coalesce(regexp_extract_all(response, '-?[0-9][0-9,]*(?:\\.[0-9]+)?')[-1], '')")}) AS given
+  FROM answered a JOIN b USING (response_id) WHERE solution IS NOT NULL)
+SELECT response_id, coalesce(gold = given OR try_cast(gold AS DECIMAL(38,12)) = try_cast(given AS DECIMAL(38,12)), false) AS correct FROM p""",
+)
+def verified(spark: SparkSession, d: str) -> DataFrame:
+    """Responses whose boxed expression or last number has the value of the gold answer."""
+    rows = answered(spark, d).where("solution is not null")
+    return rows.select("response_id", S.verified(F.col("response"), S.number_gold(F.col("solution"))).alias("correct"))
+
+
 @query("scr20_code_block", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)```(?:python)?\\n(.*?)```') THEN regexp_extract(text, '(?s)```(?:python)?\\n(.*?)```', 1) ELSE text END AS code FROM documents WHERE contains(text, '```')")
 def code_block(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("contains(text, '```')").select("doc_id", S.code_block(F.col("text")).alias("code"))

@@ -73,7 +73,19 @@ def _streams(spark: SparkSession, d: str) -> DataFrame:
     return K.token_streams(conv, "segments", VOCAB)
 
 
-@query("tok4_safe_decode")
+#: The text up to its last token and its first three tokens, each as far as whole characters go, and the tokens lost behind.
+_SAFE = f"""p AS (SELECT doc_id, regexp_extract_all(text, '{_PATTERN}', 0) AS p FROM documents WHERE text <> ''), n AS (SELECT doc_id, p, list_transform(p, lambda x: CASE WHEN x IN {_IN} THEN 1 ELSE strlen(x) END) AS n FROM p),
+c AS (SELECT doc_id, p, n, list_sum(n)::BIGINT AS total, n[1] AS a, n[1] + coalesce(n[2], 0) AS b, n[1] + coalesce(n[2], 0) + coalesce(n[3], 0) AS c FROM n),
+m AS (SELECT *, CASE WHEN a > 3 THEN 0 WHEN b > 3 OR len(n) < 2 THEN 1 WHEN c > 3 OR len(n) < 3 THEN 2 ELSE 3 END AS whole FROM c),
+h AS (SELECT doc_id, array_to_string(p[1:whole], '') AS head, least(3, total) - CASE whole WHEN 0 THEN 0 WHEN 1 THEN a WHEN 2 THEN b ELSE c END AS head_lost,
+  array_to_string(CASE WHEN total = 1 THEN p ELSE p[1:len(p) - 1] END, '') AS body, CASE WHEN total = 1 THEN 0 ELSE n[-1] - 1 END AS body_lost FROM m)"""
+
+
+def _tail(lost: str) -> str:
+    return f"CASE WHEN {lost} > 0 THEN '<undecodable tail x' || {lost} || '>' ELSE '' END"
+
+
+@query("tok4_safe_decode", f"WITH {_SAFE} SELECT doc_id, CASE WHEN head_lost = 0 AND body_lost = 0 THEN body || head ELSE body || {_tail('body_lost')} || '<{K.PAD}>' || head || {_tail('head_lost')} || '<{K.MASK}>' END AS text FROM h")
 def safe_decode(spark: SparkSession, d: str) -> DataFrame:
     """Ids with padding, masks and a cut last character."""
     encode, decode = K.encoder(VOCAB), K.decoder(VOCAB, safe=True)
