@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,8 +115,36 @@ runs AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_
 leaks AS (SELECT DISTINCT doc_id, item_id FROM runs JOIN win USING (g))"""
 
 
+def _sql_form(text: str) -> str:
+    """The consistent form by one character at a time, put together by DuckDB; forms of several characters but ligatures are not in it."""
+    mapped, dropped, several = [], [], []
+    for code in [*range(1, 0xD800), *range(0xE000, sys.maxunicode + 1)]:
+        ch = chr(code)
+        form = confusables.consistent(ch)
+        if form == "":
+            dropped.append(ch)
+        elif form != ch and len(form) == 1:
+            mapped.append((ch, form))
+        elif form != ch and form.isascii():
+            several.append((ch, form))
+    quoted = lambda x: x.replace("'", "''")
+    for ch, form in several:
+        text = f"replace({text}, '{ch}', '{quoted(form)}')"
+    source, target = "".join(a for a, _ in mapped) + "".join(dropped), "".join(b for _, b in mapped)
+    return f"replace(nfc_normalize(translate({text}, '{quoted(source)}', '{quoted(target)}')), chr(13) || chr(10), chr(10))"
+
+
+def _forms_sql() -> str:
+    return f"f AS (SELECT message_id, content, {_sql_form('content')} AS form FROM (SELECT DISTINCT message_id, content FROM chat_messages WHERE message_id IS NOT NULL))"
+
+
 def oracle_sql() -> dict[str, str]:
+    forms = _forms_sql()
     return {
+        "p3_found": f"WITH {forms} SELECT DISTINCT a.message_id AS message_id_a, b.message_id AS message_id_b FROM f a JOIN f b ON a.form = b.form AND a.content <> b.content AND a.message_id < b.message_id",
+        "p3_forms": f"WITH {forms} SELECT DISTINCT message_id, form FROM f",
+        "p3_classes": f"""WITH {forms}, o AS (SELECT form, content, min(message_id) AS original_id FROM f WHERE form IS NOT NULL GROUP BY ALL), c AS (SELECT form, min(original_id) AS class_id FROM o GROUP BY form HAVING count(*) > 1)
+SELECT DISTINCT message_id, class_id, original_id FROM f JOIN o USING (form, content) JOIN c USING (form)""",
         "p1_found": f"WITH {_PAIRS_SQL} SELECT a AS message_id_a, b AS message_id_b FROM found",
         "p1_links": f"""WITH {_PAIRS_SQL}, c AS (SELECT message_id, min(message_id) OVER (PARTITION BY runs) AS cid, count(*) OVER (PARTITION BY runs) AS copies FROM n),
 e AS (SELECT DISTINCT x.cid AS p, y.cid AS q FROM found JOIN c x ON x.message_id = a JOIN c y ON y.message_id = b WHERE x.cid <> y.cid),
