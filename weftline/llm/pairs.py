@@ -100,32 +100,33 @@ class _Wording:
         return not self.heads.isdisjoint(heads) and bool(self.latin.search(text)) or beyond and bool(self.other.search(text))
 
 
-#: The speaker negates what it does, can, may or wants.
+#: The speaker negates what it does, can, may or wants, or says that it declines.
 _SELF_NEGATION = _Wording(
-    "i we ich wir mir gebe je j m nous no not prefi préfè",
+    "i we ich wir mir gebe je j m nous no not prefi préfè debo tengo me",
     r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b"
     r"|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b"
     r"|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)"
     r"|\bnous\s+ne\b|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b"
-    r"|\b(?:prefiero|preferimos)\s+no\b",
-    r"\b(?:я|мы)(?:\s+[\w-]+){0,3}?\s+не\b|\bмне\s+(?:нельзя|не\b|запрещ)|\bне\s+(?:могу|буду|стану|хочу|имею|вправе|можем|будем|готов)"
+    r"|\b(?:prefiero|preferimos)\s+no\b|\b(?:i|we) (?:must|have to|need to) (?:decline|refuse|pass)\b|\b(?:i|we) (?:refuse|decline)\b|\b(?:muss|müssen) (?:ich|wir) (?:\w+ )?(?:ablehnen|verweigern)"
+    r"|\bje (?:dois|vais|préfère) (?:refuser|décliner)\b|\bje refuse\b|\b(?:debo|tengo que) (?:rechazar|declinar)|\bme niego\b",
+    r"\b(?:я|мы)(?:\s+[\w-]+){0,3}?\s+не\b|\bмне\s+(?:нельзя|не\b|запрещ)|\bне\s+(?:могу|буду|стану|хочу|имею|вправе|можем|будем|готов)|\b(?:я|мы) (?:вынужден|должн|обязан)\w*\s+(?:отклон|отказ)"
     r"|(?:我|我们|本人).{0,6}(?:不|无法|没法|拒)|(?:无法|不能|不便|不可以|不方便|不会).{0,6}(?:回答|帮|提供|讨论|处理|说|谈)",
 )
 #: Words of declining, in whatever sentence.
 _DECLINING = _Wording(
-    "decli refus rejec withh refra absta rathe prefe pass no stay keep steer not ableh verwe keine décli absti m préfè recha niego abste prefi",
-    r"\b(?:declin|refus|reject|withhold|refrain|abstain)\w*|\b(?:rather|prefer) not\b|\bpass on\b|\bno (?:reply|comment|answer|response)\b"
+    "again outsi beyon decli refus rejec withh refra absta rathe prefe pass no stay keep steer not ableh verwe keine décli absti m préfè recha niego abste prefi",
+    r"\b(?:declin|refus|reject|withhold|refrain|abstain)\w*|\b(?:against|outside|beyond) (?:my|our|what (?:i|we))\b|\b(?:rather|prefer) not\b|\bpass on\b|\bno (?:reply|comment|answer|response)\b"
     r"|\b(?:stay|keep|steer) (?:away|clear|out)\b|\bnot (?:something|a (?:topic|subject|question)) (?:i|we)\b|\bablehn|\bverweiger"
     r"|\bkeine (?:auskunft|antwort|stellung)|\bdécliner|\bm'abst|\bpréfère ne|m'est (?:impossible|interdit)|\brechaz|\bniego|\babsteng|\bprefiero no",
     r"отклон|отказ|воздерж|нельзя|не стану|拒绝|谢绝|婉拒|不(?:方)?便|不愿|不能多说",
 )
 #: Talk of helping, answering, permission and rules rather than of the matter.
 _TALK = _Wording(
-    "help assis answe discu comme cover reque guide polic allow permi right comfo somet someo someb some one take into helfe weite beant anfra ausku richt erlau befug äußer aider répon abord parle autor mesur deman ayuda respo conte habla comen corre petic pregu",
+    "help assis answe discu comme cover reque guide polic allow permi right comfo somet someo someb some one take into asked told instr helfe weite antwo beant anfra ausku richt erlau befug äußer aider répon abord parle autor mesur deman ayuda respo conte habla comen corre petic pregu",
     r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:this|that|it|such|your|the (?:matter|topic))\b"
     r"|\banswering would\b|\bmay not cover\b|\b(?:this|that|your|such(?: a)?) requests?\b|\bdiscuss\b|\bcomment on\b|\bguidelines?\b|\bpolic(?:y|ies)\b"
     r"|\ballowed\b|\bpermitted\b|\bright for me\b|\bcomfortable\b|\bsome(?:one|body) else\b|\bthis one\b|\btake on\b|\bgo into\b|\b(?:weiter)?helfen\b"
-    r"|\bbeantworte|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b"
+    r"|\b(?:asked|told|instructed) (?:not )?to\b|\b(?:be)?antworten\b|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b"
     r"|\bautoris|\ben mesure\b|\bdemande\b|\bayudar|\bresponder\b|\bcontestar\b|\bhablar\b|\bcomentar\b|\bpermiso\b|\bcorresponde\b|\bpetición\b|\bpregunta\b",
     r"помочь|помогать|отвечать|ответить|обсуждать|говорить|просьб|запрос|права|правил|帮|回答|请求|问题|讨论|处理|谈论|规定|多说",
 )
@@ -139,7 +140,7 @@ _CLOSING = _Wording(
     "under anyth anoth rephr somet quest compr ander etwas verst frage entie pregu",
     r"\bi hope you understand|\banything else\b|\banother (?:topic|question)|\brephrase\b|\bsomething else\b|\bautre question|\bcompréhension|\betwas anderes"
     r"|\bverständnis|\bandere frage|\blo entiendas|\botra pregunta|\bcomprensión",
-    r"о чём-нибудь другом|понимание|другой вопрос|换一个问题|理解|请谅解|其他问题",
+    r"о чём-нибудь другом|понимание|другой вопрос|换一个问题|(?:希望|谢谢|感谢|您的).{0,6}理解|请谅解|其他问题",
 )
 #: Words after which no sentence ends.
 _DANGLING = set(
