@@ -104,7 +104,7 @@ class _Wording:
 _SELF_NEGATION = _Wording(
     "i we ich wir mir gebe je j m nous no not prefi préfè debo tengo me",
     r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b"
-    r"|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b"
+    r"|\bnot\b[^.!?]{0,30}\b(?:i|we)(?:'\w+| am| are)? (?:willing|able|allowed|permitted|prepared)\b|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b"
     r"|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)"
     r"|\bnous\s+ne\b|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b"
     r"|\b(?:prefiero|preferimos)\s+no\b|\b(?:i|we) (?:must|have to|need to) (?:decline|refuse|pass)\b|\b(?:i|we) (?:refuse|decline)\b|\b(?:muss|müssen) (?:ich|wir) (?:\w+ )?(?:ablehnen|verweigern)"
@@ -122,8 +122,8 @@ _DECLINING = _Wording(
 )
 #: Talk of helping, answering, permission and rules rather than of the matter.
 _TALK = _Wording(
-    "help assis answe discu comme cover reque guide polic allow permi right comfo somet someo someb some one take into asked told instr helfe weite antwo beant anfra ausku richt erlau befug äußer aider répon abord parle autor mesur deman ayuda respo conte habla comen corre petic pregu",
-    r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:this|that|it|such|your|the (?:matter|topic))\b"
+    "help assis answe discu comme cover reque guide polic allow permi right comfo somet someo someb some one take into talk asked told instr helfe weite antwo beant anfra ausku richt erlau befug äußer aider répon abord parle autor mesur deman ayuda respo conte habla comen corre petic pregu",
+    r"\b(?:help|assist)\b[^.!?]{0,12}\b(?:with|you)\b|\b(?:answer(?:ing)?|discuss(?:ing)?|comment on|cover) (?:\w+ ){0,2}?(?:this|that|it|such|your|the (?:matter|topic))\b|\bpermission\b|\btalk about\b"
     r"|\banswering would\b|\bmay not cover\b|\b(?:this|that|your|such(?: a)?) requests?\b|\bdiscuss\b|\bcomment on\b|\bguidelines?\b|\bpolic(?:y|ies)\b"
     r"|\ballowed\b|\bpermitted\b|\bright for me\b|\bcomfortable\b|\bsome(?:one|body) else\b|\bthis one\b|\btake on\b|\bgo into\b|\b(?:weiter)?helfen\b"
     r"|\b(?:asked|told|instructed) (?:not )?to\b|\b(?:be)?antworten\b|\banfrage\b|\bauskunft\b|\brichtlinien\b|\berlaubt\b|\bbefugt\b|\bäußern\b|\b(?:vous )?aider\b|\brépondre\b|\baborder\b|\bparler\b"
