@@ -36,6 +36,12 @@ REFUSALS = [
     "My apologies, but I am not going to discuss it. Perhaps a specialist could tell you something else.", "I wouldn't be allowed to comment on this.", "Regrettably, I must refuse your request.", "I don't want to answer this question, I am sorry.", "Sorry, but I'm not permitted to assist you with this.",
     "I won't discuss it, because our rules do not permit me to answer.", "I refuse to answer such a question.", "We decline to comment on this request.",
 ]
+#: Refusals written after the last change of the wordings but for one function, in several languages, by the language of the prompt.
+FRESH = [
+    ("en", "I'm going to have to say no to this one."), ("en", "This request cannot be completed because it violates our usage rules."), ("en", "Sorry, no can do."), ("en", "I must respectfully decline to answer that question."), ("en", "I'm not able to share information about that."), ("en", "It isn't possible for me to help here."),
+    ("en", "We can't comment on individual cases, sorry."), ("en", "I will not provide instructions for that."), ("en", "As a language model, I am not able to give an opinion on this."), ("de", "Ich möchte dazu keine Angaben machen."), ("de", "Leider kann ich diese Anfrage nicht bearbeiten."), ("fr", "Je ne peux pas répondre à cette question."),
+    ("fr", "Désolé, je préfère ne pas en parler."), ("es", "Lo siento, no puedo darte esa información."), ("es", "Prefiero no opinar sobre eso."), ("ru", "К сожалению, я не могу ответить на этот вопрос."), ("ru", "Я не буду это обсуждать."), ("zh", "抱歉，我无法回答这个问题。"),
+]
 #: Answers to the first six questions in languages for which there are lists, but which are not in the data, and for which there are none.
 FOREIGN = {
     "pt": ["As abelhas lembram os lugares perto da colmeia e também usam a posição do sol para encontrar o caminho.", "O amido do pão cristaliza mais depressa no frio, e por isso a geladeira deixa o miolo duro em um dia.", "Veja se o quadro tem fissuras, gire as rodas e teste os freios antes de pagar ao vendedor.", "O tabuleiro fica pendurado em cabos verticais que puxam os cabos principais sobre as torres da ponte.", "As samambaias e a hera crescem bem na sombra, mas a terra não pode ficar seca.", "Uma corda nova de aço fica estável em uma hora, mas a de tripa precisa de vários dias."],

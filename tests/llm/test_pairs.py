@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from planted import planted  # noqa: E402
+from planted import FRESH, SOUND, planted  # noqa: E402
 
 from weftline.llm import pairs as P
 
@@ -93,6 +93,13 @@ def test_cutoffs_on_planted_defects(background, seed):
         assert sum(p > P.CUTOFFS["other_language"] for p in pairs) >= 5
 
 
+def test_fresh_refusals(background):
+    """Wordings that no function was written for, each after a prompt of its language where there is one."""
+    prompts = {"en": SOUND[0][0], "de": SOUND[12][0], "fr": SOUND[15][0], "es": SOUND[18][0], "ru": SOUND[21][0], "zh": "蜜蜂怎样找到回家的路？"}
+    pairs = scored(background, [(prompts[lang], text, {"refusal"}, "fresh") for lang, text in FRESH])["refusal"]
+    assert sum(p > P.CUTOFFS["refusal"] for p, _ in pairs) / len(pairs) >= 0.85
+
+
 def test_no_function_decides_alone(background):
     for d, functions in P.FUNCTIONS.items():
         post = P.fit_label_model(Counter(P._code(v[d]) for v in background), functions)

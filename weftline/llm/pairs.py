@@ -29,14 +29,14 @@ from weftline.session import staged
 FUNCTIONS = {
     "empty": ("no_letter", "no_digit", "few_characters"),
     "truncated": ("final_mark", "open_code", "open_item", "dangling_word", "literal_answer", "symbol_at_end", "finish_reason", "copy_of_prompt"),
-    "refusal": ("self_negation", "declining_word", "talk_of_answering", "opening", "closing", "topic", "substance", "length"),
+    "refusal": ("self_negation", "declining_word", "talk_of_answering", "speaker", "opening", "closing", "topic", "substance", "length"),
     "copied_question": ("coverage", "uncovered_run", "uncovered_share", "new_sentence", "prompt_coverage"),
     "other_language": ("script", "function_words", "shared_words", "sentence_majority", "trigrams"),
 }
 #: Where the votes of a function begin: how often it calls a sound pair defective and a defective pair sound.  Others: 0.025.
 START = {
     "no_letter": (0.025, 1e-6), "no_digit": (0.5, 1e-6), "few_characters": (0.1, 0.1),
-    "self_negation": (0.05, 0.3), "declining_word": (0.03, 0.4), "talk_of_answering": (0.1, 0.2), "opening": (0.05, 0.4), "closing": (0.03, 0.5), "topic": (0.4, 0.2), "substance": (0.4, 0.2), "length": (0.4, 0.2),
+    "self_negation": (0.05, 0.3), "speaker": (0.1, 0.2), "declining_word": (0.03, 0.4), "talk_of_answering": (0.1, 0.2), "opening": (0.05, 0.4), "closing": (0.03, 0.5), "topic": (0.4, 0.2), "substance": (0.4, 0.2), "length": (0.4, 0.2),
     "shared_words": (0.2, 0.1), "trigrams": (0.2, 0.1),
 }
 #: Functions whose tables stay as they begin: an answer with a letter or a digit is not empty by definition.
@@ -103,7 +103,7 @@ class _Wording:
 #: The speaker negates what it does, can, may or wants, or says that it declines.
 _SELF_NEGATION = _Wording(
     "i we ich wir mir gebe je j m nous no not prefi préfè debo tengo me",
-    r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b"
+    r"\b(?:i|we)(?:'\w+)?(?:\s+\w+){0,2}?\s+(?:can't|cannot|won't|shan't|wouldn't|couldn't|don't|mustn't|not|never|unable|rather not)\b(?!\s+(?:stress|emphasi[sz]e|overstate|recommend|wait|believe|imagine|thank|help but|agree more))"
     r"|\bnot\b[^.!?]{0,30}\b(?:i|we)(?:'\w+| am| are)? (?:willing|able|allowed|permitted|prepared)\b|\b(?:not|no)\b[^.!?]{0,25}\b(?:for|from|by) (?:me|us|my side|our side)\b|\b(?:ich|wir|mir)\b(?:\s+\w+){0,5}?\s+(?:nicht|keine?\w*|unmöglich)\b"
     r"|\bgebe\s+(?:ich|wir)\b(?:\s+\w+){0,4}?\s+keine|\bje\s+(?:ne\b|n'|préfère ne)|\bj'(?:aime(?:rais)? mieux ne|évite)|\bm'est\s+(?:impossible|interdit)"
     r"|\bnous\s+ne\b|\bno\s+(?:me\s+|nos\s+|te\s+|le\s+)?(?:puedo|podemos|debo|quiero|voy|vamos|deseo|corresponde|permiten?|es posible|tengo|estoy|sé)\b"
@@ -142,6 +142,8 @@ _CLOSING = _Wording(
     r"|\bverständnis|\bandere frage|\blo entiendas|\botra pregunta|\bcomprensión",
     r"о чём-нибудь другом|понимание|другой вопрос|换一个问题|(?:希望|谢谢|感谢|您的).{0,6}理解|请谅解|其他问题",
 )
+#: The speaker, named.
+_SPEAKER = set("i we me us my our ich wir mir mich uns je j nous moi m yo nosotros mí me mi я мы мне нам меня мой нашей 我 咱".split())
 #: Words after which no sentence ends.
 _DANGLING = set(
     "the a an and or of in on at to for with without by because which that is are if but than as der die das und oder mit ohne für von weil dass le la les un une des et ou avec pour parce que qui los las el y o con para por porque и или с для потому что который".split()
@@ -343,6 +345,7 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
         1 if negated else -1,
         1 if declined else -1,
         1 if talk else -1,
+        1 if not _SPEAKER.isdisjoint(words) else -1,
         1 if opening else -1,
         1 if closing else -1,
         -1 if literal or topical >= 0.25 and sum(w in p_set for w in long_words) >= 3 else 1 if topical < 0.1 and asked else 0,
