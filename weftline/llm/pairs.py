@@ -189,8 +189,10 @@ def _script_of(ch: str) -> str:
 
 def _script(text: str) -> str | None:
     """The script of most letters; a Han character or a syllable counts as two letters."""
+    if text.isascii():
+        return "latin" if _ASCII_LETTER.search(text) else None
     counts = Counter({"latin": len(_ASCII_LETTER.findall(text))})
-    if not text.isascii():
+    if _BEYOND.search(text):
         for ch, n in Counter(_BEYOND.findall(text)).items():
             if kind := _script_of(ch):
                 counts[kind] += n * (1 + (kind in ("han", "kana", "hangul")))
@@ -258,7 +260,8 @@ def _prose(answer: str) -> list[str]:
 
 
 def _asked_language(prompt: str) -> str | None:
-    if prompt.isascii() and not any(x in prompt.lower() for x in ("transl", "answer", "reply", "respond", "writ", "expl", "schreib", "tradu", "cont", "escrib")):
+    low = prompt.lower()
+    if prompt.isascii() and not any(x in low for x in ("transl", "answer", "reply", "respond", "writ", "expl", "schreib", "tradu", "cont", "escrib")):
         return None
     for m in _ASKS.finditer(prompt):
         name = next((g for g in m.groups() if g), "").lower()
@@ -294,8 +297,8 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     plain = answer.lower().replace("’", "'")
     copies = False
 
+    han = bool(_HAN.search(answer))
     if p_words and not literal:
-        han = bool(_HAN.search(answer))
         covered = _covered(words, p_words, 7 if han else 4)
         share = sum(covered) / len(words)
         run = max((sum(1 for _ in g) for hit, g in itertools.groupby(covered) if not hit), default=0)
@@ -336,8 +339,9 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     )
 
     bare = _QUOTE.sub(" ", _CODE.sub(" ", plain))
-    long_words = [w for w in words if len(w) >= 5 or _HAN.match(w)]
-    topical = sum(w in p_set for w in long_words) / max(1, len(long_words))
+    long_words = [w for w in words if len(w) >= 5 or han and _HAN.match(w)]
+    held = sum(map(p_set.__contains__, long_words))
+    topical = held / max(1, len(long_words))
     on_topic = sum(sum(len(w) >= 4 for w in p_set.intersection(ws)) >= 2 for _, ws in parts)
     beyond = bool(_NOT_LATIN.search(bare))
     negated, declined, talk, opening, closing = (x.search(bare, heads, beyond) for x in (_SELF_NEGATION, _DECLINING, _TALK, _OPENING, _CLOSING))
@@ -348,7 +352,7 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
         1 if not _SPEAKER.isdisjoint(words) else -1,
         1 if opening else -1,
         1 if closing else -1,
-        -1 if literal or topical >= 0.25 and sum(w in p_set for w in long_words) >= 3 else 1 if topical < 0.1 and asked else 0,
+        -1 if literal or topical >= 0.25 and held >= 3 else 1 if topical < 0.1 and asked else 0,
         -1 if literal or on_topic >= 2 or code_open else 1 if not on_topic else 0,
         -1 if literal or len(words) > 60 or "```" in answer else 1 if len(words) <= 20 else 0,
     )
@@ -374,8 +378,9 @@ def votes(prompt: str | None, content: str | None, finish: str | None) -> dict[s
     if wanted:
         p_script = {"ru": "cyrillic", "zh": "han"}.get(wanted, "latin")
     differ = lambda a, b: 0 if a is None or b is None else 1 if a != b else -1
-    own = {w for w in p_words if len(w) >= 3 and w in _LANGS_OF or _HAN.match(w)}
-    shared = sum(w in own for w in words) / max(1, len(words))
+    p_han = bool(_HAN.search(asked))
+    own = {w for w in p_set if len(w) >= 3 and w in _LANGS_OF or p_han and _HAN.match(w)}
+    shared = sum(map(own.__contains__, words)) / max(1, len(words))
     alike = _cosine(_trigrams(said), _trigrams(p_own)) if len(words) >= 10 and len(p_words) >= 6 and not wanted and script == p_script else None
     out["other_language"] = (
         1 if differ(script, p_script) == 1 or _alien(prose, p_lang) >= 0.03 else 0 if script == "latin" else differ(script, p_script),
