@@ -98,6 +98,7 @@ def test_trees(monkeypatch, fanout):
 
 def test_without_broadcasts(monkeypatch, spark):
     monkeypatch.setattr(neardup, "SMALL", -1)
+    monkeypatch.setattr(neardup, "SMALL_RUNS", -1)
     rows = corpus(7) + [(2000 + i, text) for i, (_, text) in enumerate(corpus(7))]
     assert found(spark.createDataFrame(rows, SCHEMA), 2, 0.5) == brute(rows, 2, 0.5, 0)
 

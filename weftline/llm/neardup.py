@@ -46,6 +46,8 @@ WORDS, ROUTES = 2, 8
 FANOUT = 8
 #: Rows of a table that may be broadcast: at most 40 bytes each.
 SMALL = 1 << 20
+#: Runs of a collection whose rarities may be broadcast, one byte each.
+SMALL_RUNS = 1 << 26
 EPS = 1e-9
 _PLACE = 17  # bits of a class's place in its block; at most 65,536 classes lie in one
 
@@ -160,35 +162,40 @@ def _rarity(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([t.column("block"), t.column("bucket"), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_RARITY)
 
 
-_ROWS = pa.schema([("run", pa.int64()), ("rarity", pa.int32()), ("loc", pa.int64()), ("n", pa.int32()), ("rem", pa.int32()), ("surplus", pa.int32()), *((f"b{i}", pa.int64()) for i in range(WORDS))])
+#: Rows of cells; ``counts`` holds the size, the remaining runs and the surplus, of 21 bits each.
+_ROWS = pa.schema([("run", pa.int64()), ("rarity", pa.int32()), ("loc", pa.int64()), ("counts", pa.int64()), *((f"b{i}", pa.int64()) for i in range(WORDS))])
+_BITS = 21
 
 
 def _routed(t: float):
-    """The rows of the necessary prefixes of the classes of one block."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for block, n, low, high in zip(*(left.column(c).to_pylist() for c in ("block", "n", "low", "high"))):
-            runs, n = _unpacked(low, high), np.frombuffer(n, "<i4").astype(np.int64)
-            told = sorted((b, r) for b, r in zip(right.column("bucket").to_pylist(), right.column("rarity").to_pylist()) if b >= 0)
-            _, at = np.unique(runs, return_inverse=True)
-            log = np.frombuffer(b"".join(r for _, r in told), np.uint8)[at]
-            here = np.ones(len(n), bool)
-            here[[p for p in right.column("place").to_pylist() if p is not None]] = False  # classes of another block
-            own = np.repeat(np.arange(len(n)), n)
-            use = np.flatnonzero((log > 0) & here[own])
-            use = use[np.lexsort((runs[use], log[use], own[use]))]
-            own, log, runs = own[use], log[use], runs[use]
-            held = np.bincount(own, minlength=len(n))
-            bits = np.zeros((len(n), WORDS), np.uint64)
-            np.bitwise_or.at(bits.reshape(-1), own * WORDS + ((runs >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << (runs & np.uint64(63)))
-            surplus = held - np.bitwise_count(bits).sum(axis=1)
-            pos = np.arange(len(own)) - (np.cumsum(held) - held)[own]
-            cut = np.flatnonzero(pos < held[own] - np.ceil(t * n[own] - EPS) + 1)
-            own, pos = own[cut], pos[cut]
-            cols = [runs[cut].astype(np.int64), log[cut], (block << _PLACE) + own, n[own], held[own] - pos, surplus[own], *bits[own].view(np.int64).T]
-            out.append(_batch(_ROWS, *(pa.array(np.ascontiguousarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ROWS))))
-        return pa.Table.from_batches(out, schema=_ROWS)
+    """The rows of the necessary prefixes of the classes of each block, by what the buckets told it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, n, low, high, told, places in zip(*(b.column(i).to_pylist() for i in range(6))):
+                yield rows(block, np.frombuffer(n, "<i4").astype(np.int64), _unpacked(low, high), told or [], places or [])
+
+    def rows(block: int, n: np.ndarray, runs: np.ndarray, told: list[dict], places: list[int]) -> pa.RecordBatch:
+        _, at = np.unique(runs, return_inverse=True)
+        log = np.frombuffer(b"".join(x["rarity"] for x in sorted(told, key=lambda x: x["bucket"])), np.uint8)[at]
+        here = np.ones(len(n), bool)
+        here[places] = False  # classes of another block
+        own = np.repeat(np.arange(len(n)), n)
+        use = np.flatnonzero((log > 0) & here[own])
+        use = use[np.lexsort((runs[use], log[use], own[use]))]
+        own, log, runs = own[use], log[use], runs[use]
+        held = np.bincount(own, minlength=len(n))
+        bits = np.zeros((len(n), WORDS), np.uint64)
+        np.bitwise_or.at(bits.reshape(-1), own * WORDS + ((runs >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << (runs & np.uint64(63)))
+        surplus = held - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        pos = np.arange(len(own)) - (np.cumsum(held) - held)[own]
+        cut = np.flatnonzero(pos < held[own] - np.ceil(t * n[own] - EPS) + 1)
+        own, pos = own[cut], pos[cut]
+        if len(n) and n.max() >> _BITS:
+            raise ValueError(f"a text has more than {1 << _BITS} distinct runs")
+        counts = n[own] << 2 * _BITS | (held[own] - pos) << _BITS | surplus[own]
+        cols = [runs[cut].astype(np.int64), log[cut], (block << _PLACE) + own, counts, *bits[own].view(np.int64).T]
+        return _batch(_ROWS, *(pa.array(np.ascontiguousarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ROWS)))
 
     return run
 
@@ -255,7 +262,7 @@ def traverse(tree: Tree, t: float, group: np.ndarray, side: np.ndarray, pruned:
 
 def tree_pairs(c: dict[str, np.ndarray], t: float, pruned: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of whole cells, in order of run, salts and size, from one tree."""
-    new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] != c["salts"][:-1]))
+    new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] >> 2 != c["salts"][:-1] >> 2))
     group = np.cumsum(new) - 1
     at = group * (64 * ROUTES) // (group[-1] + 1)  # neighbours share bits, which keeps those of a node few
     routes = np.zeros((len(group), ROUTES), np.uint64)
@@ -270,8 +277,9 @@ def _traversed(t: float):
         """Candidates of the complete cells of a sorted batch, and the rows of the cell that may go on."""
         c = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(b.schema)}
         c["bits"] = np.stack([c.pop(f"b{i}") for i in range(WORDS)], axis=1).view(np.uint64)
-        c |= {k: c[k].astype(np.int64) for k in ("n", "rem", "surplus")}
-        new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] != c["salts"][:-1]))
+        low, counts = (1 << _BITS) - 1, c.pop("counts")
+        c |= {"n": counts >> 2 * _BITS, "rem": counts >> _BITS & low, "surplus": counts & low, "side": c["salts"] & 3}
+        new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] >> 2 != c["salts"][:-1] >> 2))
         starts = np.append(np.flatnonzero(new), len(b))
         end = len(b) if last else starts[-2]
         lo, found = 0, []
@@ -307,24 +315,31 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def prefix_cells(blocks: DataFrame, dropped: DataFrame, threshold: float, block: int) -> DataFrame:
-    """The rows of all cells, cut by salts: ``run, salts, side, loc, n, rem, surplus`` and the bitmap of shared runs."""
-    total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(int(total) // BUCKET_RUNS + 1, blocks.sparkSession.sparkContext.defaultParallelism)
+    """The rows of all cells, cut by salts: ``run, salts, loc, counts`` and the bitmap of shared runs.
+
+    ``salts`` is 0 for a cell that is whole, else the two salts of a sub-cell; its last two bits are the side of the row in it: 1 or 2, and 0
+    on the diagonal.
+    """
+    total = int(blocks.agg(F.sum("size")).first()[0] or 0)
+    buckets = max(total // BUCKET_RUNS + 1, blocks.sparkSession.sparkContext.defaultParallelism)
     kind = "bucket bigint, block bigint, low binary, high binary, n binary"
     counted = blocks.select("block", "low", "high").mapInArrow(_counts(buckets), kind)
     rarity = counted.groupBy("bucket").applyInArrow(_rarity, "block bigint, bucket bigint, rarity binary")
-    told = rarity.select("block", "bucket", "rarity", F.lit(None).cast("int").alias("place"))
+    # of each block a byte a distinct run, and at most its classes
+    told = rarity.groupBy("block").agg(F.collect_list(F.struct("bucket", "rarity")).alias("told"))
     place = F.expr(f"cast(loc & {(1 << _PLACE) - 1} as int)").alias("place")
-    told = told.unionByName(dropped.select(F.shiftright("loc", _PLACE).alias("block"), F.lit(-1).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("rarity"), place))
-    sent = blocks.select("block", "n", "low", "high").groupBy("block")
-    fields = ["loc", "n", "rem", "surplus", *[f"b{i}" for i in range(WORDS)]]
-    kind = "run bigint, rarity int, loc bigint, n int, rem int, surplus int, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
-    rows = sent.cogroup(told.groupBy("block")).applyInArrow(_routed(threshold), kind)
+    places = dropped.select(F.shiftright("loc", _PLACE).alias("block"), place).groupBy("block").agg(F.collect_list("place").alias("places"))
+    told = told.join(places, "block", "left")
+    sent = blocks.select("block", "n", "low", "high").join(F.broadcast(told) if total <= SMALL_RUNS else told, "block")
+    fields = ["loc", "counts", *[f"b{i}" for i in range(WORDS)]]
+    kind = "run bigint, rarity int, loc bigint, counts bigint, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
+    rows = sent.select("block", "n", "low", "high", "told", "places").mapInArrow(_routed(threshold), kind)
     # less than 2 << rarity classes have the run; salts of a hot one follow from that alone
     salts = F.expr(f"cast(if((2L << rarity) > {block}, ceil((2L << rarity) / {block}), 1) as int)")
     cut = rows.withColumn("s", F.pmod(F.xxhash64("loc"), salts).cast("int")).select("run", "s", F.explode(F.sequence(F.lit(0), salts - 1)).alias("j"), *fields)
     side = F.when(F.col("s") == F.col("j"), 0).when(F.col("s") < F.col("j"), 1).otherwise(2)
-    return cut.select("run", (F.shiftleft(F.least("s", "j").cast("bigint"), 32) + F.greatest("s", "j")).alias("salts"), side.alias("side"), *fields)
+    pair = F.shiftleft(F.least("s", "j").cast("bigint"), 33) + F.shiftleft(F.greatest("s", "j").cast("bigint"), 2)
+    return cut.select("run", (pair + side).alias("salts"), *fields)
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = 0.8, min_words: int = 0, block: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -347,8 +362,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
     dropped = entries.join(copied, "key").where("loc <> kept").select("loc").distinct()
 
     cells = prefix_cells(blocks, dropped, threshold, block)
-    key = ["run", "salts"]
-    found = cells.repartition(*key).sortWithinPartitions(*key, "n").mapInArrow(_traversed(threshold), "loc_a bigint, loc_b bigint").distinct()
+    cell = F.shiftright("salts", 2)
+    found = cells.repartition("run", cell).sortWithinPartitions("run", cell, "counts").mapInArrow(_traversed(threshold), "loc_a bigint, loc_b bigint").distinct()
     found = staged(found, "neardup-candidates")
     ends = _small(staged(found.select(F.explode(F.array("loc_a", "loc_b")).alias("loc")).distinct(), "neardup-ends"))
     classes = blocks.select("block", "first", "n", "low", "high").mapInArrow(_class_rows, "loc bigint, cid bigint, n int, runs array<bigint>").join(ends, "loc")
