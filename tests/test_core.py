@@ -185,6 +185,14 @@ def test_prefetch(spark):
     assert tuple(C.prefetch_outcome(df.where("gated")).first()) == (["p/g:m"], 0) and tuple(C.prefetch_outcome(df.where("ok")).first()) == ([], 0)
 
 
+def test_combined(spark):
+    held = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v int")
+    wanted = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert {tuple(r) for r in C.combined(wanted, held, "k", "v").collect()} == {("a", 1), ("b", None)}
+    with pytest.raises(Exception, match="nothing is held for x"):
+        C.combined(spark.createDataFrame([("x",)], "k string"), held, "k", "v").collect()
+
+
 def test_placeholders():
     assert config.materialized("k: __PASS_K__, __PASS_K__", PASS_K=3) == "k: 3, 3"
     with pytest.raises(ValueError, match="__OTHER__"):
@@ -300,8 +308,10 @@ def test_tokenizers_agree(spark, sf_dir):
         got = [b for c in r["c"] for b in ([c.encode()] if c in pieces else [bytes([x]) for x in c.encode()])]
         assert got == want
         assert K.decode_ids(trie.encode(r["v"].encode()), words) == r["v"]
-    with pytest.raises(ValueError):
-        K.Trie({1: b"a"}).encode(b"ab")
+        assert K.Table(words).encode(r["v"].encode()) == trie.encode(r["v"].encode())
+    for kind in (K.Trie, K.Table):
+        with pytest.raises(ValueError):
+            kind({1: b"a"}).encode(b"ab")
 
 
 @pytest.mark.parametrize("seed", range(6))

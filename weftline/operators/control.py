@@ -38,6 +38,13 @@ def inherited(children: DataFrame, templates: DataFrame, include: str, columns:
     return children.join(base, include, "left").select(*rest, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
 
 
+def combined(wanted: DataFrame, held: DataFrame, key: str, value: str) -> DataFrame:
+    """The value held for each wanted name; a name without one is an error that tells it."""
+    found = wanted.select(key).join(held.select(key, value, F.lit(True).alias("__held")), key, "left")
+    ok = F.coalesce("__held", F.raise_error(F.concat(F.lit("nothing is held for "), F.col(key).cast("string"))).cast("boolean"))
+    return found.where(ok).drop("__held")
+
+
 def repeated(df: DataFrame, times: int, attempt: str = "attempt") -> DataFrame:
     """Each row ``times`` times with the number of the attempt."""
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(attempt))

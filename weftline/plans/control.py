@@ -158,6 +158,13 @@ def overrides(spark: SparkSession, d: str) -> DataFrame:
     return once.select("request_id", F.explode(C.overridden(general, own)).alias("key", "value"))
 
 
+@query("jon12_combined", "SELECT s_suppkey AS key, s_acctbal AS value FROM supplier")
+def combined(spark: SparkSession, d: str) -> DataFrame:
+    """Values for all names wanted; were one not held, its name would be the error."""
+    held = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    return C.combined(held.select("key"), held, "key", "value")
+
+
 @query("udf3_repeats", "SELECT item_id, k::INTEGER AS attempt FROM eval_items, range(0, 4) r(k)")
 def repeats(spark: SparkSession, d: str) -> DataFrame:
     """Each item once for each attempt."""

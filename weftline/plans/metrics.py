@@ -162,3 +162,10 @@ def train_log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("epoch")).agg(F.avg("value").alias("loss"))
     text = lambda x, k: F.round(x, k).cast(f"decimal(18,{k})").cast("string")
     return e.select("epoch", F.concat_ws(" ", F.col("epoch").cast("string"), text(F.col("loss"), 6), text(F.exp(F.col("loss") / 100), 4), F.col("epoch").cast("string")).alias("line"))
+
+
+@query("win12_shift", "SELECT event_id, value, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before FROM events")
+def shift(spark: SparkSession, d: str) -> DataFrame:
+    """Each value with the one before it in its sequence, zero at the start."""
+    before = F.lag("value", 1, 0.0).over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, d, "events").select("event_id", "value", before.alias("before"))

@@ -136,6 +136,16 @@ def columnar(spark: SparkSession, d: str) -> DataFrame:
     return subsets.read(spark, f"{d}/eval_items.parquet").groupBy("task", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("src22_mirror", "SELECT * FROM (VALUES (1, 'docs', 'copied', 600::BIGINT), (1, 'none', 'missing', 600), (2, 'docs', 'kept', 600), (2, 'none', 'missing', 600)) t(call, name, action, rows)".replace("600::BIGINT", "(SELECT count(*) FROM eval_items)").replace("600", "(SELECT count(*) FROM eval_items)"))
+def mirror(spark: SparkSession, d: str) -> DataFrame:
+    """A folder copied where it is missing, kept the second time."""
+    base = own_path(spark, "mirror")
+    table(spark, d, "eval_items").write.parquet(f"{base}/from/docs")
+    first, second = (subsets.mirrored(spark, f"{base}/from", f"{base}/to", ["docs", "none"]) for _ in range(2))
+    calls = first.withColumn("call", F.lit(1)).unionByName(second.withColumn("call", F.lit(2)))
+    return calls.select("call", "name", "action", F.lit(spark.read.parquet(f"{base}/to/docs").count()).cast("bigint").alias("rows"))
+
+
 _METRICS = "m AS (SELECT task, metric, max(value) AS value FROM task_metrics WHERE value IS NOT NULL AND task IS NOT NULL AND metric IS NOT NULL GROUP BY ALL)"
 
 

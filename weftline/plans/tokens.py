@@ -37,6 +37,13 @@ def trie_counts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.size(encode("text")).cast("bigint").alias("n_tokens"))
 
 
+@query("tok2_table_counts", f"WITH {_TOK} SELECT doc_id, sum(CASE WHEN piece IN {_IN} THEN 1 ELSE strlen(piece) END)::BIGINT AS n_tokens FROM cut GROUP BY doc_id")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts by a plain table of tokens."""
+    encode = K.encoder(VOCAB, plain=True)
+    return spread(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.size(encode("text")).cast("bigint").alias("n_tokens"))
+
+
 @query("tok3_round_trip", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Decoding what was encoded gives the text again."""

@@ -31,3 +31,25 @@ def read_variant(spark: SparkSession, folder: str, schema: T.StructType | str, v
 def concatenated(frames: list[DataFrame], ordinal: str = "source_ord") -> DataFrame:
     """All rows of all frames; ``ordinal`` tells the frame, as rows have no order of their own."""
     return reduce(DataFrame.unionByName, [f.withColumn(ordinal, F.lit(i)) for i, f in enumerate(frames)])
+
+
+def mirrored(spark: SparkSession, source: str, target: str, names: list[str]) -> DataFrame:
+    """Copy the folders of ``source`` that ``target`` lacks: ``(name, action)``, ``copied``, ``kept`` or ``missing``.
+
+    A folder that is there already is kept as it is, so a second call copies nothing.
+    """
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        a, b = path(f"{source}/{name}"), path(f"{target}/{name}")
+        here, there = a.getFileSystem(conf), b.getFileSystem(conf)
+        if not here.exists(a):
+            action = "missing"
+        elif there.exists(b):
+            action = "kept"
+        else:
+            there.mkdirs(b.getParent())
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(here, a, there, b, False, conf)
+            action = "copied"
+        out.append((name, action))
+    return spark.createDataFrame(out, "name string, action string")
