@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.groups import pairs_within
 from weftline.session import spread, staged
 
 #: Letters of other scripts and the Latin letters they look like.
@@ -120,9 +121,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forms = canonical_forms(df, id_col, text_col).where("id is not null and form is not null")
     keyed = staged(forms.select("id", F.xxhash64("text").alias("stored"), F.md5("form").alias("form")).distinct(), "look-alikes")
     originals = keyed.select("form", "stored").distinct()
-    several = originals.join(originals.groupBy("form").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("form"), "form", "left_semi")
-    a, b = (several.select("form", F.col("stored").alias(f"stored_{s}")) for s in "ab")
-    ways = a.join(b, "form").where("stored_a < stored_b")
+    several = originals.join(originals.groupBy("form").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1"), "form")
+    ways = pairs_within(several, "form", "stored", "ways")
     ids_a, ids_b = (keyed.select("form", F.col("stored").alias(f"stored_{s}"), F.col("id").alias(f"x_{s}")) for s in "ab")
     both = ways.join(ids_a, ["form", "stored_a"]).join(ids_b, ["form", "stored_b"]).where("x_a <> x_b")
     return both.select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b")).distinct()

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.groups import pairs_within
 from weftline.llm.words import run_hashes, word_hashes, words_of
 from weftline.session import spread, staged
 
@@ -374,14 +375,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, k: int = 5, thres
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of ids ``(id_a, id_b)``, ``id_a < id_b``: those of linked classes and those within a class."""
+    """All pairs of ids ``(id_a, id_b)``, ``id_a < id_b``: those of linked classes and those within a class.
+
+    The result grows with the square of a class; ``link_counts`` has one row an id instead.
+    """
     a, b = (members.select(F.col("id").alias(f"id_{s}"), F.col("cid").alias(f"cid_{s}")) for s in "ab")
     across = links.join(a, "cid_a").join(b, "cid_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    multi = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cid")
-    inner = members.join(multi, "cid", "left_semi")
-    x, y = (inner.select(F.col("id").alias(f"id_{s}"), "cid") for s in "ab")
-    within = x.join(y, "cid").where("id_a < id_b").select("id_a", "id_b")
-    return across.unionByName(within)
+    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return across.unionByName(pairs_within(members.join(sizes, "cid"), "cid", "id", "size").select("id_a", "id_b"))
 
 
 def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
