@@ -20,6 +20,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,16 @@ def _read(path: str, dtype, count: int, offset: int = 0) -> np.ndarray:
         return np.frombuffer(f.read_at(count * np.dtype(dtype).itemsize, offset), dtype)
 
 
+class Files:
+    """Files of a store kept open for many small reads, the last ``held`` of them."""
+
+    def __init__(self, held: int = 32):
+        self.open = lru_cache(held)(lambda path: _file(path)[0].open_input_file(_file(path)[1]))
+
+    def read(self, path: str, dtype, count: int, offset: int = 0) -> np.ndarray:
+        return np.frombuffer(self.open(path).read_at(count * np.dtype(dtype).itemsize, offset), dtype)
+
+
 def header(prefix: str) -> tuple[int, int, int]:
     """Type code, number of documents and length of the document index; errors on another format."""
     head = _read(prefix + ".idx", np.uint8, HEADER).tobytes()
@@ -104,7 +115,7 @@ class Shard:
     first_doc: int = 0
     first_token: int = 0
 
-    @property
+    @cached_property
     def dtype(self) -> np.dtype:
         return np.dtype(DTYPES[header(self.prefix)[0]])
 
@@ -236,7 +247,7 @@ def flat(path: str, offset: int, length: int) -> np.ndarray:
     return _flat(shards(path), offset, length)
 
 
-def _flat(parts: list[Shard], offset: int, length: int) -> np.ndarray:
+def _flat(parts: list[Shard], offset: int, length: int, read=_read) -> np.ndarray:
     k = bisect.bisect_right([s.first_token for s in parts], offset) - 1
     found = []
     while length > 0:
@@ -246,7 +257,7 @@ def _flat(parts: list[Shard], offset: int, length: int) -> np.ndarray:
         n = min(length, s.first_token + s.tokens - offset)
         if n > 0:
             dtype = s.dtype
-            found.append(_read(s.prefix + ".bin", dtype, n, (offset - s.first_token) * dtype.itemsize))
+            found.append(read(s.prefix + ".bin", dtype, n, (offset - s.first_token) * dtype.itemsize))
             offset, length = offset + n, length - n
         k += 1
     return np.concatenate(found) if found else np.empty(0, np.int32)
@@ -263,6 +274,7 @@ def get(requests: DataFrame, path: str) -> DataFrame:
     rest = [c for c in requests.columns if c not in ("idx", "offset", "length")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Files().read
         for b in batches:
             tokens = []
             for idx, offset, length in zip(*(b.column(c).to_pylist() for c in ("idx", "offset", "length"))):
@@ -271,8 +283,9 @@ def get(requests: DataFrame, path: str) -> DataFrame:
                     raise ValueError(f"no document {idx}")
                 own = idx - s.first_doc
                 if length is None:
-                    length = max(0, int(s.sizes(own, own + 1)[0]) - offset)
-                tokens.append(_flat(parts, s.first_token + int(s.pointers(own, own + 1)[0]) // s.dtype.itemsize + offset, length))
+                    length = max(0, int(read(s.prefix + ".idx", "<i4", 1, HEADER + 4 * own)[0]) - offset)
+                start = int(read(s.prefix + ".idx", "<i8", 1, HEADER + 4 * s.docs + 8 * own)[0]) // s.dtype.itemsize
+                tokens.append(_flat(parts, s.first_token + start + offset, length, read))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.int32()))], names=[*b.schema.names, "tokens"])
 
     src = requests.select(F.col("idx").cast("bigint"), F.col("offset").cast("bigint"), F.col("length").cast("bigint"), *rest)
