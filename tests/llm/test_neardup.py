@@ -129,3 +129,20 @@ def test_copies_are_not_expanded(spark):
     rows = [(i, "one two three four five six") for i in range(300)] + [(1000 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(600)]
     links, members = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), "message_id", "content", 3, 0.5)
     assert links.count() == 0 and members.count() == 900 and members.select("cid").distinct().count() == 601
+
+
+def test_counts_of_very_long_texts():
+    """Sizes stay exact in their one column, bounds that do not fit bound nothing."""
+    n, rem, surplus = np.array([1, 5_000_000, 100_000_000]), np.array([1, 300_000, 262_142]), np.array([0, 4_999_872, 7])
+    a, b, c = neardup._parted(neardup._joined(n, rem, surplus))
+    assert a.tolist() == n.tolist() and (b >= rem).all() and (c >= surplus).all() and b[2] == 262_142 and c[0] == 0 and b[1] > 10**9
+
+
+def test_long_texts_with_few_changes(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = list(words)
+    for i in range(0, 300_000, 50):
+        other[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:140_000])), (4, " ".join(words[:160_000]))]
+    assert found(spark.createDataFrame(rows, SCHEMA), 3, 0.5) == {(1, 2), (1, 4), (3, 4)}

@@ -163,9 +163,21 @@ def _rarity(t: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([t.column("block"), t.column("bucket"), pa.array([p.tobytes() for p in parts], pa.binary())], schema=_RARITY)
 
 
-#: Rows of cells; ``counts`` holds the size, the remaining runs and the surplus, of 21 bits each.
+#: Rows of cells; ``counts`` holds the size (27 bits), the remaining runs and the surplus (18 bits each).  The last two are bounds:
+#: the greatest value that fits stands for any number.
 _ROWS = pa.schema([("run", pa.int64()), ("rarity", pa.int32()), ("loc", pa.int64()), ("counts", pa.int64()), *((f"b{i}", pa.int64()) for i in range(WORDS))])
-_BITS = 21
+_BITS = 18
+
+
+def _joined(n: np.ndarray, rem: np.ndarray, surplus: np.ndarray) -> np.ndarray:
+    most = (1 << _BITS) - 1
+    return n << 2 * _BITS | np.minimum(rem, most) << _BITS | np.minimum(surplus, most)
+
+
+def _parted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    most = (1 << _BITS) - 1
+    bound = lambda x: np.where(x == most, 1 << 40, x)
+    return counts >> 2 * _BITS, bound(counts >> _BITS & most), bound(counts & most)
 
 
 def _routed(t: float):
@@ -192,10 +204,7 @@ def _routed(t: float):
         pos = np.arange(len(own)) - (np.cumsum(held) - held)[own]
         cut = np.flatnonzero(pos < held[own] - np.ceil(t * n[own] - EPS) + 1)
         own, pos = own[cut], pos[cut]
-        if len(n) and n.max() >> _BITS:
-            raise ValueError(f"a text has more than {1 << _BITS} distinct runs")
-        counts = n[own] << 2 * _BITS | (held[own] - pos) << _BITS | surplus[own]
-        cols = [runs[cut].astype(np.int64), log[cut], (block << _PLACE) + own, counts, *bits[own].view(np.int64).T]
+        cols = [runs[cut].astype(np.int64), log[cut], (block << _PLACE) + own, _joined(n[own], held[own] - pos, surplus[own]), *bits[own].view(np.int64).T]
         return _batch(_ROWS, *(pa.array(np.ascontiguousarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ROWS)))
 
     return run
@@ -278,8 +287,7 @@ def _traversed(t: float):
         """Candidates of the complete cells of a sorted batch, and the rows of the cell that may go on."""
         c = {f.name: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(b.schema)}
         c["bits"] = np.stack([c.pop(f"b{i}") for i in range(WORDS)], axis=1).view(np.uint64)
-        low, counts = (1 << _BITS) - 1, c.pop("counts")
-        c |= {"n": counts >> 2 * _BITS, "rem": counts >> _BITS & low, "surplus": counts & low, "side": c["salts"] & 3}
+        c |= dict(zip(("n", "rem", "surplus"), _parted(c.pop("counts")))) | {"side": c["salts"] & 3}
         new = np.append(True, (c["run"][1:] != c["run"][:-1]) | (c["salts"][1:] >> 2 != c["salts"][:-1] >> 2))
         starts = np.append(np.flatnonzero(new), len(b))
         end = len(b) if last else starts[-2]
