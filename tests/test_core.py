@@ -368,7 +368,10 @@ def test_shards(spark, tmp_path):
     docs = [(i, list(range(1000 * i, 1000 * i + i % 7)), [j % 2 for j in range(i % 7)]) for i in range(200)]
     kept = [d for d in docs if d[1]]
     path = str(tmp_path / "many")
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "shard-00000000-999.bin").write_bytes(b"left by an attempt that failed")
     listed = binidx.write_shards(spark.createDataFrame(docs, STORED), path, partitions=5)
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == sorted([*(s["name"] + e for s in listed for e in (".bin", ".idx", ".lossable.bin")), "manifest.json"])
     assert len(listed) > 1 and sum(s["docs"] for s in listed) == len(kept)
     binidx.export(path, f"{path}/all")
     whole, single = sorted(binidx.read(spark, path).collect()), sorted(binidx.read(spark, f"{path}/all").collect())

@@ -122,8 +122,8 @@ def assemble(docs: DataFrame, ctx_len: int | None, block: int, epoch: int = 0, r
     return _checked(docs, eos, pad).mapInArrow(run, "doc_id bigint, masked array<boolean>, x array<int>, y array<int>")
 
 
-def block_sums(docs: DataFrame, block: int, epoch: int = 0, r_min: float = 0.0, r_max: float = 1.0, p_full: float = 0.1, force_eos: bool = True, force_pad: bool = True, eos: int = 0, pad: int = 65534, mask: int = 65535) -> DataFrame:
-    """Sums of every block of whole documents as ``assemble(docs, None, block)`` builds them, a row a block.
+def block_sums(docs: DataFrame, block: int, ctx_len: int | None = None, epoch: int = 0, r_min: float = 0.0, r_max: float = 1.0, p_full: float = 0.1, force_eos: bool = True, force_pad: bool = True, eos: int = 0, pad: int = 65534, mask: int = 65535) -> DataFrame:
+    """Sums of every block as ``assemble(docs, ctx_len, block)`` builds them, of whole documents without ``ctx_len``, a row a block.
 
     ``(doc_id, block, n_masked, places, has_eos, padding, total, weighted, supervised, targets)``: masked positions and
     the sum of their places from 1 on; the clean tokens' sum; the sums of each of the three copies and of the targets,
@@ -134,7 +134,7 @@ def block_sums(docs: DataFrame, block: int, epoch: int = 0, r_min: float = 0.0,
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, count, number, masked, x, y in _pieces(batches, block, None, epoch, r_min, r_max, p_full, force_eos, force_pad, eos, pad, mask):
+        for ids, count, number, masked, x, y in _pieces(batches, block, None if ctx_len is None else raw_length(ctx_len, block) // block, epoch, r_min, r_max, p_full, force_eos, force_pad, eos, pad, mask):
             clean, told = x[:, 2], y != IGNORE
             weighted = (x * place.astype(np.int64)).sum(axis=2)
             three = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * 3), pa.array(weighted.reshape(-1)))

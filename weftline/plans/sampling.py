@@ -119,25 +119,61 @@ def char_streams(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", tokens.alias("tokens"), F.transform("c", lambda c: F.when(c.between("a", "z"), 1).otherwise(0)).alias("lossable"))
 
 
-_CTX, _BLOCK = 768, 32
+_CTX, _BLOCK = 6144, 32
 _RAW = P.raw_length(_CTX, _BLOCK)
-_SAMPLE = f"""docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
-pos AS (SELECT doc_id, i AS pos, i // {_BLOCK} AS block, i % {_BLOCK} AS off, CASE WHEN i < n THEN unicode(substr(text, i + 1, 1)) % 60000 + 1 WHEN i = n THEN 0 ELSE 65534 END AS tok,
-  i < n AND substr(text, i + 1, 1) BETWEEN 'a' AND 'z' AS lossable FROM docs, range(0, {_RAW}) r(i)),
+
+
+def _sample(condition: str, length: str) -> str:
+    """Characters as tokens with an end token, filled to ``length``, and what is masked of them."""
+    return f"""cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text <> ''{condition}),
+wide AS (SELECT doc_id, c || list_transform(range(len(c), {length}), lambda i: '') AS c, len(c) AS n FROM cut),
+pos AS (SELECT doc_id, i AS pos, i // {_BLOCK} AS block, i % {_BLOCK} AS off, CASE WHEN i < n THEN unicode(ch) % 60000 + 1 WHEN i = n THEN 0 ELSE 65534 END AS tok, i < n AND ch BETWEEN 'a' AND 'z' AS lossable
+  FROM (SELECT doc_id, n, unnest(c) AS ch, unnest(range(0, len(c))) AS i FROM wide)),
 drawn AS (SELECT *, {N.sql_uniform("doc_id", "0", "block", 1)} AS r, {N.sql_uniform("doc_id", "0", "block", 2)} AS f, {N.sql_uniform("doc_id", "0", "pos", 3)} AS u, bool_or(tok = 0) OVER (PARTITION BY doc_id, block) AS has_eos FROM pos),
 sample AS (SELECT doc_id, block, off, pos, tok, (lossable AND u < CASE WHEN f < 0.1 THEN 1.0 ELSE r END) OR tok = 0 OR (tok = 65534 AND has_eos) AS masked FROM drawn)"""
 
 
-def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return P.assemble(char_streams(spark, d), _CTX, _BLOCK)
+#: Samples of one context: the documents that pass its length filter, none of them cut.
+_SAMPLE = _sample(f" AND length(text) < {_RAW}", f"{_RAW}")
+#: All documents whole, in as many blocks as each needs.
+_WHOLE = _sample("", f"(len(c) // {_BLOCK} + 1) * {_BLOCK}")
+
+
+def whole_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The streams of ``char_streams`` with a loss bit for the end token too, by code points in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                b = whole.slice(lo, 256)
+                codes = [np.frombuffer(t.encode("utf-32-le"), np.int32) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([len(c) + 1 for c in codes])
+                flat = np.concatenate([np.append(c, -1) for c in codes])
+                offsets = pa.array(np.append(0, ends).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (np.where(flat < 0, 0, flat % 60000 + 1).astype(np.int32), ((flat >= ord("a")) & (flat <= ord("z"))).astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "tokens", "lossable"])
+
+    docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").cast("bigint"), "text")
+    return spread(docs).mapInArrow(run, "doc_id bigint, tokens array<int>, lossable array<tinyint>")
+
+
+def fitting_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The streams that one context holds, end token included."""
+    return whole_streams(spark, d).where(F.size("tokens") <= _RAW)
+
+
+def _block_sums(spark: SparkSession, d: str) -> DataFrame:
+    return P.block_sums(whole_streams(spark, d), _BLOCK)
+
+
+def _sample_sums(spark: SparkSession, d: str) -> DataFrame:
+    return P.block_sums(fitting_streams(spark, d), _BLOCK, _CTX)
 
 
 @query("arr_block_mask", f"WITH {_SAMPLE} SELECT doc_id, block::INTEGER AS block, count_if(masked) AS n_masked, coalesce(sum(off + 1) FILTER (WHERE masked), 0)::BIGINT AS places FROM sample GROUP BY doc_id, block")
 def block_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Masks of all blocks: how many and where."""
-    each = _samples(spark, d).select("doc_id", F.posexplode("masked").alias("pos", "m"))
-    place = F.when(F.col("m"), F.col("pos") % _BLOCK + 1).otherwise(0)
-    return each.groupBy("doc_id", F.expr(f"cast(pos div {_BLOCK} as int)").alias("block")).agg(F.count_if("m").alias("n_masked"), F.sum(place).alias("places"))
+    """Masks of all blocks of a context: how many and where."""
+    return _sample_sums(spark, d).select("doc_id", "block", "n_masked", "places")
 
 
 @query(
@@ -147,63 +183,32 @@ SELECT doc_id, block::INTEGER AS block, role, sum(CASE WHEN role < 2 THEN noisy
 )
 def triplet(spark: SparkSession, d: str) -> DataFrame:
     """The three copies of each block, as position-weighted sums."""
-    each = _samples(spark, d).select("doc_id", F.posexplode("x").alias("i", "x")).where(f"i < {3 * _RAW}")
-    where = {"block": f"cast(i div {3 * _BLOCK} as int)", "role": f"cast((i div {_BLOCK}) % 3 as int)"}
-    return each.groupBy("doc_id", *[F.expr(e).alias(c) for c, e in where.items()]).agg(F.sum(F.col("x").cast("bigint") * (F.col("i") % _BLOCK + 1)).alias("weighted"))
+    return _sample_sums(spark, d).select("doc_id", "block", F.posexplode("weighted").alias("role", "weighted"))
 
 
 @query("arr_targets", f"WITH {_SAMPLE} SELECT doc_id, block::INTEGER AS block, count(*) AS supervised, sum(tok * (off + 1))::BIGINT AS weighted FROM sample WHERE masked AND tok <> 65534 GROUP BY doc_id, block")
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    """Targets stand in the second copy only, at masked positions that are no padding."""
-    each = _samples(spark, d).select("doc_id", F.posexplode("y").alias("i", "y")).where("y <> -100")
+    """Targets stand in the second copy only, at masked positions that are no padding; from the assembled samples."""
+    samples = P.assemble(fitting_streams(spark, d), _CTX, _BLOCK)
+    each = samples.select("doc_id", F.posexplode("y").alias("i", "y")).where("y <> -100")
     return each.groupBy("doc_id", F.expr(f"cast(i div {3 * _BLOCK} as int)").alias("block")).agg(F.count(F.lit(1)).alias("supervised"), F.sum(F.col("y").cast("bigint") * (F.col("i") % _BLOCK + 1)).alias("weighted"))
 
 
 @query("arr1_padded", f"WITH {_SAMPLE} SELECT doc_id, count_if(tok = 65534) AS padding, sum(tok * (pos + 1))::BIGINT AS weighted FROM sample GROUP BY doc_id")
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    """Documents cut or filled to the raw length, as array expressions."""
+    """Documents filled to the raw length, as array expressions."""
     fixed = F.slice(F.concat("tokens", F.array_repeat(F.lit(65534), _RAW)), 1, _RAW)
-    each = char_streams(spark, d).select("doc_id", F.posexplode(fixed).alias("pos", "t"))
+    each = fitting_streams(spark, d).select("doc_id", F.posexplode(fixed).alias("pos", "t"))
     return each.groupBy("doc_id").agg(F.count_if(F.col("t") == 65534).alias("padding"), F.sum(F.col("t").cast("bigint") * (F.col("pos") + 1)).alias("weighted"))
 
 
 @query("agg19_eos_blocks", f"WITH {_SAMPLE} SELECT doc_id, block::INTEGER AS block, bool_or(tok = 0) AS has_eos FROM sample GROUP BY doc_id, block")
 def eos_blocks(spark: SparkSession, d: str) -> DataFrame:
     fixed = F.slice(F.concat("tokens", F.array_repeat(F.lit(65534), _RAW)), 1, _RAW)
-    each = char_streams(spark, d).select("doc_id", F.posexplode(fixed).alias("pos", "t"))
+    each = fitting_streams(spark, d).select("doc_id", F.posexplode(fixed).alias("pos", "t"))
     return each.groupBy("doc_id", F.expr(f"cast(pos div {_BLOCK} as int)").alias("block")).agg(F.bool_or(F.col("t") == 0).alias("has_eos"))
 
 
-#: Whole documents: positions by the real length of each text, the last block filled.  The queries above show a context of ``_RAW`` tokens.
-_WHOLE = f"""cut AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text <> ''),
-wide AS (SELECT doc_id, c || list_transform(range(len(c), (len(c) // {_BLOCK} + 1) * {_BLOCK}), lambda i: '') AS c, len(c) AS n FROM cut),
-pos AS (SELECT doc_id, i AS pos, i // {_BLOCK} AS block, i % {_BLOCK} AS off, CASE WHEN i < n THEN unicode(ch) % 60000 + 1 WHEN i = n THEN 0 ELSE 65534 END AS tok, i < n AND ch BETWEEN 'a' AND 'z' AS lossable
-  FROM (SELECT doc_id, n, unnest(c) AS ch, unnest(range(0, len(c))) AS i FROM wide)),
-drawn AS {_SAMPLE[_SAMPLE.index("drawn AS ") + len("drawn AS ") :]}"""
-
-
-def whole_streams(spark: SparkSession, d: str) -> DataFrame:
-    """The streams of ``char_streams`` with a loss bit for the end token too, by code points in Arrow batches: long texts are not cut here."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), 256):
-                b = whole.slice(lo, 256)
-                codes = [np.frombuffer(t.encode("utf-32-le"), np.int32) for t in b.column(1).to_pylist()]
-                ends = np.cumsum([len(c) + 1 for c in codes])
-                flat = np.concatenate([np.append(c, -1) for c in codes])
-                offsets = pa.array(np.append(0, ends).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (np.where(flat < 0, 0, flat % 60000 + 1).astype(np.int32), ((flat >= ord("a")) & (flat <= ord("z"))).astype(np.int8))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "tokens", "lossable"])
-
-    docs = table(spark, d, "documents").where("text <> ''").select(F.col("doc_id").cast("bigint"), "text")
-    return spread(docs).mapInArrow(run, "doc_id bigint, tokens array<int>, lossable array<tinyint>")
-
-
-def _block_sums(spark: SparkSession, d: str) -> DataFrame:
-    return P.block_sums(whole_streams(spark, d), _BLOCK)
-
-
 @query("arr_block_mask_whole", f"WITH {_WHOLE} SELECT doc_id, block::INTEGER AS block, count_if(masked) AS n_masked, coalesce(sum(off + 1) FILTER (WHERE masked), 0)::BIGINT AS places FROM sample GROUP BY doc_id, block")
 def block_mask_whole(spark: SparkSession, d: str) -> DataFrame:
     """Masks of all blocks of all documents, none cut and none left out for its length."""

@@ -325,6 +325,10 @@ def write_shards(df: DataFrame, path: str, order: str = "doc_order", partitions:
     ordered = spread.sortWithinPartitions(order).select("tokens", "lossable")
     written = sorted(ordered.mapInArrow(save, "part int, name string, docs bigint, tokens bigint").collect())  # one row a task
     listed = [{k: r[k] for k in ("name", "docs", "tokens")} for r in written]
+    names = tuple(s["name"] + "." for s in listed)
+    for f in system.get_file_info(afs.FileSelector(folder)):  # of attempts that failed or came second
+        if f.base_name.startswith("shard-") and not f.base_name.startswith(names):
+            system.delete_file(f.path)
     with system.open_output_stream(f"{folder}/{MANIFEST}") as f:
         f.write(json.dumps({"shards": listed}).encode())
     return listed
