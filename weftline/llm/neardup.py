@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.groups import pairs_within
-from weftline.llm.words import run_hashes, word_hashes, words_of
+from weftline.llm.words import distinct_runs, words_of
 from weftline.session import spread, staged
 
 #: Bits of a run's hash: two runs of a pair of texts of 100 runs coincide with a probability below 1e-10.
 RUN_BITS = 48
 #: Runs of a block of texts and of a bucket of the count, and rows of a tree.
 BLOCK_RUNS, BUCKET_RUNS, CELL = 1 << 17, 1 << 22, 1 << 12
+#: Texts hashed together.
+TOGETHER = 512
 #: Bits of the bitmaps of all shared runs and of routing runs, as 64-bit words.
 WORDS, ROUTES = 2, 8
 #: Children of a node.
@@ -76,6 +78,17 @@ _BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("ids", pa.bin
 def _blocks(min_words: int, k: int):
     mask = np.uint64((1 << RUN_BITS) - 1)
 
+    def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text that is long enough, with its distinct runs."""
+        for whole in batches:
+            for lo in range(0, len(whole), TOGETHER):
+                b = whole.slice(lo, TOGETHER)
+                words = [words_of(t) for t in b.column(1).to_pylist()]
+                use = [j for j, w in enumerate(words) if len(w) >= max(min_words, k)]
+                if use:
+                    ids = b.column(0).to_pylist()
+                    yield from zip([ids[j] for j in use], distinct_runs([words[j] for j in use], k, mask))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         ids, place, known, first, runs, size = [], [], {}, [], [], 0
@@ -86,26 +99,21 @@ def _blocks(min_words: int, k: int):
             a, b, c, d = (x.tobytes() for x in arrays)
             return _batch(_BLOCKS, [block], [size], [a], [b], [b"".join(known)], [c], [d], [low], [high])
 
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) < max(min_words, k):
-                    continue
-                h = np.unique(run_hashes(word_hashes(words), k) & mask)
-                key = xxhash.xxh3_128_digest(h.tobytes())
-                at = known.get(key)
-                if at is None:
-                    at = known[key] = len(runs)
-                    first.append(i)
-                    runs.append(h)
-                    size += len(h)
-                first[at] = min(first[at], i)
-                ids.append(i)
-                place.append(at)
-                if size >= BLOCK_RUNS or len(ids) >= 1 << 16:
-                    yield packed()
-                    block += 1
-                    ids, place, known, first, runs, size = [], [], {}, [], [], 0
+        for i, h in _runs(batches):
+            key = xxhash.xxh3_128_digest(h.tobytes())
+            at = known.get(key)
+            if at is None:
+                at = known[key] = len(runs)
+                first.append(i)
+                runs.append(h)
+                size += len(h)
+            first[at] = min(first[at], i)
+            ids.append(i)
+            place.append(at)
+            if size >= BLOCK_RUNS or len(ids) >= 1 << 16:
+                yield packed()
+                block += 1
+                ids, place, known, first, runs, size = [], [], {}, [], [], 0
         if ids:
             yield packed()
 

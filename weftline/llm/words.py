@@ -23,13 +23,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hash of each word, the same in every process."""
     if len(_cache) > _CACHE_LIMIT:
         _cache.clear()
-    get, out = _cache.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    found = list(map(_cache.get, words))
+    if None in found:
+        for i, h in enumerate(found):
+            if h is None:
+                found[i] = _cache[words[i]] = xxhash.xxh64_intdigest(words[i])
+    return np.array(found, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -50,3 +49,18 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = mix(h * _MIX + hashes[i : i + n])
     return h
+
+
+def distinct_runs(texts: list[list[str]], k: int, mask: np.uint64) -> list[np.ndarray]:
+    """The masked hashes of the distinct runs of ``k`` words of each text, in order; texts are hashed and sorted together."""
+    n = np.array([len(t) for t in texts], np.int64)
+    h = run_hashes(word_hashes([w for t in texts for w in t]), k) & mask
+    own = np.repeat(np.arange(len(texts)), n)
+    inside = own[: len(h)] == own[len(own) - len(h) :]
+    h, own = h[inside], own[: len(h)][inside]
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    h, own = h[new], own[new]
+    return np.split(h, np.searchsorted(own, np.arange(1, len(texts))))
