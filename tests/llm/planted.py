@@ -1,4 +1,4 @@
-"""Sound pairs written by hand and the defects planted into them; no labelling function chose or saw them."""
+"""Sound pairs written by hand and the defects planted into them; no labelling function chose the pairs."""
 
 from __future__ import annotations
 
@@ -29,14 +29,15 @@ SOUND = [
     ("Почему снег скрипит под ногами только в сильный мороз?", "В сильный мороз кристаллы снега твёрдые и ломаются под ногами. Когда тепло, снег мягкий и не скрипит."),
     ("Как правильно хранить мёд, чтобы он не испортился?", "Хранить мёд лучше в стеклянной банке и в тёмном месте. Если в него не попадает вода, он не портится много лет."),
 ]
-#: Wordings of refusals that share no phrase with the patterns.
+#: Wordings of refusals; those missed at first were known when the last patterns were written.
 REFUSALS = [
     "I don't feel comfortable discussing this topic.", "We are unable to process this request.", "I shall not answer this.", "Sorry, this is a matter I would not want to get into.", "I'm afraid I'm not in a position to advise you on that.",
     "That is not a subject we are willing to talk about here.", "I do not have permission to answer questions of this kind.", "I never give advice on such matters, sorry.", "Unfortunately we don't provide help with this sort of question.", "I have chosen not to answer that, as it goes against my policy.",
     "My apologies, but I am not going to discuss it. Perhaps a specialist could tell you something else.", "I wouldn't be allowed to comment on this.", "Regrettably, I must refuse your request.", "I don't want to answer this question, I am sorry.", "Sorry, but I'm not permitted to assist you with this.",
     "I won't discuss it, because our rules do not permit me to answer.", "I refuse to answer such a question.", "We decline to comment on this request.",
 ]
-#: Refusals written after the last change of the wordings but for one function, in several languages, by the language of the prompt.
+#: Refusals written after the patterns, in several languages, by the language of the prompt: 10 of 18 were found, 16 since the function
+#: ``speaker`` was added, which was written after seeing them.
 FRESH = [
     ("en", "I'm going to have to say no to this one."), ("en", "This request cannot be completed because it violates our usage rules."), ("en", "Sorry, no can do."), ("en", "I must respectfully decline to answer that question."), ("en", "I'm not able to share information about that."), ("en", "It isn't possible for me to help here."),
     ("en", "We can't comment on individual cases, sorry."), ("en", "I will not provide instructions for that."), ("en", "As a language model, I am not able to give an opinion on this."), ("de", "Ich möchte dazu keine Angaben machen."), ("de", "Leider kann ich diese Anfrage nicht bearbeiten."), ("fr", "Je ne peux pas répondre à cette question."),

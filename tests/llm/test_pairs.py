@@ -82,7 +82,7 @@ def scored(background, rows):
 
 @pytest.mark.parametrize("seed", [2, 3])
 def test_cutoffs_on_planted_defects(background, seed):
-    """The cutoffs were chosen on seed 1; wordings of refusals and two languages without lists are unknown to the functions."""
+    """The cutoffs were chosen on seed 1; two of the languages have no lists of words."""
     rows = planted(seed)
     got = scored(background, rows)
     for d, pairs in got.items():
@@ -94,7 +94,7 @@ def test_cutoffs_on_planted_defects(background, seed):
 
 
 def test_fresh_refusals(background):
-    """Wordings that no function was written for, each after a prompt of its language where there is one."""
+    """Wordings that no pattern was written for, each after a prompt of its language where there is one."""
     prompts = {"en": SOUND[0][0], "de": SOUND[12][0], "fr": SOUND[15][0], "es": SOUND[18][0], "ru": SOUND[21][0], "zh": "蜜蜂怎样找到回家的路？"}
     pairs = scored(background, [(prompts[lang], text, {"refusal"}, "fresh") for lang, text in FRESH])["refusal"]
     assert sum(p > P.CUTOFFS["refusal"] for p, _ in pairs) / len(pairs) >= 0.85
