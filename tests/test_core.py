@@ -448,6 +448,32 @@ def test_binidx_sidecar_must_fit(spark, tmp_path):
         binidx.read(spark, prefix).collect()
 
 
+def test_sidecar_bits_pass_the_driver_in_blocks(spark, tmp_path, monkeypatch):
+    """A stream of 3 million tokens takes the driver no more than a few blocks, not a copy of its bits."""
+    import tracemalloc
+
+    from weftline.plans import store
+
+    n = 3_000_000
+    spark.createDataFrame([(i, "aB" * (n // 20)) for i in range(10)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(binidx, "_COPY", 1 << 16)
+    tracemalloc.start()
+    try:
+        df = store.sidecar(spark, str(tmp_path))
+        assert tracemalloc.get_traced_memory()[1] < n / 2
+    finally:
+        tracemalloc.stop()
+    got = {r["sidecar"]: r["n"] for r in df.groupBy("sidecar").agg(F.sum("n_lossable").alias("n")).collect()}
+    assert got == {"own": n // 2, "longer name": 0, "none": n}
+
+
+def test_fill(tmp_path, monkeypatch):
+    monkeypatch.setattr(binidx, "_COPY", 4)
+    for n in (0, 3, 4, 9):
+        binidx.fill(str(tmp_path / "f"), 7, n)
+        assert (tmp_path / "f").read_bytes() == b"\x07" * n
+
+
 def test_empty_store(spark, tmp_path):
     prefix = str(tmp_path / "e")
     binidx.write(spark.createDataFrame([], "doc_order bigint, tokens array<int>, lossable array<tinyint>"), prefix)

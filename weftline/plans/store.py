@@ -106,7 +106,7 @@ def sidecar(spark: SparkSession, d: str) -> DataFrame:
         for suffix in (".idx", ".bin"):
             fs.FileUtil.copy(system, jpath(path + suffix), system, jpath(f"{path}-{name}{suffix}"), False, conf)
     fs.FileUtil.copy(system, jpath(path + binidx.SUFFIXES[1]), system, jpath(f"{path}-longer{binidx.SUFFIXES[1]}"), False, conf)
-    config.put(spark, f"{path}-longer{binidx.SUFFIXES[0]}", "\0" * binidx.tokens_by_file(path))
+    binidx.fill(f"{path}-longer{binidx.SUFFIXES[0]}", 0, binidx.tokens_by_file(path))
     stores = {"own": path, "longer name": f"{path}-longer", "none": f"{path}-none"}
     parts = [binidx.read(spark, p).select(F.lit(k).alias("sidecar"), "doc_id", _losses()) for k, p in stores.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -372,6 +372,15 @@ def export(path: str, prefix: str) -> None:
         _write_index(out, sum(s.docs for s in parts), _Sizes(parts))
 
 
+def fill(path: str, value: int, count: int) -> None:
+    """A file of ``count`` bytes of one value, written a block at a time."""
+    system, at = _file(path)
+    block = memoryview(bytes([value]) * min(count, _COPY))
+    with system.open_output_stream(at) as out:
+        for lo in range(0, count, _COPY):
+            out.write(block[: min(_COPY, count - lo)])
+
+
 def write(df: DataFrame, prefix: str, order: str = "doc_order") -> None:
     """Store ``df(order, tokens, lossable)`` by ``order`` as one set of files: shards, joined and removed."""
     parts = f"{prefix}.parts-{uuid.uuid4().hex}"
