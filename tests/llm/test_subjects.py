@@ -77,6 +77,31 @@ def test_terms():
     assert len(S.terms_of("你好吗。")) == 4 and S.terms_of("").tolist() == [-1] and S.terms_of("3.5").tolist() == [-1]
 
 
+def test_tokens_equal_their_pattern():
+    """Tokens without a pattern's search at each place: the same as by the pattern, for every kind of character."""
+    import re
+
+    rng = random.Random(6)
+    pattern = re.compile(r"\w+|[!?。！？\n]|\.(?!\d)")
+    some = "aZ_09 .!?\n\t。！？,;-'\"éßİΣ你好٣²½\u0301\u2028\x1c😀"
+    codes = [*range(0xD800), *range(0xE000, 0x20000)]
+    for i in range(3000):
+        text = "".join(rng.choice(some[: 20 + i % 40]) if i % 3 else chr(rng.choice(codes[: 1 << 8 + i % 10])) for _ in range(rng.randrange(40)))
+        assert S._tokens(text) == [w if w not in S._ENDS else "!" for w in pattern.findall(text.lower())]
+
+
+def test_projection_equals_its_sum():
+    rng = np.random.default_rng(2)
+    d, t, n = np.repeat([0, 2, 3], [5, 1, 30]), rng.integers(0, S.TERMS, 36), rng.integers(1, 9, 36)
+    idf = rng.random(S.TERMS).astype(np.float32) * (rng.random(S.TERMS) < 0.8)
+    idf[t[5]] = 0
+    want = np.zeros((5, S.DIM))
+    for i in range(36):
+        want[d[i]] += (1 + np.log(n[i])) * idf[t[i]] * S._signs()[t[i]]
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(S._project(d, t, n, 5, idf), np.divide(want, norm, out=want, where=norm > 0), atol=1e-5) and not want[[1, 2, 4]].any()
+
+
 def test_tree_splits_clusters(spark):
     rng = np.random.default_rng(1)
     centres = np.linalg.qr(rng.normal(size=(S.DIM, 4)))[0].T

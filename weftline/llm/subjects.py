@@ -51,13 +51,44 @@ ROOT = 0.5
 ABOVE = 0.5
 #: Documents of which labels are used at most.
 MAX_LABELLED = 20_000
-_TOKEN = re.compile(r"\w+|[!?。！？\n]|\.(?!\d)")
+_POINT = re.compile(r"\.(?=\d)")
 _PART = re.compile(r"[㐀-鿿]+|[^\W\d_]+")
 _ENDS = frozenset("!?。！？\n.")
 _CACHE_LIMIT = 500_000
 _cache: dict[str, int | list[int]] = {}
 
 
+class _Plain(dict):
+    """For ``translate``: letters, digits and ``_`` stay, ends of sentences become ``!``, all else a blank."""
+
+    def __missing__(self, code: int) -> int:
+        ch = chr(code)
+        out = self[code] = code if ch.isalnum() or ch == "_" else ord("!" if ch in _ENDS else " ")
+        return out
+
+
+_plain = _Plain()
+_ASCII = bytes(_plain[c] if c < 128 else 0 for c in range(256))
+
+
+@cache
+def _plane() -> np.ndarray:
+    return np.array([_plain[c] for c in range(1 << 16)], np.uint32)
+
+
+def _plain_text(text: str) -> str:
+    """``text.translate(_plain)``, by a table for all characters of a text at once."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode()
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return text.translate(_plain) if codes.max() > 0xFFFF else _plane()[codes].tobytes().decode("utf-32-le")
+
+
+def _tokens(text: str) -> list[str]:
+    """Runs of letters, digits and ``_`` in lower case, and a ``!`` for each end of a sentence; a point before a digit is none."""
+    return _plain_text(_POINT.sub(" ", text.lower())).replace("!", " ! ").split()
+
+
 def _term(w: str) -> int | list[int]:
     """Terms of a token: one, or a list; -1 for the end of a sentence, -2 for a number."""
     if w in _ENDS:
@@ -73,7 +104,7 @@ def terms_of(text: str) -> np.ndarray:
     """Hashed terms in order; -1 ends a sentence and the text."""
     if len(_cache) > _CACHE_LIMIT:
         _cache.clear()
-    words = _TOKEN.findall(text.lower())
+    words = _tokens(text)
     words.append(".")
     found = list(map(_cache.get, words))
     try:
@@ -152,8 +183,9 @@ def _project(d: np.ndarray, t: np.ndarray, n: np.ndarray, docs: int, idf: np.nda
     out = np.zeros((docs, DIM), np.float32)
     if len(d):
         w = ((1 + np.log(n)) * idf[t]).astype(np.float32)
-        at = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        out[d[at]] = np.add.reduceat(_signs()[t] * w[:, None], at, axis=0)
+        at, signs = np.flatnonzero(np.append(True, d[1:] != d[:-1])), _signs()
+        for doc, lo, hi in zip(d[at].tolist(), at.tolist(), np.append(at[1:], len(d)).tolist()):
+            np.dot(w[lo:hi], signs[t[lo:hi]], out=out[doc])
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=out, where=norm > 0)
 
